@@ -30,8 +30,23 @@ PLANS = ["Basic ", " Pro", "Enterprise"]                   # by c_nationkey mod
 TARGET_REASONS = [" High Value ", "Expansion fit"]         # by s_suppkey mod 2
 SPEND_CHANNELS = ["email", "organic", "paid", "sales"]     # by p_partkey mod 4
 
-DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
-                 "lineitem", "events", "pages")
+# Declared schemas of the driver tables: no inference job per read.
+DRIVER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+             "p_retailprice double"),
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                 "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                 "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+DRIVER_TABLES = tuple(DRIVER_SCHEMAS)
 
 
 def crm_day(c: Column) -> Column:
@@ -61,7 +76,7 @@ def load(spark: SparkSession, sf_dir: str) -> Catalog:
     """Catalog of raw and staged CRM tables over ``sf_dir``."""
     cat = Catalog(spark)
     for t in DRIVER_TABLES:
-        cat.read_parquet(f"driver.{t}", f"{sf_dir.rstrip('/')}/{t}.parquet")
+        cat.read_parquet(f"driver.{t}", f"{sf_dir.rstrip('/')}/{t}.parquet", DRIVER_SCHEMAS[t])
     d = lambda name: cat[f"driver.{name}"]
 
     def orders():
