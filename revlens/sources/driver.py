@@ -72,6 +72,38 @@ def _utm(k: Column) -> dict[str, Column]:
             "utm_campaign": F.concat(F.lit("cmp_"), (k % 10).cast("string"))}
 
 
+# ---- events -> touch source tables (also applied to event streams) -------
+def web_sessions_from_events(events: DataFrame) -> DataFrame:
+    """Raw web sessions: view and click events."""
+    e = events.where(F.col("event_type").isin("view", "click"))
+    k = _event_k(e.props)
+    return e.select(
+        e.user_id.alias("contact_id"), e.ts.alias("started_at"),
+        F.when(e.event_type == "view", "organic").otherwise("paid").alias("channel"),
+        F.when(k >= 80, F.lit(None).cast("int")).otherwise(k).alias("campaign_id"),
+        F.lit("web").alias("utm_source"), *[v.alias(n) for n, v in _utm(k).items()],
+        e.event_id.alias("touch_id"))
+
+
+def email_from_events(events: DataFrame) -> DataFrame:
+    """Raw email engagement: signup events (sent_at still a timestamp)."""
+    e = events.where(F.col("event_type") == "signup")
+    k = _event_k(e.props)
+    return e.select(e.user_id.alias("contact_id"), e.ts.alias("sent_at"),
+                    F.lit("email").alias("utm_source"),
+                    *[v.alias(n) for n, v in _utm(k).items()], e.event_id.alias("touch_id"))
+
+
+def activities_from_events(events: DataFrame) -> DataFrame:
+    """Raw sales activities: purchase (connected) and error (no_answer) events."""
+    e = events.where(F.col("event_type").isin("purchase", "error"))
+    return e.select(e.event_id.alias("activity_id"), e.user_id.alias("contact_id"), e.ts,
+                    e.event_type.alias("type"),
+                    F.when(e.event_type == "error", "no_answer").otherwise("connected")
+                     .alias("outcome"),
+                    e.event_id.alias("touch_id"))
+
+
 def load(spark: SparkSession, sf_dir: str) -> Catalog:
     """Catalog of raw and staged CRM tables over ``sf_dir``."""
     cat = Catalog(spark)
@@ -145,33 +177,14 @@ def load(spark: SparkSession, sf_dir: str) -> Catalog:
                         F.when(churned, "churned").otherwise("active").alias("status"))
 
     # ---- events: touches and engagement ----------------------------------
-    def events(*types):
-        return d("events").where(F.col("event_type").isin(*types))
-
     def web_sessions():
-        e = events("view", "click")
-        k = _event_k(e.props)
-        return e.select(
-            e.user_id.alias("contact_id"), e.ts.alias("started_at"),
-            F.when(e.event_type == "view", "organic").otherwise("paid").alias("channel"),
-            F.when(k >= 80, F.lit(None).cast("int")).otherwise(k).alias("campaign_id"),
-            F.lit("web").alias("utm_source"), *[v.alias(n) for n, v in _utm(k).items()],
-            e.event_id.alias("touch_id"))
+        return web_sessions_from_events(d("events"))
 
     def email_engagement():
-        e = events("signup")
-        k = _event_k(e.props)
-        return e.select(e.user_id.alias("contact_id"), e.ts.alias("sent_at"),
-                        F.lit("email").alias("utm_source"),
-                        *[v.alias(n) for n, v in _utm(k).items()], e.event_id.alias("touch_id"))
+        return email_from_events(d("events"))
 
     def sales_activities():
-        e = events("purchase", "error")
-        return e.select(e.event_id.alias("activity_id"), e.user_id.alias("contact_id"), e.ts,
-                        e.event_type.alias("type"),
-                        F.when(e.event_type == "error", "no_answer").otherwise("connected")
-                         .alias("outcome"),
-                        e.event_id.alias("touch_id"))
+        return activities_from_events(d("events"))
 
     def content_engagement():
         e = d("events")
