@@ -4,10 +4,8 @@
 opportunity with two sales counts its amount twice in ``pipeline_amount``
 (as the original query does).
 
-The seven metrics need five distinct counts.  Instead of one aggregate
-with five DISTINCTs (which Spark runs by expanding every row five times),
-the base is aggregated once to lead grain and once to opportunity grain,
-each with map-side combine, and the two small per-group results joined.
+The seven metrics need five distinct counts; they stay one aggregate
+(see ``funnel``).
 """
 
 from __future__ import annotations
@@ -37,40 +35,29 @@ def _rate(num: Column, den: Column) -> Column:
 
 
 def funnel(base: DataFrame, key: Column, key_name: str) -> DataFrame:
-    """Funnel metrics per ``key`` over a lead_base."""
-    b = base.withColumn(key_name, key)
+    """Funnel metrics per ``key`` over a lead_base, in one aggregate.
+
+    Catalyst plans the five distinct counts as one Expand followed by a
+    two-phase aggregate (each row is replicated once per distinct key and
+    combined map-side), so the lead/opportunity/sales join runs once.
+    Splitting the work into per-grain branches would make every branch
+    recompute that join, because each branch prunes the shared subplan
+    differently and no exchange can be reused.
+    """
     won = F.col("win_flag") == 1
-    lead_grain = (b.where(F.col("lead_id").isNotNull())
-                   .groupBy(key_name, "lead_id")
-                   .agg(F.max((F.col("mql_status") == 1).cast("int")).alias("mql"),
-                        F.max((F.col("sql_status") == 1).cast("int")).alias("sql"))
-                   .groupBy(key_name)
-                   .agg(F.count(F.lit(1)).alias("leads"),
-                        F.sum(F.coalesce("mql", F.lit(0))).alias("mqls"),
-                        F.sum(F.coalesce("sql", F.lit(0))).alias("sqls")))
-    opp_grain = (b.where(F.col("opportunity_id").isNotNull())
-                  .groupBy(key_name, "opportunity_id")
-                  .agg(F.max(won.cast("int")).alias("won"))
-                  .groupBy(key_name)
-                  .agg(F.count(F.lit(1)).alias("opps"),
-                       F.sum(F.coalesce("won", F.lit(0))).alias("won_opps")))
-    money = b.groupBy(key_name).agg(
+    leads = F.count_distinct("lead_id")
+    opps = F.count_distinct("opportunity_id")
+    won_opps = F.count_distinct(F.when(won, F.col("opportunity_id")))
+    return base.groupBy(key.alias(key_name)).agg(
+        leads.alias("leads"),
+        F.count_distinct(F.when(F.col("mql_status") == 1, F.col("lead_id"))).alias("mqls"),
+        F.count_distinct(F.when(F.col("sql_status") == 1, F.col("lead_id"))).alias("sqls"),
+        opps.alias("opps"), won_opps.alias("won_opps"),
         F.sum("pipeline_amount").cast(MONEY_SUM).alias("pipeline_amount"),
-        F.sum(F.when(won, F.col("revenue"))).cast(MONEY_SUM).alias("closed_won_revenue"))
-    # Group keys may be NULL (a lead without source): join null-safely.
-    def ns_join(a: DataFrame, c: DataFrame) -> DataFrame:
-        c2 = c.withColumnRenamed(key_name, "_k")
-        return a.join(c2, a[key_name].eqNullSafe(c2["_k"]), "left").drop("_k")
-    out = ns_join(ns_join(money, lead_grain), opp_grain)
-    zero = F.lit(0).cast("bigint")
-    leads_, opps_, won_ = (F.coalesce(F.col(c), zero) for c in ("leads", "opps", "won_opps"))
-    return out.select(
-        key_name, leads_.alias("leads"), F.coalesce("mqls", zero).alias("mqls"),
-        F.coalesce("sqls", zero).alias("sqls"), opps_.alias("opps"), won_.alias("won_opps"),
-        "pipeline_amount", "closed_won_revenue",
-        _rate(opps_, leads_).alias("lead_to_opp_rate"),
-        _rate(won_, opps_).alias("opp_to_win_rate"),
-        _rate(won_, leads_).alias("lead_to_win_rate"))
+        F.sum(F.when(won, F.col("revenue"))).cast(MONEY_SUM).alias("closed_won_revenue"),
+        _rate(opps, leads).alias("lead_to_opp_rate"),
+        _rate(won_opps, opps).alias("opp_to_win_rate"),
+        _rate(won_opps, leads).alias("lead_to_win_rate"))
 
 
 def lead_funnel(leads: DataFrame, opportunities: DataFrame, sales: DataFrame) -> DataFrame:

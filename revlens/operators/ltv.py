@@ -21,10 +21,19 @@ SEGMENTS = ["region", "employee_bucket", "subscription_plan", "abm_tier"]
 
 
 def account_ltv(subscriptions: DataFrame) -> DataFrame:
-    """account_id, lifetime_months, total_ltv, final_status."""
-    return subscriptions.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("lifetime_months"),
-        F.sum("mrr").cast(MONEY_SUM).alias("total_ltv"),
+    """account_id, lifetime_months, total_ltv, final_status.
+
+    ``MAX(status)`` over a string cannot live in a hash-aggregation buffer,
+    so a single aggregate would sort the whole subscription table.  The
+    counts and sums are hash-aggregated per (account, status) first (with
+    map-side combine); the string maximum then runs over that result, a
+    handful of rows per account.
+    """
+    per_status = subscriptions.groupBy("account_id", "status").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("mrr").alias("_mrr"))
+    return per_status.groupBy("account_id").agg(
+        F.sum("_n").alias("lifetime_months"),
+        F.sum("_mrr").cast(MONEY_SUM).alias("total_ltv"),
         F.max("status").alias("final_status"))
 
 
@@ -68,14 +77,18 @@ def ltv_by_industry(segments: DataFrame) -> DataFrame:
 
 def ltv_by_segment(segments: DataFrame, keys: list[str] = SEGMENTS) -> DataFrame:
     """Long form over several segment columns:
-    segment, segment_value, accounts, avg_ltv, avg_lifetime_months, churn_rate."""
-    parts = [segments.groupBy(F.lit(k).alias("segment"), F.col(k).cast("string").alias("segment_value"))
-                     .agg(F.count(F.lit(1)).alias("accounts"), *_metrics())
-             for k in keys]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("segment", "segment_value")
+    segment, segment_value, accounts, avg_ltv, avg_lifetime_months, churn_rate.
+
+    Each account row is unpivoted into one row per segment column and one
+    aggregation runs over the result, so the LTV pipeline is computed once
+    (a union of per-column aggregates would recompute it per column).
+    """
+    pairs = [x for k in keys for x in (F.lit(k), F.col(k).cast("string"))]
+    long = segments.select(F.stack(F.lit(len(keys)), *pairs).alias("segment", "segment_value"),
+                           "total_ltv", "lifetime_months", "final_status")
+    return (long.groupBy("segment", "segment_value")
+                .agg(F.count(F.lit(1)).alias("accounts"), *_metrics())
+                .orderBy("segment", "segment_value"))
 
 
 def overall_ltv(subscriptions: DataFrame) -> DataFrame:
