@@ -18,6 +18,9 @@ _DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Call-site capture for error messages costs several JVM round trips per
+    # PySpark call while a plan is built; jobs do not need it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
