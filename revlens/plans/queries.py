@@ -20,7 +20,7 @@ from revlens.operators import ltv as LTV
 from revlens.operators import quality as Q
 from revlens.operators import staging as STG
 from revlens.operators.dedup import keep_one
-from revlens.operators.touches import touches_from
+from revlens.operators.touches import touches, touches_from
 from revlens.session import checkpoint_dir
 from revlens.sources import driver
 from revlens.sources.marts import export_report, read_back
@@ -56,6 +56,14 @@ def q_touches(spark, sf_dir):
     return touches_from(driver.load(spark, sf_dir))
 
 
+@query("touches_normalized")
+def q_touches_normalized(spark, sf_dir):
+    """Touches with channel and UTM texts trimmed and lower-cased (N8)."""
+    cat = driver.load(spark, sf_dir)
+    return touches(cat["web_sessions_stg"], cat["email_engagement_stg"], cat["sales_activities_stg"],
+                   normalize=True)
+
+
 @query("won_sales")
 def q_won_sales(spark, sf_dir):
     return _won(driver.load(spark, sf_dir))
@@ -264,7 +272,9 @@ for _key, _table in [("stage_accounts", "accounts_stg"), ("stage_abm_accounts",
                      ("stage_email_engagement", "email_engagement_stg"),
                      ("stage_content_engagement", "content_engagement_stg"),
                      ("stage_seo", "seo_search_console_stg"), ("stage_spend", "spend_stg"),
-                     ("stage_passthrough", "campaigns_stg")]:
+                     ("stage_passthrough", "campaigns_stg"), ("stage_assets", "assets_stg"),
+                     ("stage_web_pageviews", "web_pageviews_stg"),
+                     ("stage_web_sessions", "web_sessions_stg")]:
     REGISTRY[_key] = _stage(_table)
 
 
