@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import day_ceiling, month_start
+from revlens.session import share
 
 UNKNOWN = "Unknown"
 TOUCH_FIELDS = ["ts", "touch_type", "touch_id", "utm_source", "utm_medium", "utm_campaign"]
@@ -100,10 +101,14 @@ def touch_state(won: DataFrame, touches: DataFrame, dim: str | None = None) -> D
     when given): ``k`` qualifying touches, the first and the last of them.
     """
     td = touch_days(touches, dim)
+    if dim:
+        td = share(td, "touch_days")      # read twice below
     q = (won.where(F.col("contact_id").isNotNull() & F.col("booked_at").isNotNull())
             .select("contact_id", F.col("booked_at").alias("day")).distinct())
-    # Only contacts that bought matter.
-    td = td.join(q.select("contact_id").distinct(), "contact_id", "left_semi")
+    # No semi join to buyers here: Catalyst would push it below the
+    # aggregation, shuffling raw touches by contact before any map-side
+    # combine.  Non-buyers' day rows are already reduced; the filter on
+    # query points below drops them.
     part = ["contact_id"] + (["dim"] if dim else [])
     if dim:
         q = q.join(td.select("contact_id", "dim").distinct(), "contact_id")
@@ -139,6 +144,7 @@ def order_touches(won: DataFrame, touches: DataFrame) -> DataFrame:
     order_id, sale_amount, booked_at, contact_id, touches_per_order,
     first_touch_ts, first_touch_type, last_touch_ts, last_touch_type.
     """
+    won = share(won, "won_sales")         # query points + join back
     rows = _at_booking(won, touch_state(won, touches))
     g = rows.groupBy(F.col("w.order_id").alias("order_id")).agg(
         F.sum("s.k").alias("touches_per_order"),
@@ -180,6 +186,7 @@ def first_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
 
 def last_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
     """Latest qualifying touch per order (an as-of lookup per booking day)."""
+    won = share(won, "won_sales")         # query points + join back
     rows = _at_booking(won, touch_state(won, touches))
     g = rows.groupBy(F.col("w.order_id").alias("order_id")).agg(
         _order_pick(rows, "s.last_t", F.max).alias("p"))
@@ -194,17 +201,21 @@ def linear_touch(won: DataFrame, touches: DataFrame, dim: str = "touch_type") ->
     = sale_amount * touches / touches_per_order, which equals the sum of
     the per-touch shares ``sale_amount / touches_per_order``.
     """
+    won = share(won, "won_sales")         # query points + join back
     rows = _at_booking(won, touch_state(won, touches, dim))
     g = (rows.groupBy(F.col("w.order_id").alias("order_id"),
                       F.col("w.sale_amount").alias("sale_amount"),
                       F.col("w.booked_at").alias("booked_at"),
                       F.col("w.contact_id").alias("contact_id"), F.col("s.dim").alias(dim))
              .agg(F.sum("s.k").alias("touches")))
-    per_order = g.groupBy("order_id").agg(F.sum("touches").alias("touches_per_order"))
-    j = g.join(per_order.withColumnRenamed("order_id", "_oid"),
-               g.order_id.eqNullSafe(F.col("_oid"))).drop("_oid")
-    return j.withColumn("attributed_revenue",
-                        F.col("sale_amount") * F.col("touches") / F.col("touches_per_order"))
+    # Rows of one order_id share the divisor, as PARTITION BY order_id did.
+    # The window partition holds one order's rows x channels, not a
+    # contact's volume, and keeps the plan a tree (no self-join that would
+    # make Spark compute the state twice).
+    per_order = Window.partitionBy("order_id")
+    return (g.withColumn("touches_per_order", F.sum("touches").over(per_order))
+             .withColumn("attributed_revenue",
+                         F.col("sale_amount") * F.col("touches") / F.col("touches_per_order")))
 
 
 # --------------------------------------------------------------------------
@@ -257,6 +268,7 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
 
     model, <field>, orders, revenue (rounded to cents; NULL field -> 'Unknown').
     """
+    won, touches = share(won, "won_sales"), share(touches, "touches")
     def single(model: str, detail: DataFrame) -> DataFrame:
         return (detail.groupBy(_channel(field).alias(field))
                       .agg(F.count(F.lit(1)).alias("orders"),
@@ -275,6 +287,7 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
 
 def untouched_orders(won: DataFrame, touches: DataFrame) -> DataFrame:
     """Won sales whose order_id has no qualifying touch (anti join)."""
+    won = share(won, "won_sales")         # probe side and anti-join side
     t = touches.where(F.col("contact_id").isNotNull() & F.col("ts").isNotNull())
     first_day = t.groupBy("contact_id").agg(F.min(day_ceiling("ts")).alias("first_day"))
     w, c = won.alias("w"), first_day.alias("c")

@@ -47,11 +47,14 @@ def funnel(base: DataFrame, key: Column, key_name: str) -> DataFrame:
     won = F.col("win_flag") == 1
     leads = F.count_distinct("lead_id")
     opps = F.count_distinct("opportunity_id")
-    won_opps = F.count_distinct(F.when(won, F.col("opportunity_id")))
+    # COUNT(DISTINCT CASE WHEN c THEN k END) written as a FILTER on the same
+    # column: Catalyst then expands once per distinct column (lead_id,
+    # opportunity_id) instead of once per distinct expression.
+    won_opps = F.expr("count(DISTINCT opportunity_id) FILTER (WHERE win_flag = 1)")
     return base.groupBy(key.alias(key_name)).agg(
         leads.alias("leads"),
-        F.count_distinct(F.when(F.col("mql_status") == 1, F.col("lead_id"))).alias("mqls"),
-        F.count_distinct(F.when(F.col("sql_status") == 1, F.col("lead_id"))).alias("sqls"),
+        F.expr("count(DISTINCT lead_id) FILTER (WHERE mql_status = 1)").alias("mqls"),
+        F.expr("count(DISTINCT lead_id) FILTER (WHERE sql_status = 1)").alias("sqls"),
         opps.alias("opps"), won_opps.alias("won_opps"),
         F.sum("pipeline_amount").cast(MONEY_SUM).alias("pipeline_amount"),
         F.sum(F.when(won, F.col("revenue"))).cast(MONEY_SUM).alias("closed_won_revenue"),

@@ -137,3 +137,20 @@ def test_hot_contact_matches_brute_force_and_stays_bounded(spark):
     # the hot contact's largest window group is bounded by distinct days, not by its 4,800 touches
     state_rows = A.touch_days(t, "touch_type").where("contact_id = 1").count()
     assert state_rows <= (days + 1) * 3
+
+
+def test_shared_intermediates_written_once(spark, edge):
+    """With the share threshold at 0, won sales and touch days are written to
+    the shared folder and read back; results must not change."""
+    tables, won, t = edge
+    spark.conf.set("revlens.share.minBytes", "0")
+    try:
+        lin = brute.rows(A.linear_by_channel(A.linear_touch(won, t)))
+        last = brute.rows(A.single_touch_by_channel(A.last_touch(won, t)))
+        by_utm = A.attribution_by(won, t, "utm_medium").count()
+    finally:
+        spark.conf.unset("revlens.share.minBytes")
+    brute.register(spark, tables)
+    assert lin == brute.rows(brute.linear_by_channel(spark))
+    assert last == brute.rows(brute.last_by_channel(spark))
+    assert by_utm > 0
