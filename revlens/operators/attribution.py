@@ -267,22 +267,56 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
     """All three models keyed by a touch field (utm_medium, utm_campaign, ...).
 
     model, <field>, orders, revenue (rounded to cents; NULL field -> 'Unknown').
+
+    One per-(contact, booking day, value) state serves all three models,
+    and the plan stays a single chain:
+
+    1. the state joined to won sales is summed to one row per
+       (order row, value);
+    2. one window per order_id adds the order's divisor and its first and
+       last touch (the min / max of the per-value picks);
+    3. one aggregate per value sums the linear credit and counts, for the
+       first and last model, the single row of each order whose value and
+       sale row are those of its first / last touch; ``stack`` unpivots the
+       three models.
     """
-    won, touches = share(won, "won_sales"), share(touches, "touches")
-    def single(model: str, detail: DataFrame) -> DataFrame:
-        return (detail.groupBy(_channel(field).alias(field))
-                      .agg(F.count(F.lit(1)).alias("orders"),
-                           F.sum("sale_amount").cast(MONEY_SUM).alias("revenue"))
-                      .select(F.lit(model).alias("model"), field, "orders", "revenue"))
-    lin = linear_touch(won, touches, dim=field)
-    linear = (lin.groupBy(_channel(field).alias(field))
-                 .agg(F.count_distinct("order_id").alias("orders"),
-                      F.round(F.sum("attributed_revenue"), 2).cast(MONEY_SUM).alias("revenue"))
-                 .select(F.lit("linear").alias("model"), field, "orders", "revenue"))
-    return (single("first", first_touch(won, touches))
-            .unionByName(single("last", last_touch(won, touches)))
-            .unionByName(linear)
-            .orderBy("model", F.desc_nulls_last("revenue")))
+    won = share(won, "won_sales")         # query points + join back
+    rows = _at_booking(won, touch_state(won, touches, field))
+    sale = ["sale_amount", "booked_at", "contact_id"]
+    g = (rows.groupBy(F.col("w.order_id").alias("order_id"),
+                      *[F.col(f"w.{c}").alias(c) for c in sale], F.col("s.dim").alias(field))
+             .agg(F.sum("s.k").alias("touches"),
+                  F.min(F.struct(F.col("s.first_t").alias("t"),
+                                 *[F.col(f"w.{c}").alias(c) for c in sale])).alias("f"),
+                  F.max(F.struct(F.col("s.last_t").alias("t"),
+                                 *[F.col(f"w.{c}").alias(c) for c in sale])).alias("l")))
+    order = Window.partitionBy("order_id")
+    g = g.select("*", F.sum("touches").over(order).alias("touches_per_order"),
+                 F.min("f").over(order).alias("first"), F.max("l").over(order).alias("last"))
+
+    def is_pick(p: str) -> Column:
+        cond = F.col(field).eqNullSafe(F.col(f"{p}.t.{field}"))
+        for c in sale:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"{p}.{c}"))
+        return cond
+
+    credit = F.col("sale_amount") * F.col("touches") / F.col("touches_per_order")
+    per_value = g.groupBy(_channel(field).alias(field)).agg(
+        F.count_if(is_pick("first")).alias("first_orders"),
+        F.sum(F.when(is_pick("first"), F.col("sale_amount"))).alias("first_revenue"),
+        F.count_if(is_pick("last")).alias("last_orders"),
+        F.sum(F.when(is_pick("last"), F.col("sale_amount"))).alias("last_revenue"),
+        F.count_distinct("order_id").alias("linear_orders"),
+        F.sum(credit).alias("linear_revenue"))
+    money = lambda c: F.round(F.col(c), 2).cast(MONEY_SUM)
+    long = per_value.select(field, F.stack(
+        F.lit(3),
+        F.lit("first"), F.col("first_orders"), money("first_revenue"),
+        F.lit("last"), F.col("last_orders"), money("last_revenue"),
+        F.lit("linear"), F.col("linear_orders"), money("linear_revenue"),
+    ).alias("model", "orders", "revenue"))
+    return (long.where(F.col("orders") > 0).select("model", field, "orders", "revenue")
+                .orderBy("model", F.desc_nulls_last("revenue")))
 
 
 def untouched_orders(won: DataFrame, touches: DataFrame) -> DataFrame:
