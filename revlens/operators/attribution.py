@@ -43,6 +43,9 @@ from revlens.session import share
 UNKNOWN = "Unknown"
 TOUCH_FIELDS = ["ts", "touch_type", "touch_id", "utm_source", "utm_medium", "utm_campaign"]
 MONEY_SUM = "decimal(38,2)"
+# UTM fields can have thousands of values per contact: pair booking days
+# with at most this many values of one contact per join key.
+UTM_VALUES_PER_TASK = 64
 
 
 # --------------------------------------------------------------------------
@@ -93,12 +96,36 @@ def touch_days(touches: DataFrame, dim: str | None = None) -> DataFrame:
                                 F.max(_touch_struct()).alias("last_t"))
 
 
-def touch_state(won: DataFrame, touches: DataFrame, dim: str | None = None) -> DataFrame:
+def _query_points_per_value(q: DataFrame, values: DataFrame, per_task: int | None) -> DataFrame:
+    """Every booking day of a contact paired with every value it touched.
+
+    The pairs of one contact number (booking days x values).  With
+    ``per_task`` set, a contact's values are hashed into
+    ceil(values / per_task) buckets and its query points replicated once
+    per bucket, so a contact with thousands of values (UTM campaigns, say)
+    is joined in many tasks instead of one; contacts with few values keep a
+    single bucket and are not replicated.
+    """
+    if not per_task:
+        return q.join(values, "contact_id")
+    fan = values.groupBy("contact_id").agg(F.count(F.lit(1)).alias("_nv"))
+    buckets = F.ceil(F.col("_nv") / F.lit(per_task)).cast("int")
+    qb = q.join(fan, "contact_id").select(
+        "contact_id", "day", F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_b"))
+    vb = values.join(fan, "contact_id").select(
+        "contact_id", "dim", F.pmod(F.xxhash64("dim"), buckets.cast("long")).cast("int").alias("_b"))
+    return qb.join(vb, ["contact_id", "_b"]).drop("_b")
+
+
+def touch_state(won: DataFrame, touches: DataFrame, dim: str | None = None,
+                values_per_task: int | None = None) -> DataFrame:
     """Touch totals of each contact up to each of its booking days.
 
     Returns (contact_id, day[, dim], k, first_t, last_t) for every booking
     day of a won sale with at least one qualifying touch (per ``dim`` value
     when given): ``k`` qualifying touches, the first and the last of them.
+    ``values_per_task`` salts the pairing of booking days with values for
+    high-cardinality ``dim`` (see ``_query_points_per_value``).
     """
     td = touch_days(touches, dim)
     if dim:
@@ -111,7 +138,7 @@ def touch_state(won: DataFrame, touches: DataFrame, dim: str | None = None) -> D
     # query points below drops them.
     part = ["contact_id"] + (["dim"] if dim else [])
     if dim:
-        q = q.join(td.select("contact_id", "dim").distinct(), "contact_id")
+        q = _query_points_per_value(q, td.select("contact_id", "dim").distinct(), values_per_task)
     struct_t = td.schema["first_t"].dataType
     events = td.withColumn("is_q", F.lit(0)).unionByName(
         q.select(*part, "day", F.lit(0).cast("bigint").alias("n"),
@@ -281,7 +308,7 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
        three models.
     """
     won = share(won, "won_sales")         # query points + join back
-    rows = _at_booking(won, touch_state(won, touches, field))
+    rows = _at_booking(won, touch_state(won, touches, field, values_per_task=UTM_VALUES_PER_TASK))
     sale = ["sale_amount", "booked_at", "contact_id"]
     g = (rows.groupBy(F.col("w.order_id").alias("order_id"),
                       *[F.col(f"w.{c}").alias(c) for c in sale], F.col("s.dim").alias(field))

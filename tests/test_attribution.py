@@ -94,10 +94,12 @@ def test_monthly_sums_equal_channel_totals(edge):
     assert a == b
 
 
-def test_hot_contact_matches_brute_force_and_stays_bounded(spark):
-    """One contact holds most touches and orders: the pair-free plan must
-    agree with the pair join while its window groups stay bounded by days."""
-    days = 60
+HOT_DAYS = 60
+
+
+def hot_tables(spark):
+    """One contact holds 80% of 6,000 web touches and two thirds of 300 orders."""
+    days = HOT_DAYS
     web = spark.range(6000).select(
         F.when(F.col("id") % 10 < 8, F.lit(1)).otherwise(F.col("id") % 50 + 2).cast("bigint").alias("contact_id"),
         F.timestamp_add("MINUTE", (F.col("id") * 13) % (days * 1440),
@@ -128,8 +130,16 @@ def test_hot_contact_matches_brute_force_and_stays_bounded(spark):
                           F.lit(1).alias("mql_flag"), F.lit(1).alias("sql_flag"))
     tables = {"web_sessions_stg": web, "email_engagement_stg": email, "sales_activities_stg": acts,
               "sales_stg": orders, "opportunities_stg": opps, "leads_stg": leads}
+    return tables
+
+
+def test_hot_contact_matches_brute_force_and_stays_bounded(spark):
+    """One contact holds most touches and orders: the pair-free plan must
+    agree with the pair join while its window groups stay bounded by days."""
+    days = HOT_DAYS
+    tables = hot_tables(spark)
     brute.register(spark, tables)
-    won = A.won_sales(orders, opps, leads)
+    won = A.won_sales(tables["sales_stg"], tables["opportunities_stg"], tables["leads_stg"])
     t = touches_from(tables)
     assert brute.rows(A.single_touch_by_channel(A.first_touch(won, t))) == brute.rows(brute.first_by_channel(spark))
     assert brute.rows(A.single_touch_by_channel(A.last_touch(won, t))) == brute.rows(brute.last_by_channel(spark))
@@ -154,3 +164,20 @@ def test_shared_intermediates_written_once(spark, edge):
     assert lin == brute.rows(brute.linear_by_channel(spark))
     assert last == brute.rows(brute.last_by_channel(spark))
     assert by_utm > 0
+
+
+def test_salted_value_pairing_equals_unsalted(spark, monkeypatch):
+    """Booking days x values of a hot contact split over hash buckets give
+    the same state and the same UTM report as the single-bucket pairing."""
+    tables = hot_tables(spark)
+    won = A.won_sales(tables["sales_stg"], tables["opportunities_stg"], tables["leads_stg"])
+    t = touches_from(tables)
+    plain = A.touch_state(won, t, "utm_campaign")
+    salted = A.touch_state(won, t, "utm_campaign", values_per_task=2)   # 5 values -> 3 buckets
+    assert plain.count() > 0
+    assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
+    monkeypatch.setattr(A, "UTM_VALUES_PER_TASK", 2)
+    a = brute.rows(A.attribution_by(won, t, "utm_campaign"))
+    monkeypatch.setattr(A, "UTM_VALUES_PER_TASK", None)
+    b = brute.rows(A.attribution_by(won, t, "utm_campaign"))
+    assert a == b
