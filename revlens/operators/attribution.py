@@ -193,6 +193,27 @@ def _detail(g: DataFrame) -> DataFrame:
                     F.col("p.t.touch_type").alias("touch_type"))
 
 
+def _booking_days(won: DataFrame) -> DataFrame:
+    """Distinct (contact_id, day) booking days of won sales: the query points."""
+    return (won.where(F.col("contact_id").isNotNull() & F.col("booked_at").isNotNull())
+               .select("contact_id", F.col("booked_at").alias("day")).distinct())
+
+
+def _at_booking_days(won: DataFrame, per_contact: DataFrame, first_day: str) -> DataFrame:
+    """Per-contact rows lifted onto the contact's booking days on or after
+    ``first_day``, joined to won sales on (contact, booking day).
+
+    Joining won sales to a per-contact table on contact alone would put a
+    contact holding a third of all sales into one task, and AQE cannot split
+    it (that side is already partitioned by contact, so no shuffle sits
+    under the join).  The lift is bounded by the contact's booking days, and
+    the (contact, day) join has a shuffle on both sides that AQE can split.
+    """
+    points = (_booking_days(won).join(per_contact, "contact_id")
+                                .where(F.col(first_day) <= F.col("day")))
+    return _at_booking(won, points)
+
+
 def first_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
     """Earliest qualifying touch per order.
 
@@ -200,14 +221,13 @@ def first_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
     contact's first touch overall, so a per-contact minimum (no window)
     is enough: it qualifies when its day is on or before the booking day.
     """
+    won = share(won, "won_sales")         # query points + join back
     t = touches.where(F.col("contact_id").isNotNull() & F.col("ts").isNotNull())
     first = (t.groupBy("contact_id").agg(F.min(_touch_struct()).alias("first_t"))
-              .withColumn("day", day_ceiling("first_t.ts")))
-    w, c = won.alias("w"), first.alias("c")
-    rows = w.join(c, (F.col("w.contact_id") == F.col("c.contact_id"))
-                  & (F.col("c.day") <= F.col("w.booked_at")))
+              .withColumn("first_day", day_ceiling("first_t.ts")))
+    rows = _at_booking_days(won, first, "first_day")
     g = rows.groupBy(F.col("w.order_id").alias("order_id")).agg(
-        _order_pick(rows, "c.first_t", F.min).alias("p"))
+        _order_pick(rows, "s.first_t", F.min).alias("p"))
     return _detail(g)
 
 
@@ -348,13 +368,11 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
 
 def untouched_orders(won: DataFrame, touches: DataFrame) -> DataFrame:
     """Won sales whose order_id has no qualifying touch (anti join)."""
-    won = share(won, "won_sales")         # probe side and anti-join side
+    won = share(won, "won_sales")         # query points, join back and anti-join side
     t = touches.where(F.col("contact_id").isNotNull() & F.col("ts").isNotNull())
     first_day = t.groupBy("contact_id").agg(F.min(day_ceiling("ts")).alias("first_day"))
-    w, c = won.alias("w"), first_day.alias("c")
-    touched = (w.join(c, (F.col("w.contact_id") == F.col("c.contact_id"))
-                      & (F.col("c.first_day") <= F.col("w.booked_at")))
-                .select(F.col("w.order_id").alias("order_id")))
+    touched = (_at_booking_days(won, first_day, "first_day")
+               .select(F.col("w.order_id").alias("order_id")))
     return won.join(touched, "order_id", "left_anti")
 
 

@@ -29,7 +29,9 @@ def share_all(spark):
 # attribution_by_utm_*: 6 for the single chain + 4 small shuffles (distinct
 # contact-value pairs, values per contact, query points) that salt the
 # pairing of a hot contact's booking days with its UTM values.
-BUDGET = {"first_touch_by_channel": 4, "last_touch_by_channel": 6, "linear_by_channel": 6,
+# first_touch_by_channel: 4 + 2 small shuffles that lift the per-contact
+# first touch onto booking days, so won sales join on (contact, day).
+BUDGET = {"first_touch_by_channel": 6, "last_touch_by_channel": 6, "linear_by_channel": 6,
           "attribution_by_utm_medium": 10, "lead_funnel": 3, "ltv_by_segment": 5, "opp_influence": 6}
 
 
