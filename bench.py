@@ -5,8 +5,8 @@ local[$BENCH_CPUS] and prints one JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each query is fully executed into Spark's ``noop`` sink (no collect to the
-driver); the time per query is the best of $BENCH_REPEAT runs after one
-warm-up query.
+driver); the time per query is the best of $BENCH_REPEAT (default 3) runs after
+one warm-up query.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def _run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = get_session(f"local[{cpus}]", app="revlens-bench", shuffle_partitions=2 * cpus,
                         extra={"spark.driver.memory": "8g"})
     _run(REGISTRY["first_touch_by_channel"](spark, sf_dir))  # warm-up (JIT, file listing)

@@ -159,7 +159,7 @@ def _at_booking(won: DataFrame, state: DataFrame) -> DataFrame:
     return w.join(s, cond)
 
 
-def _order_pick(rows: DataFrame, touch_col: str, pick) -> Column:
+def _order_pick(touch_col: str, pick) -> Column:
     return pick(F.struct(F.col(touch_col).alias("t"), F.col("w.sale_amount").alias("sale_amount"),
                          F.col("w.booked_at").alias("booked_at"),
                          F.col("w.contact_id").alias("contact_id")))
@@ -175,8 +175,8 @@ def order_touches(won: DataFrame, touches: DataFrame) -> DataFrame:
     rows = _at_booking(won, touch_state(won, touches))
     g = rows.groupBy(F.col("w.order_id").alias("order_id")).agg(
         F.sum("s.k").alias("touches_per_order"),
-        _order_pick(rows, "s.first_t", F.min).alias("f"),
-        _order_pick(rows, "s.last_t", F.max).alias("l"))
+        _order_pick("s.first_t", F.min).alias("f"),
+        _order_pick("s.last_t", F.max).alias("l"))
     return g.select("order_id", "f.sale_amount", "f.booked_at", "f.contact_id",
                     "touches_per_order",
                     F.col("f.t.ts").alias("first_touch_ts"),
@@ -227,7 +227,7 @@ def first_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
               .withColumn("first_day", day_ceiling("first_t.ts")))
     rows = _at_booking_days(won, first, "first_day")
     g = rows.groupBy(F.col("w.order_id").alias("order_id")).agg(
-        _order_pick(rows, "s.first_t", F.min).alias("p"))
+        _order_pick("s.first_t", F.min).alias("p"))
     return _detail(g)
 
 
@@ -236,7 +236,7 @@ def last_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
     won = share(won, "won_sales")         # query points + join back
     rows = _at_booking(won, touch_state(won, touches))
     g = rows.groupBy(F.col("w.order_id").alias("order_id")).agg(
-        _order_pick(rows, "s.last_t", F.max).alias("p"))
+        _order_pick("s.last_t", F.max).alias("p"))
     return _detail(g)
 
 

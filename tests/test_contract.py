@@ -71,3 +71,13 @@ def test_dedup_gives_unique_keys(spark):
     assert leads.count() == leads.select("lead_id").distinct().count() == 45832
     contacts = q["stage_contacts"](spark, SF_MID)
     assert contacts.count() == contacts.select("contact_id").distinct().count()
+
+
+def test_one_row_per_touched_order(spark):
+    q = E.queries()
+    touched = q["order_touches"](spark, SF_MID)
+    n = touched.count()
+    assert n == touched.select("order_id").distinct().count() == 467
+    for key in ("first_touch", "last_touch"):
+        df = q[key](spark, SF_MID)
+        assert df.count() == df.select("order_id").distinct().count() == n
