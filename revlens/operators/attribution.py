@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import day_ceiling, month_start
+from revlens.operators.dedup import keep_one
 from revlens.session import share
 
 UNKNOWN = "Unknown"
@@ -52,8 +53,20 @@ UTM_VALUES_PER_TASK = 64
 # Sales side
 # --------------------------------------------------------------------------
 
-def won_sales(sales: DataFrame, opportunities: DataFrame, leads: DataFrame) -> DataFrame:
-    """Closed-won sales with their contact: order_id, sale_amount, booked_at, contact_id."""
+def won_sales(sales: DataFrame, opportunities: DataFrame, leads: DataFrame,
+              dedupe_keys: bool = False) -> DataFrame:
+    """Closed-won sales with their contact: order_id, sale_amount, booked_at, contact_id.
+
+    Duplicate order, opportunity and lead ids fan out, as in the original
+    (the duplicate-key checks report them).  ``dedupe_keys`` keeps one row
+    per id first: the latest booking per order_id, the latest opportunity
+    per opportunity_id, the latest lead per lead_id (ties by the remaining
+    columns).
+    """
+    if dedupe_keys:
+        sales = keep_one(sales, ["order_id"], "booked_at", descending=True)
+        opportunities = keep_one(opportunities, ["opportunity_id"], "created_at", descending=True)
+        leads = keep_one(leads, ["lead_id"], "created_at", descending=True)
     o = opportunities.where(F.col("win_flag") == 1).select("opportunity_id", "lead_id")
     lead = leads.select("lead_id", "contact_id")
     s = sales.select("order_id", "opportunity_id",

@@ -181,3 +181,14 @@ def test_salted_value_pairing_equals_unsalted(spark, monkeypatch):
     monkeypatch.setattr(A, "UTM_VALUES_PER_TASK", None)
     b = brute.rows(A.attribution_by(won, t, "utm_campaign"))
     assert a == b
+
+
+def test_dedupe_keys_option(edge):
+    tables, won, _ = edge
+    dedup = A.won_sales(tables["sales_stg"], tables["opportunities_stg"], tables["leads_stg"],
+                        dedupe_keys=True)
+    got = sorted((r.order_id, r.contact_id, r.booked_at) for r in dedup.collect())
+    # order 2 keeps its latest booking (contact 5, 2024-01-20); the default keeps both rows
+    assert got == [(1, 1, dt.date(2024, 1, 10)), (2, 5, dt.date(2024, 1, 20)),
+                   (4, 4, dt.date(2024, 1, 15)), (6, 1, dt.date(2024, 2, 1))]
+    assert won.count() == 5
