@@ -104,8 +104,22 @@ def activities_from_events(events: DataFrame) -> DataFrame:
                     e.event_id.alias("touch_id"))
 
 
+_CATALOGS: dict[tuple[str, str], Catalog] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Catalog of raw and staged CRM tables over ``sf_dir``."""
+    """Catalog of raw and staged CRM tables over ``sf_dir``.
+
+    A catalog holds lazy plans only (no data), so one is kept per
+    application and folder and reused by every query that reads it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _CATALOGS:
+        _CATALOGS[key] = _build(spark, sf_dir)
+    return _CATALOGS[key]
+
+
+def _build(spark: SparkSession, sf_dir: str) -> Catalog:
     cat = Catalog(spark)
     for t in DRIVER_TABLES:
         cat.read_parquet(f"driver.{t}", f"{sf_dir.rstrip('/')}/{t}.parquet", DRIVER_SCHEMAS[t])
