@@ -62,3 +62,18 @@ def test_user_crm_tables_end_to_end(spark):
     ours = A.single_touch_by_channel(A.first_touch(won_sales_of(crm), touches_from(crm)))
     expected = REGISTRY["first_touch_by_channel"](spark, SF_SMALL)
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_refresh_marts(spark):
+    """All marts written in one run equal the registered queries."""
+    from revlens.plans.marts import refresh_marts
+    from revlens.plans.queries import REGISTRY
+    out = _path(spark, "marts")
+    written = refresh_marts(driver.load(spark, SF_SMALL), out)
+    assert len(written) == 20
+    for name in ("first_touch_by_channel", "linear_by_month", "customer_influence", "ltv_by_abm",
+                 "attribution_by_utm_campaign"):
+        back = spark.read.parquet(written[name])
+        expected = REGISTRY[name](spark, SF_SMALL)
+        assert sorted(map(tuple, back.select(*expected.columns).collect())) == \
+            sorted(map(tuple, expected.collect())), name
