@@ -402,7 +402,8 @@ def qa_reconcile(sales: DataFrame, opportunities: DataFrame, won: DataFrame) ->
     o = opportunities.where(F.col("win_flag") == 1).select("opportunity_id")
     truth = sales.join(o, "opportunity_id").agg(
         F.sum("booked_amount").cast(MONEY_SUM).alias("total_won_revenue"))
-    entering = won.agg(F.count_distinct("order_id").alias("total_won_orders"),
-                       F.sum("sale_amount").cast(MONEY_SUM).alias("revenue_in_attribution"))
-    # Both sides are single-row global aggregates: the broadcast is bounded.
-    return truth.crossJoin(F.broadcast(entering))
+    entering = won.agg(F.struct(
+        F.count_distinct("order_id").alias("orders"),
+        F.sum("sale_amount").cast(MONEY_SUM).alias("revenue"))).scalar()   # scalar subquery
+    return truth.select("total_won_revenue", entering["orders"].alias("total_won_orders"),
+                        entering["revenue"].alias("revenue_in_attribution"))

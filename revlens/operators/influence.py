@@ -57,11 +57,10 @@ def opp_influence(opportunities: DataFrame, leads: DataFrame, touches: DataFrame
     j = _influenced(opps_with_contact(opportunities, leads), touches, "opp_created_at")
     per = j.groupBy(F.col("c.touch_type").alias("channel")).agg(
         F.count_distinct("r.opportunity_id").alias("ops_influenced"))
-    base = opportunities.agg(F.count_distinct("opportunity_id").alias("_base"))
-    # base is one row (a global aggregate), so broadcasting it is bounded.
-    return (per.crossJoin(F.broadcast(base))
-               .select("channel", "ops_influenced",
-                       _ratio(F.col("ops_influenced"), F.col("_base"), 2).alias("influence_opps_pct"))
+    # The base is an uncorrelated scalar subquery, run once and inlined.
+    base = opportunities.agg(F.count_distinct("opportunity_id")).scalar()
+    return (per.select("channel", "ops_influenced",
+                       _ratio(F.col("ops_influenced"), base, 2).alias("influence_opps_pct"))
                .orderBy(F.desc_nulls_last("influence_opps_pct")))
 
 
@@ -74,10 +73,9 @@ def pipeline_influence(opportunities: DataFrame, leads: DataFrame, touches: Data
     ot = opportunity_touches(opportunities, leads, touches)
     per = ot.groupBy(F.col("touched_channel").alias("channel")).agg(
         F.sum("amount").alias("_p"))
-    base = opportunities.agg(F.sum("amount").alias("_base"))
-    return (per.crossJoin(F.broadcast(base))
-               .select("channel", F.col("_p").cast(MONEY_SUM).alias("pipeline_influenced"),
-                       _ratio(F.col("_p"), F.col("_base"), 2).alias("influence_pipeline_pct"))
+    base = opportunities.agg(F.sum("amount")).scalar()
+    return (per.select("channel", F.col("_p").cast(MONEY_SUM).alias("pipeline_influenced"),
+                       _ratio(F.col("_p"), base, 2).alias("influence_pipeline_pct"))
                .orderBy(F.desc_nulls_last("influence_pipeline_pct")))
 
 
@@ -87,9 +85,7 @@ def customer_influence(won: DataFrame, touches: DataFrame) -> DataFrame:
     j = _influenced(won, touches, "booked_at")
     per = j.groupBy(F.col("c.touch_type").alias("channel")).agg(
         F.count_distinct("r.order_id").alias("buyers_influenced"))
-    base = won.agg(F.count_distinct("order_id").alias("_base"))
-    return (per.crossJoin(F.broadcast(base))
-               .select("channel", "buyers_influenced",
-                       _ratio(F.col("buyers_influenced"), F.col("_base"), 4)
-                        .alias("influence_customers_pct"))
+    base = won.agg(F.count_distinct("order_id")).scalar()
+    return (per.select("channel", "buyers_influenced",
+                       _ratio(F.col("buyers_influenced"), base, 4).alias("influence_customers_pct"))
                .orderBy(F.desc_nulls_last("influence_customers_pct")))

@@ -99,10 +99,9 @@ def overall_ltv(subscriptions: DataFrame) -> DataFrame:
 def overall_cac(spend: DataFrame, sales: DataFrame) -> DataFrame:
     """CAC = all spend / count of non-null order_id in sales (NULL when none)."""
     total = spend.agg(F.sum("spend").alias("spend"))
-    customers = sales.agg(F.count("order_id").alias("customers"))
-    # Two one-row global aggregates: the broadcast is bounded.
-    return total.crossJoin(F.broadcast(customers)).select(
-        (F.col("spend") / F.nullif(F.col("customers"), F.lit(0))).cast("decimal(38,6)").alias("CAC"))
+    customers = sales.agg(F.count("order_id")).scalar()     # scalar subquery, run once
+    return total.select(
+        (F.col("spend") / F.nullif(customers, F.lit(0))).cast("decimal(38,6)").alias("CAC"))
 
 
 def spend_vs_attribution(spend: DataFrame, first_by_month: DataFrame) -> DataFrame:
