@@ -9,21 +9,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.operators.dedup import keep_one, removed_rows
+from revlens.session import share
 from revlens.sources.schemas import dictionary_rows
 
 # Fixed value from the contact cleaning script: a valid email is x@y.com.
 VALID_EMAIL_PATTERN = "%@%.com"
 
 
+# A key holding more than 1 / HOT_KEY_SHARE of all rows is hot.  Counts sum
+# to the row total, so there are at most HOT_KEY_SHARE hot keys.
+HOT_KEY_SHARE = 1000
+
+
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs more than once (``key IN (... HAVING COUNT(*) > 1)``).
 
-    The counting aggregate combines map-side, so a hot key costs one row per
-    task before the shuffle; the semi join back is skew-split by AQE.
+    Key counts are a hash aggregate with map-side combine.  Joining the rows
+    back to the duplicated keys would send every row of a hot key to one
+    task, so the keys are split: hot keys (at most ``HOT_KEY_SHARE`` of them,
+    a proven bound) are broadcast, and their rows are selected without any
+    shuffle; they are also removed, by the same broadcast, before the
+    remaining rows are shuffled for the semi join with the other keys.
     """
     keys = list(keys)
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1).drop("count")
-    return df.join(dup, keys, "left_semi")
+    counts = share(df.groupBy(*keys).count(), "key_counts")       # read three times below
+    total = counts.agg(F.sum("count")).scalar()
+    dup = counts.where(F.col("count") > 1)
+    hot = F.broadcast(dup.where(F.col("count") * HOT_KEY_SHARE > total).select(*keys))
+    cold = dup.where(F.col("count") * HOT_KEY_SHARE <= total).select(*keys)
+    hot_rows = df.join(hot, keys, "left_semi")
+    cold_rows = df.join(hot, keys, "left_anti").join(cold, keys, "left_semi")
+    return hot_rows.unionByName(cold_rows)
 
 
 def dedup_preview(df: DataFrame, keys: Sequence[str], order_by: str, descending: bool,

@@ -117,3 +117,20 @@ def test_profile_and_domains(spark):
     assert Q.distinct_count(raw, "lead_id").collect()[0][0] == 3
     assert Q.lookup_key(raw, "lead_id", 2).count() == 2
     assert Q.data_dictionary(spark).where(F.col("declared_key")).count() >= 5
+
+
+def test_duplicate_rows_hot_key_split(spark):
+    """A key with half of all rows goes through the broadcast path; the result
+    equals the literal IN (... HAVING COUNT(*) > 1) form, NULL keys excluded."""
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7))                      # hot key: 2,000 rows
+         .when(F.col("id") % 11 == 1, F.lit(None))                  # NULL keys, repeated
+         .otherwise(F.col("id") % 500).cast("bigint").alias("k"),   # cold duplicates and singles
+        F.col("id").alias("v"))
+    df.createOrReplaceTempView("dup_src")
+    literal = spark.sql("""SELECT * FROM dup_src WHERE k IN
+        (SELECT k FROM dup_src GROUP BY k HAVING COUNT(*) > 1)""")
+    ours = Q.duplicate_rows(df, ["k"])
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, literal.collect()))
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
