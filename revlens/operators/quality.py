@@ -32,8 +32,8 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     remaining rows are shuffled for the semi join with the other keys.
     """
     keys = list(keys)
-    counts = share(df.groupBy(*keys).count(), "key_counts")       # read three times below
-    total = counts.agg(F.sum("count")).scalar()
+    counts = share(df.groupBy(*keys).count(), "key_counts")       # read twice below
+    total = df.agg(F.count(F.lit(1))).scalar()                     # a scan, no grouping
     dup = counts.where(F.col("count") > 1)
     hot = F.broadcast(dup.where(F.col("count") * HOT_KEY_SHARE > total).select(*keys))
     cold = dup.where(F.col("count") * HOT_KEY_SHARE <= total).select(*keys)
