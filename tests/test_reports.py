@@ -124,3 +124,33 @@ def test_overall_cac(spark):
     assert LTV.overall_cac(spend, sales).collect()[0].CAC == Decimal("75.000000")
     empty = sales.where("false")
     assert LTV.overall_cac(spend, empty).collect()[0].CAC is None   # no sales: NULL, not an error
+
+
+def test_opps_edge_pipeline_and_opp_influence(spark):
+    """opps_edge: lead missing, NULL amount, two opportunities of one lead,
+    one opportunity id with two amounts (distinct rows summed, raw base)."""
+    leads = frame(spark, "leads_stg", [(1, 1, "web", D(2024, 1, 1), 1, 1), (2, 2, "web", D(2024, 1, 1), 1, 1)])
+    opps = frame(spark, "opportunities_stg", [
+        (10, 1, "open", Decimal("100.00"), D(2024, 1, 10), 0),
+        (11, 1, "open", None, D(2024, 1, 10), 0),                     # NULL amount
+        (12, 2, "open", Decimal("30.00"), D(2024, 1, 10), 0),
+        (12, 2, "open", Decimal("50.00"), D(2024, 1, 10), 0),         # same id, second amount
+        (13, 99, "open", Decimal("7.00"), D(2024, 1, 10), 0),         # lead missing
+    ])
+    web = frame(spark, "web_sessions_stg", [(1, dt.datetime(2024, 1, 2, 9), "paid", 1, "g", "cpc", "c", 1),
+                                            (1, dt.datetime(2024, 1, 3, 9), "paid", 1, "g", "cpc", "c", 2),
+                                            (2, dt.datetime(2024, 1, 4, 9), "paid", 1, "g", "cpc", "c", 3)])
+    email = frame(spark, "email_engagement_stg", [(2, D(2024, 1, 5), "nl", "email", "c", 4)])
+    acts = frame(spark, "sales_activities_stg", [])
+    tables = {"leads_stg": leads, "opportunities_stg": opps, "web_sessions_stg": web,
+              "email_engagement_stg": email, "sales_activities_stg": acts}
+    brute.register(spark, tables)
+    t = touches_from(tables)
+    pipe = INF.pipeline_influence(opps, leads, t)
+    assert brute.rows(pipe) == brute.rows(brute.pipeline_influence(spark))
+    got = {r.channel: r.pipeline_influenced for r in pipe.collect()}
+    # paid: opp 10 (100) + NULL + both rows of opp 12 (30 + 50); email: opp 12 rows only
+    assert got == {"paid": Decimal("180.00"), "email": Decimal("80.00")}
+    opp = INF.opp_influence(opps, leads, t)
+    assert brute.rows(opp) == brute.rows(brute.opp_influence(spark))
+    assert {r.channel: r.ops_influenced for r in opp.collect()} == {"paid": 3, "email": 1}
