@@ -1,0 +1,2 @@
+"""DataFrame -> DataFrame operators: staging, quality, touches, attribution,
+influence, funnel, LTV/CAC."""

@@ -1,0 +1 @@
+"""Registered queries, their DuckDB oracles, and the mart refresh job."""

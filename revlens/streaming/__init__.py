@@ -1,0 +1 @@
+"""Structured Streaming: incremental staging and touch-day counts."""
