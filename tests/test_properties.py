@@ -69,3 +69,26 @@ def test_pair_free_equals_pair_join(spark, webs, emails, acts, sales):
         brute.rows(brute.linear_by_channel(spark))
     assert brute.rows(A.qa_untouched(won, t)) == brute.rows(brute.untouched(spark))
     assert brute.rows(INF.customer_influence(won, t)) == brute.rows(brute.customer_influence(spark))
+
+
+lead_row = st.tuples(st.integers(1, 6), st.sampled_from([None, "web", "ads"]), st.integers(0, 40),
+                     st.sampled_from([None, 0, 1]), st.sampled_from([None, 0, 1]))
+opp_row = st.tuples(st.integers(1, 6), st.integers(1, 7), st.integers(0, 99999), st.sampled_from([None, 0, 1]))
+sale_of_opp = st.tuples(st.integers(1, 6), st.integers(0, 99999))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(leads=st.lists(lead_row, min_size=1, max_size=8), opps=st.lists(opp_row, max_size=8),
+       sales=st.lists(sale_of_opp, max_size=6))
+def test_funnel_equals_literal(spark, leads, opps, sales):
+    """Random leads (NULL sources and flags, repeated ids), opportunities
+    (repeated ids, unknown leads) and sales: the one-aggregate funnel with
+    FILTER distinct counts equals COUNT(DISTINCT CASE ...) in SQL."""
+    from revlens.operators import funnel as FN
+    day = BASE.date()
+    L = frame(spark, "leads_stg", [(i, 1, src, day + dt.timedelta(days=d), m, q)
+                                    for (i, src, d, m, q) in leads])
+    O = frame(spark, "opportunities_stg", [(o, l, "s", Decimal(c) / 100, day, w) for (o, l, c, w) in opps])
+    S = frame(spark, "sales_stg", [(k, o, Decimal(c) / 100, day) for k, (o, c) in enumerate(sales)])
+    brute.register(spark, {"leads_stg": L, "opportunities_stg": O, "sales_stg": S})
+    assert brute.rows(FN.lead_funnel(L, O, S)) == brute.rows(brute.lead_funnel(spark))
