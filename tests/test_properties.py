@@ -92,3 +92,26 @@ def test_funnel_equals_literal(spark, leads, opps, sales):
     S = frame(spark, "sales_stg", [(k, o, Decimal(c) / 100, day) for k, (o, c) in enumerate(sales)])
     brute.register(spark, {"leads_stg": L, "opportunities_stg": O, "sales_stg": S})
     assert brute.rows(FN.lead_funnel(L, O, S)) == brute.rows(brute.lead_funnel(spark))
+
+
+dedup_row = st.tuples(st.integers(1, 4), st.sampled_from([None, 1, 2, 3]), st.integers(1, 3),
+                      st.sampled_from([None, "a", "b"]))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(dedup_row, min_size=1, max_size=14), descending=st.booleans())
+def test_keep_one_equals_row_number(spark, rows, descending):
+    """keep_one (a struct min/max aggregate) picks the row ROW_NUMBER() = 1
+    picks, with NULLs first ascending and last descending, ties broken by the
+    remaining columns; the preview is exactly the other rows."""
+    from revlens.operators import quality as Q
+    from revlens.operators.dedup import keep_one
+    df = spark.createDataFrame(rows, "k long, o long, t long, s string")
+    df.createOrReplaceTempView("kv")
+    d = "DESC NULLS LAST" if descending else "ASC NULLS FIRST"
+    literal = spark.sql(f"""SELECT k, o, t, s FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k
+        ORDER BY o {d}, t {d}, s {d}) AS rn FROM kv) WHERE rn = 1""")
+    kept = keep_one(df, ["k"], "o", descending=descending, tie_break=["t"])
+    assert brute.rows(kept) == brute.rows(literal)
+    removed = Q.dedup_preview(df, ["k"], "o", descending=descending, tie_break=["t"])
+    assert removed.count() == df.count() - kept.count()
