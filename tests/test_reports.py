@@ -154,3 +154,12 @@ def test_opps_edge_pipeline_and_opp_influence(spark):
     opp = INF.opp_influence(opps, leads, t)
     assert brute.rows(opp) == brute.rows(brute.opp_influence(spark))
     assert {r.channel: r.ops_influenced for r in opp.collect()} == {"paid": 3, "email": 1}
+
+
+def test_integer_average_option(ltv_tables):
+    """D1: the original dialect truncates AVG over integers; integer_avg gives that."""
+    seg = LTV.ltv_segments(*ltv_tables)
+    exact = {r.abm_status: r.avg_lifetime_months for r in LTV.ltv_by(seg, "abm_status").collect()}
+    trunc = {r.abm_status: r.avg_lifetime_months
+             for r in LTV.ltv_by(seg, "abm_status", integer_avg=True).collect()}
+    assert exact["Non-ABM"] == 1.5 and trunc["Non-ABM"] == 1
