@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -53,13 +54,17 @@ def get_session(master: str | None = None, app: str = "revlens",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only invent one
-    when it is unset (local tests).
+    The cluster names it in ``spark.checkpoint.dir``.  Only a ``local``
+    master (tests), where driver and executors are one process, gets a
+    folder invented for it; a cluster without the setting is an error,
+    because each executor would write to a disk of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="revlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -67,6 +72,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one run's files under the shared folder.
+
+    Spark's file system removes it when the application ends.
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back.
+
+    Cuts the lineage: a lost executor rereads files instead of recomputing,
+    and every later reader sees the same rows.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Estimated size above which a DataFrame read by several branches of one
 # plan is written once instead of recomputed per branch.  Override with the
 # session conf ``revlens.share.minBytes``.
