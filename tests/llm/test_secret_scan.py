@@ -1,0 +1,97 @@
+import hashlib
+import random
+import re
+
+from revlens.llm import queries, secret_scan
+from tests.conftest import SF_SMALL
+from tests.llm.edges import frame, rows
+
+
+def brute_base(text):
+    """The contract word for word: every kind scanned alone, short matches dropped."""
+    text, out = text or "", []
+    for k, (kind, rx, flags, group, least) in enumerate([
+            ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 12),
+            ("access", r"AKIA[A-Z0-9]+", 0, 0, 18), ("hex", r"[0-9a-f]+", 0, 0, 16)]):
+        out += [(m.start(group), k, kind, m.end(group)) for m in re.finditer(rx, text, flags) if len(m.group(group)) >= least]
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def check(found, text):
+    base = brute_base(text)
+    line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+    assert found["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+    assert [found["n_assign"], found["n_access"], found["n_hex"]] == [sum(k == x for k, _, _ in base) for x in secret_scan.KINDS]
+    spans = [s.split(":") for s in found["spans"].split(",") if s]
+    assert [(k, int(a), int(b)) for k, a, b in spans if k != "entropy"] == base
+
+
+def test_base_spans_equal_brute_force_on_whole_table(spark):
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, SF_SMALL, "documents").collect()}
+    got = queries.op1_secret_scan(spark, SF_SMALL).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        check(r, texts[r["doc_id"]])
+
+
+def test_edge_rows(spark):
+    got = secret_scan.digest(secret_scan.scan(frame(spark))).collect()
+    assert len(got) == len(rows())
+    texts = {}
+    for r in rows():
+        texts.setdefault(r[0], []).append(r[1])
+    for r in got:
+        if r["doc_id"] is not None:
+            check(r, texts[r["doc_id"]][0])
+    assert secret_scan.digest(secret_scan.scan(frame(spark, []))).count() == 0
+
+
+def test_random_near_misses_equal_brute_force():
+    rng = random.Random(7)
+    parts = ["password", "SECRET", "api_key", "apikey", "ſecret", "toKen", ":", "=", " ", "'", '"', "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef",
+             "deadbeef", "abcdefghijkl", "A1", "\n", "é", "."]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert [(secret_scan.KINDS[k], a, b) for a, k, b in secret_scan.base_spans(t)] == brute_base(t), t
+
+
+def test_entropy_equals_recomputed_windows_and_allow_list():
+    import math
+    from collections import Counter
+    rule = secret_scan.EntropyRule()
+    rng = random.Random(3)
+    for _ in range(200):
+        s = "".join(rng.choice("abcdefABCDEF0123456789xyzXYZ+/=") for _ in range(rng.randint(15, 70)))
+        hot = set()
+        for i in range(len(s) - rule.window + 1):
+            w = s[i:i + rule.window]
+            bits = -sum(c / rule.window * math.log2(c / rule.window) for c in Counter(w).values())
+            digits, letters = any(c.isdigit() for c in w), any(c.isalpha() for c in w)
+            if all(c in "0123456789abcdefABCDEF" for c in w):
+                ok = bits >= rule.hex_bits - 1e-9 and digits and letters
+            elif w.isalnum():
+                ok = bits >= rule.alnum_bits - 1e-9 and digits and letters
+            else:
+                ok = bits >= rule.base64_bits - 1e-9 and digits and any(c.isupper() for c in w) and any(c.islower() for c in w)
+            if ok:
+                hot.update(range(i, i + rule.window))
+        got = {i for a, b in secret_scan.entropy_windows(s, rule) for i in range(a, b)}
+        assert got == hot, s
+    scanner = secret_scan.Scanner(rule)
+    key = "Zx9Qw3Lp7Vt2Rk8Nm4Bc6"
+    assert scanner.spans(f"see {key} here")[1] == [(4, 4 + len(key))]
+    for clean in ["internationalization_of_something", "2024-01-02-2024-01-03-555", "123e4567-e89b-12d3-a456-426614174000", "docs/v2/install/guide/part1", "EXAMPLEZx9Qw3Lp7Vt2Rk8Nm4"]:
+        assert scanner.spans(clean)[1] == [], clean
+
+
+def test_redact_removes_every_span_and_keeps_columns(spark):
+    df = frame(spark)
+    out = secret_scan.redact(df)
+    assert out.schema == df.schema
+    got = out.collect()
+    assert len(got) == len(rows())
+    scanner = secret_scan.Scanner(secret_scan.EntropyRule())
+    for r in got:
+        base, more = scanner.spans(r["text"])
+        assert not base and not more
+        assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
