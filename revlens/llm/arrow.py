@@ -67,6 +67,34 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+#: An odd number, so it has an inverse modulo 2^64.
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(HASH_BASE), -1, 1 << 64))
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes with every bit depending on every other."""
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each data[start:end], from prefix sums of a polynomial modulo 2^64."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(HASH_BASE, n), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _powers(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch of ``schema`` from arrays or lists by name."""
     return pa.RecordBatch.from_arrays(

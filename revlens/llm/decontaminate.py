@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from revlens.llm.arrow import LOWER, batch_of, chunks, runs, text_bytes
+from revlens.llm.arrow import HASH_BASE, LOWER, batch_of, chunks, mixed, run_hashes, runs, text_bytes
 from revlens.session import written
 
 #: Words are runs of these bytes: 0-9, a-z and everything beyond ASCII (UTF-8).
@@ -45,24 +45,6 @@ WINDOW_WORDS = 13
 SHINGLE_WORDS = 5
 FILTER_BITS = 1 << 23
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    h = (h ^ (h >> np.uint64(29))) * _MIX
-    return h ^ (h >> np.uint64(32))
-
-
 class Words:
     """The words of a chunk of texts: borders, text numbers and hashes."""
 
@@ -72,10 +54,7 @@ class Words:
         self.starts, self.ends, self.doc = runs(WORD[self.data], offsets)
         self.counts = np.bincount(self.doc, minlength=len(column)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        n = len(self.data)
-        power = _powers(_BASE, n + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
-        self.hash = _mixed((sums[self.ends] - sums[self.starts]) * _powers(_INVERSE, n + 1)[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hash = run_hashes(self.data, self.starts, self.ends)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(first words, hashes) of the runs of ``k`` words within one text."""
@@ -84,9 +63,9 @@ class Words:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         h = np.full(n, np.uint64(k))
         for j in range(k):
-            h = (h + self.hash[j: j + n]) * _BASE
+            h = (h + self.hash[j: j + n]) * HASH_BASE
         whole = np.flatnonzero(self.doc[:n] == self.doc[k - 1: k - 1 + n])
-        return whole, _mixed(h[whole])
+        return whole, mixed(h[whole])
 
     def text(self, a: int, b: int) -> str:
         """Words a..b-1, joined by single spaces."""

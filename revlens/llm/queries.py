@@ -6,9 +6,9 @@ table and derives the result columns from the operator's output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import decontaminate, packing, secret_scan, simhash
+from revlens.llm import bottom_k, decontaminate, language_id, packing, quality, secret_scan, simhash, token_shards, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,42 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2))
 
 
+def part(modulus: int):
+    """crc32 of the id as text, modulo ``modulus``: the contract's split of the rows."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), part(5) != 0)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (part(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, part(4) != 2)
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (part(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.histories(table(spark, sf_dir, "pages")))
+
+
+def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.digest(bottom_k.compare_with_edit(table(spark, sf_dir, "documents")))
+
+
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_shards.materialise(table(spark, sf_dir, "documents"))
+    return token_shards.read_back(shards, token_shards.total_rows(shards))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -34,7 +66,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
+    "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
+    "op8_bottom_k": op8_bottom_k,
+    "op9_token_shards": op9_token_shards,
     "op10_pack": op10_pack,
 }
 

@@ -34,6 +34,7 @@ class Encoder:
             own = Tokenizer.from_file(path)
             own.encode_special_tokens = True
             self._ids = lambda text: own.encode(text, add_special_tokens=False).ids
+            self.size = own.get_vocab_size()
         else:
             import tiktoken
 
@@ -41,6 +42,7 @@ class Encoder:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             own = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             self._ids = own.encode_ordinary
+            self.size = own.n_vocab
 
     def document(self, text: str | None) -> np.ndarray:
         """The text's ids, then the end id, as little-endian unsigned 32-bit integers."""
