@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import bottom_k, decontaminate, language_id, packing, quality, secret_scan, simhash, token_shards, warc
+from revlens.llm import bottom_k, decontaminate, html_extract, language_id, packing, quality, secret_scan, simhash, token_shards, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def part(modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the contract's split of the rows."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus
@@ -66,6 +71,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
+    "op3_html_extract": op3_html_extract,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
