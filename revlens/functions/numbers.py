@@ -14,11 +14,6 @@ def to_money(c: str | Column, precision: int = 10, scale: int = 2) -> Column:
     """Convert to DECIMAL(precision, scale), rounding half up.
 
     A value that does not fit (or text that is not a number) becomes NULL
-    rather than failing the job.
+    rather than failing the job; ``quality.rejects`` counts these.
     """
     return _c(c).try_cast(f"decimal({precision},{scale})")
-
-
-def safe_ratio(num: str | Column, den: str | Column) -> Column:
-    """num / NULLIF(den, 0)."""
-    return _c(num) / F.nullif(_c(den), F.lit(0))

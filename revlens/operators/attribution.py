@@ -8,8 +8,9 @@ Semantics (kept from the original scripts)
   ``touch.ts <= booked_at`` (a DATE, compared as midnight: a web touch later
   on the booking day does not count, an email or sales touch that day does).
 * First / last touch: the earliest / latest qualifying touch of the order,
-  ties broken by ``touch_type`` then ``touch_id`` (ascending for first,
-  descending for last).  Linear: each qualifying touch gets
+  ties broken by ``touch_type``; of rows that repeat an order_id then by
+  amount, booking day and contact; last by ``touch_id`` (all ascending for
+  first, descending for last).  Linear: each qualifying touch gets
   ``sale_amount / touches_per_order``.
 * Rows sharing an order_id form one group, as ``PARTITION BY order_id`` did.
 
@@ -20,16 +21,20 @@ and ranks the pairs: with a hot contact that is O(orders x touches) rows in
 one task.  Here no pair is formed.  The qualifying touches of an order are
 the prefix of its contact's touches up to the booking day, so:
 
-1. touches are reduced (map-side combine) to one row per
-   ``(contact, day, channel)`` with a count and the min/max touch struct,
+1. touches are reduced by a hash aggregate to one row per
+   ``(contact, day, channel)`` with a count and the first and last instant,
    where ``day = day_ceiling(ts)`` (``ts <= D`` iff ``day <= D``);
 2. the distinct booking days of the contact's won sales are inserted as
-   query points, and one running window per ``(contact, channel)``
-   accumulates count / min / max up to each query point.  A window group
+   query points, and one running window per contact (or contact and channel)
+   accumulates count, first and last up to each query point.  A window group
    holds at most (distinct days) rows, whatever the contact's volume;
-3. won sales join the per-query-point state on ``(contact, booking day)``
-   (a many-to-one equi-join; AQE splits a skewed side);
-4. one aggregate per order_id folds duplicate order rows together.
+3. won sales join the state on ``(contact, booking day)`` (many-to-one; with
+   a shuffle on both sides, which AQE splits where one key is hot);
+4. what rows of one order_id share (the linear divisor) is aggregated,
+   written, and joined back, so a repeated order_id is split as well.
+
+Frames that several branches read are written once to the shared folder
+(``session.written``), at every size: there is one plan.
 """
 
 from __future__ import annotations
@@ -39,14 +44,13 @@ from pyspark.sql import functions as F
 
 from revlens.functions import day_ceiling, month_start
 from revlens.operators.dedup import keep_one
-from revlens.session import share
+from revlens.session import written
 
 UNKNOWN = "Unknown"
-TOUCH_FIELDS = ["ts", "touch_type", "touch_id", "utm_source", "utm_medium", "utm_campaign"]
+DETAIL_FIELDS = ["ts", "touch_type", "touch_id", "utm_source", "utm_medium", "utm_campaign"]
 MONEY_SUM = "decimal(38,2)"
-# UTM fields can have thousands of values per contact: pair booking days
-# with at most this many values of one contact per join key.
-UTM_VALUES_PER_TASK = 64
+# A touch's share of an order, and sums of shares, in the UTM reports.
+SHARE = "decimal(25,12)"
 
 
 # --------------------------------------------------------------------------
@@ -94,76 +98,58 @@ def first_lead_date(leads: DataFrame) -> DataFrame:
 # Touch state as of each booking day
 # --------------------------------------------------------------------------
 
-def _touch_struct() -> Column:
-    return F.struct(*[F.col(c) for c in TOUCH_FIELDS])
+def _known(touches: DataFrame) -> DataFrame:
+    return touches.where(F.col("contact_id").isNotNull() & F.col("ts").isNotNull())
+
+
+def channel_days(touches: DataFrame) -> DataFrame:
+    """(contact_id, day, touch_type) -> n, lo, hi: touches, first and last instant.
+
+    Counts and instants have fixed width, so this first pass over the raw
+    touches is a hash aggregate.
+    """
+    return _known(touches).groupBy("contact_id", day_ceiling("ts").alias("day"), "touch_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
 
 
-def touch_days(touches: DataFrame, dim: str | None = None) -> DataFrame:
-    """(contact_id, day[, dim]) -> n, first_t, last_t."""
-    keys = [F.col("contact_id"), day_ceiling("ts").alias("day")]
-    if dim:
-        keys.append(F.col(dim).alias("dim"))
-    t = touches.where(F.col("contact_id").isNotNull() & F.col("ts").isNotNull())
-    return t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                F.min(_touch_struct()).alias("first_t"),
-                                F.max(_touch_struct()).alias("last_t"))
+def days(channel_day: DataFrame) -> DataFrame:
+    """(contact_id, day) -> n, first_t, last_t from ``channel_days``: picks by instant, then channel."""
+    pick = lambda ts: F.struct(F.col(ts).alias("ts"), F.col("touch_type"))
+    return channel_day.groupBy("contact_id", "day").agg(
+        F.sum("n").alias("n"), F.min(pick("lo")).alias("first_t"), F.max(pick("hi")).alias("last_t"))
 
 
-def _query_points_per_value(q: DataFrame, values: DataFrame, per_task: int | None) -> DataFrame:
-    """Every booking day of a contact paired with every value it touched.
+def detail_days(touches: DataFrame) -> DataFrame:
+    """``days`` with the picked touches' ids and UTM fields, for the detail tables.
 
-    The pairs of one contact number (booking days x values).  With
-    ``per_task`` set, a contact's values are hashed into
-    ceil(values / per_task) buckets and its query points replicated once
-    per bucket, so a contact with thousands of values (UTM campaigns, say)
-    is joined in many tasks instead of one; contacts with few values keep a
-    single bucket and are not replicated.
+    Text inside the picks makes this a sort-based aggregate over raw touches.
     """
-    if not per_task:
-        return q.join(values, "contact_id")
-    fan = values.groupBy("contact_id").agg(F.count(F.lit(1)).alias("_nv"))
-    buckets = F.ceil(F.col("_nv") / F.lit(per_task)).cast("int")
-    qb = q.join(fan, "contact_id").select(
-        "contact_id", "day", F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_b"))
-    vb = values.join(fan, "contact_id").select(
-        "contact_id", "dim", F.pmod(F.xxhash64("dim"), buckets.cast("long")).cast("int").alias("_b"))
-    return qb.join(vb, ["contact_id", "_b"]).drop("_b")
-
-
-def touch_state(won: DataFrame, touches: DataFrame, dim: str | None = None,
-                values_per_task: int | None = None) -> DataFrame:
-    """Touch totals of each contact up to each of its booking days.
-
-    Returns (contact_id, day[, dim], k, first_t, last_t) for every booking
-    day of a won sale with at least one qualifying touch (per ``dim`` value
-    when given): ``k`` qualifying touches, the first and the last of them.
-    ``values_per_task`` salts the pairing of booking days with values for
-    high-cardinality ``dim`` (see ``_query_points_per_value``).
+    touch = F.struct(*[F.col(c) for c in DETAIL_FIELDS])
+    return _known(touches).groupBy("contact_id", day_ceiling("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(touch).alias("first_t"), F.max(touch).alias("last_t"))
+
+
+def booking_days(won: DataFrame) -> DataFrame:
+    """Distinct (contact_id, day) booking days of won sales: the query points."""
+    return (won.where(F.col("contact_id").isNotNull() & F.col("booked_at").isNotNull())
+               .select("contact_id", F.col("booked_at").alias("day")).distinct())
+
+
+def as_of(points: DataFrame, state: DataFrame, by: list[str], sums: list[str],
+          mins: list[str] = (), maxs: list[str] = ()) -> DataFrame:
+    """Running ``sums``, ``mins`` and ``maxs`` of ``state`` rows per ``by`` up to each point's day.
+
+    Returns (by, day, aggregates) for the points with at least one state row
+    on or before them.
     """
-    td = touch_days(touches, dim)
-    if dim:
-        td = share(td, "touch_days")      # read twice below
-    q = (won.where(F.col("contact_id").isNotNull() & F.col("booked_at").isNotNull())
-            .select("contact_id", F.col("booked_at").alias("day")).distinct())
-    # No semi join to buyers here: Catalyst would push it below the
-    # aggregation, shuffling raw touches by contact before any map-side
-    # combine.  Non-buyers' day rows are already reduced; the filter on
-    # query points below drops them.
-    part = ["contact_id"] + (["dim"] if dim else [])
-    if dim:
-        q = _query_points_per_value(q, td.select("contact_id", "dim").distinct(), values_per_task)
-    struct_t = td.schema["first_t"].dataType
-    events = td.withColumn("is_q", F.lit(0)).unionByName(
-        q.select(*part, "day", F.lit(0).cast("bigint").alias("n"),
-                 F.lit(None).cast(struct_t).alias("first_t"),
-                 F.lit(None).cast(struct_t).alias("last_t"), F.lit(1).alias("is_q")))
-    w = (Window.partitionBy(*part).orderBy("day", "is_q")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (events.select(*part, "day", "is_q", F.sum("n").over(w).alias("k"),
-                          F.min("first_t").over(w).alias("first_t"),
-                          F.max("last_t").over(w).alias("last_t"))
-                  .where((F.col("is_q") == 1) & (F.col("k") > 0))
-                  .drop("is_q"))
+    values = [*sums, *mins, *maxs]
+    blank = [F.lit(None).cast(state.schema[c].dataType).alias(c) for c in values]
+    events = state.select(*by, "day", *values, F.lit(0).alias("is_q")).unionByName(
+        points.select(*by, "day", *blank, F.lit(1).alias("is_q")))
+    w = Window.partitionBy(*by).orderBy("day", "is_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picks = [(F.sum, sums), (F.min, mins), (F.max, maxs)]
+    return (events.select(*by, "day", "is_q", *[f(c).over(w).alias(c) for f, cs in picks for c in cs])
+                  .where((F.col("is_q") == 1) & F.col(values[0]).isNotNull()).drop("is_q"))
 
 
 def _at_booking(won: DataFrame, state: DataFrame) -> DataFrame:
@@ -172,10 +158,17 @@ def _at_booking(won: DataFrame, state: DataFrame) -> DataFrame:
     return w.join(s, cond)
 
 
-def _order_pick(touch_col: str, pick) -> Column:
-    return pick(F.struct(F.col(touch_col).alias("t"), F.col("w.sale_amount").alias("sale_amount"),
-                         F.col("w.booked_at").alias("booked_at"),
-                         F.col("w.contact_id").alias("contact_id")))
+def touched_rows(won: DataFrame, day_state: DataFrame) -> DataFrame:
+    """Won sales with at least one qualifying touch: their columns, n, first_t, last_t."""
+    state = as_of(booking_days(won), day_state, ["contact_id"], ["n"], ["first_t"], ["last_t"])
+    return _at_booking(won, state).select("w.*", "s.n", "s.first_t", "s.last_t")
+
+
+def _pick(touch: str) -> Column:
+    """What the first (min) or last (max) touch of an order_id is picked by."""
+    fields = [F.col(f"{touch}.ts").alias("ts"), F.col(f"{touch}.touch_type").alias("touch_type"),
+              "sale_amount", "booked_at", "contact_id"]
+    return F.struct(*fields, F.col(touch).alias("t"))
 
 
 def order_touches(won: DataFrame, touches: DataFrame) -> DataFrame:
@@ -184,32 +177,25 @@ def order_touches(won: DataFrame, touches: DataFrame) -> DataFrame:
     order_id, sale_amount, booked_at, contact_id, touches_per_order,
     first_touch_ts, first_touch_type, last_touch_ts, last_touch_type.
     """
-    won = share(won, "won_sales")         # query points + join back
-    rows = _at_booking(won, touch_state(won, touches))
-    g = rows.groupBy(F.col("w.order_id").alias("order_id")).agg(
-        F.sum("s.k").alias("touches_per_order"),
-        _order_pick("s.first_t", F.min).alias("f"),
-        _order_pick("s.last_t", F.max).alias("l"))
-    return g.select("order_id", "f.sale_amount", "f.booked_at", "f.contact_id",
-                    "touches_per_order",
-                    F.col("f.t.ts").alias("first_touch_ts"),
-                    F.col("f.t.touch_type").alias("first_touch_type"),
-                    F.col("l.t.ts").alias("last_touch_ts"),
-                    F.col("l.t.touch_type").alias("last_touch_type"))
+    won = written(won, "won_sales")       # query points + join back
+    g = touched_rows(won, days(channel_days(touches))).groupBy("order_id").agg(
+        F.sum("n").alias("touches_per_order"), F.min(_pick("first_t")).alias("f"), F.max(_pick("last_t")).alias("l"))
+    return g.select("order_id", "f.sale_amount", "f.booked_at", "f.contact_id", "touches_per_order",
+                    F.col("f.ts").alias("first_touch_ts"), F.col("f.touch_type").alias("first_touch_type"),
+                    F.col("l.ts").alias("last_touch_ts"), F.col("l.touch_type").alias("last_touch_type"))
+
+
+_SALE = ["p.sale_amount", "p.booked_at", "p.contact_id"]
 
 
 def _detail(g: DataFrame) -> DataFrame:
-    return g.select("order_id", "p.sale_amount", "p.booked_at", "p.contact_id",
-                    F.col("p.t.ts").alias("touch_ts"), F.col("p.t.utm_source").alias("utm_source"),
-                    F.col("p.t.utm_medium").alias("utm_medium"),
-                    F.col("p.t.utm_campaign").alias("utm_campaign"),
-                    F.col("p.t.touch_type").alias("touch_type"))
+    return g.select("order_id", *_SALE, F.col("p.ts").alias("touch_ts"), F.col("p.t.utm_source").alias("utm_source"),
+                    F.col("p.t.utm_medium").alias("utm_medium"), F.col("p.t.utm_campaign").alias("utm_campaign"),
+                    "p.touch_type")
 
 
-def _booking_days(won: DataFrame) -> DataFrame:
-    """Distinct (contact_id, day) booking days of won sales: the query points."""
-    return (won.where(F.col("contact_id").isNotNull() & F.col("booked_at").isNotNull())
-               .select("contact_id", F.col("booked_at").alias("day")).distinct())
+def _channel_detail(g: DataFrame) -> DataFrame:
+    return g.select("order_id", *_SALE, F.col("p.ts").alias("touch_ts"), "p.touch_type")
 
 
 def _at_booking_days(won: DataFrame, per_contact: DataFrame, first_day: str) -> DataFrame:
@@ -222,60 +208,77 @@ def _at_booking_days(won: DataFrame, per_contact: DataFrame, first_day: str) ->
     under the join).  The lift is bounded by the contact's booking days, and
     the (contact, day) join has a shuffle on both sides that AQE can split.
     """
-    points = (_booking_days(won).join(per_contact, "contact_id")
-                                .where(F.col(first_day) <= F.col("day")))
+    points = booking_days(won).join(per_contact, "contact_id").where(F.col(first_day) <= F.col("day"))
     return _at_booking(won, points)
 
 
-def first_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
-    """Earliest qualifying touch per order.
+def _first_rows(won: DataFrame, day_state: DataFrame) -> DataFrame:
+    """Touched orders with their first touch.
 
     The first qualifying touch of an order, when there is one, is the
     contact's first touch overall, so a per-contact minimum (no window)
     is enough: it qualifies when its day is on or before the booking day.
     """
-    won = share(won, "won_sales")         # query points + join back
-    t = touches.where(F.col("contact_id").isNotNull() & F.col("ts").isNotNull())
-    first = (t.groupBy("contact_id").agg(F.min(_touch_struct()).alias("first_t"))
-              .withColumn("first_day", day_ceiling("first_t.ts")))
-    rows = _at_booking_days(won, first, "first_day")
-    g = rows.groupBy(F.col("w.order_id").alias("order_id")).agg(
-        _order_pick("s.first_t", F.min).alias("p"))
-    return _detail(g)
+    first = day_state.groupBy("contact_id").agg(F.min("first_t").alias("first_t"), F.min("day").alias("first_day"))
+    rows = _at_booking_days(won, first, "first_day").select("w.*", "s.first_t")
+    return rows.groupBy("order_id").agg(F.min(_pick("first_t")).alias("p"))
+
+
+def first_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
+    """Earliest qualifying touch per order, with its UTM fields."""
+    won = written(won, "won_sales")       # query points + join back
+    return _detail(_first_rows(won, detail_days(touches)))
+
+
+def first_channel(won: DataFrame, touches: DataFrame) -> DataFrame:
+    """``first_touch`` without UTM fields, for the channel reports: raw touches meet a hash aggregate only."""
+    won = written(won, "won_sales")       # query points + join back
+    return _channel_detail(_first_rows(won, days(channel_days(touches))))
+
+
+def _last_rows(won: DataFrame, day_state: DataFrame) -> DataFrame:
+    return touched_rows(won, day_state).groupBy("order_id").agg(F.max(_pick("last_t")).alias("p"))
 
 
 def last_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
-    """Latest qualifying touch per order (an as-of lookup per booking day)."""
-    won = share(won, "won_sales")         # query points + join back
-    rows = _at_booking(won, touch_state(won, touches))
-    g = rows.groupBy(F.col("w.order_id").alias("order_id")).agg(
-        _order_pick("s.last_t", F.max).alias("p"))
-    return _detail(g)
+    """Latest qualifying touch per order (an as-of lookup per booking day), with its UTM fields."""
+    won = written(won, "won_sales")       # query points + join back
+    return _detail(_last_rows(won, detail_days(touches)))
+
+
+def last_channel(won: DataFrame, touches: DataFrame) -> DataFrame:
+    """``last_touch`` without UTM fields, for the channel reports."""
+    won = written(won, "won_sales")       # query points + join back
+    return _channel_detail(_last_rows(won, days(channel_days(touches))))
+
+
+def _divisors(rows: DataFrame) -> DataFrame:
+    """(order, touches_per_order, order_rows) per order_id, written: joins to it have a shuffle on both sides."""
+    return written(rows.groupBy(F.col("order_id").alias("order")).agg(
+        F.sum("n").alias("touches_per_order"), F.count(F.lit(1)).alias("order_rows")), "order-divisors")
 
 
-def linear_touch(won: DataFrame, touches: DataFrame, dim: str = "touch_type") -> DataFrame:
-    """Linear credit per order and ``dim`` value (channel by default).
+def linear_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
+    """Linear credit per order and channel.
 
-    order_id, sale_amount, booked_at, contact_id, <dim>, touches (of that
-    value), touches_per_order, attributed_revenue
+    order_id, sale_amount, booked_at, contact_id, touch_type, touches (of that
+    channel), touches_per_order, attributed_revenue
     = sale_amount * touches / touches_per_order, which equals the sum of
     the per-touch shares ``sale_amount / touches_per_order``.
     """
-    won = share(won, "won_sales")         # query points + join back
-    rows = _at_booking(won, touch_state(won, touches, dim))
-    g = (rows.groupBy(F.col("w.order_id").alias("order_id"),
-                      F.col("w.sale_amount").alias("sale_amount"),
-                      F.col("w.booked_at").alias("booked_at"),
-                      F.col("w.contact_id").alias("contact_id"), F.col("s.dim").alias(dim))
-             .agg(F.sum("s.k").alias("touches")))
-    # Rows of one order_id share the divisor, as PARTITION BY order_id did.
-    # The window partition holds one order's rows x channels, not a
-    # contact's volume, and keeps the plan a tree (no self-join that would
-    # make Spark compute the state twice).
-    per_order = Window.partitionBy("order_id")
-    return (g.withColumn("touches_per_order", F.sum("touches").over(per_order))
-             .withColumn("attributed_revenue",
-                         F.col("sale_amount") * F.col("touches") / F.col("touches_per_order")))
+    won = written(won, "won_sales")       # query points + join back, twice
+    per_channel = written(channel_days(touches), "channel-days")
+    points = booking_days(won).join(per_channel.select("contact_id", "touch_type").distinct(), "contact_id")
+    # the channel is part of the window's key; a NULL channel is a group like any other
+    state = as_of(points, per_channel, ["contact_id", "touch_type"], ["n"])
+    rows = (_at_booking(won, state)
+            .groupBy("w.order_id", "w.sale_amount", "w.booked_at", "w.contact_id", "s.touch_type")
+            .agg(F.sum("s.n").alias("touches")))
+    total = per_channel.groupBy("contact_id", "day").agg(F.sum("n").alias("n"))
+    per_order = _divisors(_at_booking(won, as_of(booking_days(won), total, ["contact_id"], ["n"])).select("w.order_id", "s.n"))
+    j = rows.join(per_order, rows["order_id"].eqNullSafe(per_order["order"]))
+    return j.select("order_id", "sale_amount", "booked_at", "contact_id", "touch_type", "touches", "touches_per_order",
+                    (F.col("sale_amount") * F.col("touches") / F.col("touches_per_order")).alias("attributed_revenue"))
 
 
 # --------------------------------------------------------------------------
@@ -328,64 +331,61 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
 
     model, <field>, orders, revenue (rounded to cents; NULL field -> 'Unknown').
 
-    One per-(contact, booking day, value) state serves all three models,
-    and the plan stays a single chain:
-
-    1. the state joined to won sales is summed to one row per
-       (order row, value);
-    2. one window per order_id adds the order's divisor and its first and
-       last touch (the min / max of the per-value picks);
-    3. one aggregate per value sums the linear credit and counts, for the
-       first and last model, the single row of each order whose value and
-       sale row are those of its first / last touch; ``stack`` unpivots the
-       three models.
+    First and last touch group their picked touches by the field.  Linear
+    credit needs no pairing of booking days and values: each touch on day d
+    earns, from every order its contact books on day D >= d, that order's
+    share (sale_amount / touches_per_order, 12 decimals).  So the shares are
+    summed per (contact, booking day), summed again over that and all later
+    booking days, and each (contact, day, value, n) row earns n times the sum
+    from its day on.  Orders touched by a value are counted the same way from
+    the value's first day; order_ids on several rows are counted apart, as
+    distinct (order_id, value).
     """
-    won = share(won, "won_sales")         # query points + join back
-    rows = _at_booking(won, touch_state(won, touches, field, values_per_task=UTM_VALUES_PER_TASK))
-    sale = ["sale_amount", "booked_at", "contact_id"]
-    g = (rows.groupBy(F.col("w.order_id").alias("order_id"),
-                      *[F.col(f"w.{c}").alias(c) for c in sale], F.col("s.dim").alias(field))
-             .agg(F.sum("s.k").alias("touches"),
-                  F.min(F.struct(F.col("s.first_t").alias("t"),
-                                 *[F.col(f"w.{c}").alias(c) for c in sale])).alias("f"),
-                  F.max(F.struct(F.col("s.last_t").alias("t"),
-                                 *[F.col(f"w.{c}").alias(c) for c in sale])).alias("l")))
-    order = Window.partitionBy("order_id")
-    g = g.select("*", F.sum("touches").over(order).alias("touches_per_order"),
-                 F.min("f").over(order).alias("first"), F.max("l").over(order).alias("last"))
-
-    def is_pick(p: str) -> Column:
-        cond = F.col(field).eqNullSafe(F.col(f"{p}.t.{field}"))
-        for c in sale:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"{p}.{c}"))
-        return cond
-
-    credit = F.col("sale_amount") * F.col("touches") / F.col("touches_per_order")
-    per_value = g.groupBy(_channel(field).alias(field)).agg(
-        F.count_if(is_pick("first")).alias("first_orders"),
-        F.sum(F.when(is_pick("first"), F.col("sale_amount"))).alias("first_revenue"),
-        F.count_if(is_pick("last")).alias("last_orders"),
-        F.sum(F.when(is_pick("last"), F.col("sale_amount"))).alias("last_revenue"),
-        F.count_distinct("order_id").alias("linear_orders"),
-        F.sum(credit).alias("linear_revenue"))
-    money = lambda c: F.round(F.col(c), 2).cast(MONEY_SUM)
-    long = per_value.select(field, F.stack(
-        F.lit(3),
-        F.lit("first"), F.col("first_orders"), money("first_revenue"),
-        F.lit("last"), F.col("last_orders"), money("last_revenue"),
-        F.lit("linear"), F.col("linear_orders"), money("linear_revenue"),
-    ).alias("model", "orders", "revenue"))
-    return (long.where(F.col("orders") > 0).select("model", field, "orders", "revenue")
-                .orderBy("model", F.desc_nulls_last("revenue")))
+    won = written(won, "won_sales")       # query points + join back
+    per_day = written(detail_days(touches), "touch-days")
+    per_value = written(_known(touches).groupBy("contact_id", day_ceiling("ts").alias("day"), F.col(field).alias("value"))
+                        .agg(F.count(F.lit(1)).alias("n")), "touch-value-days")
+    rows = written(touched_rows(won, per_day), "touched-orders")
+
+    picked = rows.groupBy("order_id").agg(F.min(_pick("first_t")).alias("first"), F.max(_pick("last_t")).alias("last"))
+    single = picked.select(F.stack(
+        F.lit(2), F.lit("first"), F.col(f"first.t.{field}"), F.col("first.sale_amount"),
+        F.lit("last"), F.col(f"last.t.{field}"), F.col("last.sale_amount")).alias("model", "value", "amount"))
+    single = single.groupBy("model", "value").agg(F.count(F.lit(1)).alias("orders"), F.sum("amount").cast(MONEY_SUM).alias("revenue"))
+
+    per_order = _divisors(rows)
+    shared = rows.drop("first_t", "last_t").join(per_order, rows["order_id"].eqNullSafe(per_order["order"]))
+    shared = shared.withColumn("share", (F.col("sale_amount") / F.col("touches_per_order")).cast(SHARE))
+    booked = shared.groupBy("contact_id", F.col("booked_at").alias("day")).agg(
+        F.sum("share").cast(SHARE).alias("share"),
+        F.count_if((F.col("order_rows") == 1) & F.col("order_id").isNotNull()).alias("orders"), F.lit(1).alias("books"))
+    marks = booked.unionByName(per_day.select("contact_id", "day", F.lit(0).cast(SHARE).alias("share"),
+                                              F.lit(0).cast("bigint").alias("orders"), F.lit(0).alias("books")))
+    onward = Window.partitionBy("contact_id").orderBy(F.desc("day"), F.desc("books")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earns = written(marks.select("contact_id", "day", "books", F.sum("share").over(onward).cast(SHARE).alias("share"),
+                                 F.sum("orders").over(onward).alias("orders")).where("books = 0").drop("books"), "earned-from-day")
+
+    credit = per_value.join(earns, ["contact_id", "day"]).groupBy("value").agg(
+        F.sum(F.col("n").cast("decimal(12,0)") * F.col("share")).alias("credit"))
+    since = per_value.groupBy("contact_id", "value").agg(F.min("day").alias("day"))
+    once = since.join(earns, ["contact_id", "day"]).groupBy("value").agg(F.sum("orders").alias("orders"))
+    several = shared.where((F.col("order_rows") > 1) & F.col("order_id").isNotNull()).groupBy("order_id", "contact_id").agg(F.max("booked_at").alias("until"))
+    again = several.join(since, "contact_id").where(F.col("day") <= F.col("until")).select("order_id", "value").distinct()
+    again = again.groupBy("value").agg(F.count(F.lit(1)).alias("orders"))
+    linear = (credit.unionByName(once, allowMissingColumns=True).unionByName(again, allowMissingColumns=True)
+              .groupBy("value").agg(F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("orders"), F.sum("credit").alias("revenue"))
+              .select(F.lit("linear").alias("model"), "value", "orders", "revenue"))
+    every = single.unionByName(linear).groupBy("model", _channel("value").alias(field)).agg(
+        F.sum("orders").alias("orders"), F.round(F.sum("revenue"), 2).cast(MONEY_SUM).alias("revenue"))
+    return (every.where(F.col("orders") > 0).select("model", field, "orders", "revenue")
+                 .orderBy("model", F.desc_nulls_last("revenue")))
 
 
 def untouched_orders(won: DataFrame, touches: DataFrame) -> DataFrame:
     """Won sales whose order_id has no qualifying touch (anti join)."""
-    won = share(won, "won_sales")         # query points, join back and anti-join side
-    t = touches.where(F.col("contact_id").isNotNull() & F.col("ts").isNotNull())
-    first_day = t.groupBy("contact_id").agg(F.min(day_ceiling("ts")).alias("first_day"))
-    touched = (_at_booking_days(won, first_day, "first_day")
-               .select(F.col("w.order_id").alias("order_id")))
+    won = written(won, "won_sales")       # query points, join back and anti-join side
+    first_day = _known(touches).groupBy("contact_id").agg(F.min(day_ceiling("ts")).alias("first_day"))
+    touched = written(_at_booking_days(won, first_day, "first_day").select("w.order_id").distinct(), "touched-order-ids")
     return won.join(touched, "order_id", "left_anti")
 
 

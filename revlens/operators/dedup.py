@@ -2,9 +2,11 @@
 
 ``ROW_NUMBER() OVER (PARTITION BY key ORDER BY c) ... rn = 1`` sends every row
 of a key to one task and sorts it there; a hot key (a third of all rows)
-becomes one straggler.  The same answer comes from a hash aggregate of
-``min/max(struct(order, tie_break, rest))``: partial aggregation on the map
-side reduces each key to one row per task before anything is shuffled.
+becomes one straggler.  The same answer comes from an aggregate of
+``min/max(struct(order, tie_break, rest))``.  With text in the struct Spark
+plans it as a sort-based aggregate: every task sorts its rows by key (spilling
+if it must) and keeps one row per key before anything is shuffled, so the
+shuffle is small and a hot key is no task's burden.
 
 Struct comparison is field by field with NULL smallest, so ``min`` is
 ``ORDER BY c ASC NULLS FIRST`` and ``max`` is ``ORDER BY c DESC NULLS LAST``,
@@ -35,8 +37,3 @@ def keep_one(df: DataFrame, keys: Sequence[str], order_by: str, descending: bool
               .agg(pick(F.struct(*[F.col(c) for c in fields])).alias("_row"))
               .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in fields]))
     return kept.select(*df.columns)
-
-
-def removed_rows(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows a de-duplication drops (the ``rn > 1`` preview), as a bag difference."""
-    return df.exceptAll(kept.select(*df.columns))

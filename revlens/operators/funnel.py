@@ -25,9 +25,11 @@ def lead_base(leads: DataFrame, opportunities: DataFrame, sales: DataFrame) -> D
                              F.col("amount").alias("pipeline_amount"), "win_flag")
     s = sales.select(F.col("opportunity_id").alias("_opp"), "order_id",
                      F.col("booked_amount").alias("revenue"))
-    return (l.join(o, l.lead_id == o._lead, "left")
-             .join(s, F.col("opportunity_id") == s._opp, "left")
-             .drop("_lead", "_opp"))
+    # Opportunities meet sales first: joined the other way round, every lead
+    # without an opportunity would carry a NULL key into the second join and
+    # all of them would land in one task.
+    deals = o.join(s, o.opportunity_id == s._opp, "left").drop("_opp")
+    return l.join(deals, l.lead_id == deals._lead, "left").drop("_lead")
 
 
 def _rate(num: Column, den: Column) -> Column:
@@ -79,27 +81,33 @@ def funnel_by_month(leads: DataFrame, opportunities: DataFrame, sales: DataFrame
 def overview_by_month(leads: DataFrame, opportunities: DataFrame, sales: DataFrame,
                       spend: DataFrame) -> DataFrame:
     """month_start, leads, opportunities, won_opps, win_rate, won_sales, acv,
-    revenue, spend: each counted in the month of its own date (lead created,
-    opportunity created, sale booked, spend month)."""
+    revenue, spend, cac: each counted in the month of its own date (lead
+    created, opportunity created, sale booked, spend month); cac = spend /
+    order ids booked in the month.
+
+    Every source gives (month, measure) rows, and one aggregate over their
+    union, combined map-side, puts the measures of a month side by side.
+    """
     m = "month_start"
-    lead_m = leads.groupBy(month_start("created_at").alias(m)).agg(F.count(F.lit(1)).alias("leads"))
-    opp_m = opportunities.groupBy(month_start("created_at").alias(m)).agg(
-        F.count(F.lit(1)).alias("opportunities"),
-        F.sum((F.col("win_flag") == 1).cast("int")).cast("bigint").alias("won_opps"))
-    won_ids = opportunities.where(F.col("win_flag") == 1).select("opportunity_id").distinct()
-    sale_m = (sales.join(won_ids, "opportunity_id", "left_semi")
-                   .groupBy(month_start("booked_at").alias(m))
-                   .agg(F.count(F.lit(1)).alias("won_sales"),
-                        F.sum("booked_amount").alias("_rev")))
-    spend_m = spend.groupBy(F.col("month_start").alias(m)).agg(F.sum("spend").alias("_spend"))
-    out = (lead_m.join(opp_m, m, "full").join(sale_m, m, "full").join(spend_m, m, "full"))
-    zero = F.lit(0).cast("bigint")
-    return out.select(
-        m, F.coalesce("leads", zero).alias("leads"),
-        F.coalesce("opportunities", zero).alias("opportunities"),
-        F.coalesce("won_opps", zero).alias("won_opps"),
-        _rate(F.coalesce("won_opps", zero), F.col("opportunities")).alias("win_rate"),
-        F.coalesce("won_sales", zero).alias("won_sales"),
-        (F.col("_rev") / F.col("won_sales")).cast("decimal(18,2)").alias("acv"),
-        F.col("_rev").cast(MONEY_SUM).alias("revenue"),
-        F.col("_spend").cast(MONEY_SUM).alias("spend")).orderBy(m)
+    one = F.lit(1)
+    won_ids = opportunities.where(F.col("win_flag") == 1).select(F.col("opportunity_id").alias("_won"))
+    won_sales = sales.join(won_ids, sales.opportunity_id == won_ids._won, "left_semi")
+    parts = [
+        leads.select(month_start("created_at").alias(m), one.alias("leads")),
+        opportunities.select(month_start("created_at").alias(m), one.alias("opportunities"),
+                             (F.col("win_flag") == 1).cast("int").alias("won_opps")),
+        won_sales.select(month_start("booked_at").alias(m), one.alias("won_sales"), F.col("booked_amount").alias("revenue")),
+        sales.select(month_start("booked_at").alias(m), F.col("order_id").isNotNull().cast("int").alias("_orders")),
+        spend.select(F.col("month_start").alias(m), "spend"),
+    ]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p, allowMissingColumns=True)
+    counts = ["leads", "opportunities", "won_opps", "won_sales", "_orders"]
+    month = long.groupBy(m).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts],
+                                *[F.sum(c).cast(MONEY_SUM).alias(c) for c in ("revenue", "spend")])
+    return month.select(
+        m, "leads", "opportunities", "won_opps", _rate(F.col("won_opps"), F.col("opportunities")).alias("win_rate"),
+        "won_sales", (F.col("revenue") / F.nullif(F.col("won_sales"), F.lit(0))).cast("decimal(18,2)").alias("acv"),
+        "revenue", "spend",
+        (F.col("spend") / F.nullif(F.col("_orders"), F.lit(0))).cast("decimal(18,2)").alias("cac")).orderBy(m)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.session import share
+from revlens.session import written
 
 MONEY_SUM = "decimal(38,2)"
 
@@ -81,7 +81,7 @@ def pipeline_influence(opportunities: DataFrame, leads: DataFrame, touches: Data
 
 def customer_influence(won: DataFrame, touches: DataFrame) -> DataFrame:
     """channel, buyers_influenced, influence_customers_pct; base = won sales with a contact."""
-    won = share(won, "won_sales")         # joined and counted for the base
+    won = written(won, "won_sales")       # joined and counted for the base
     j = _influenced(won, touches, "booked_at")
     per = j.groupBy(F.col("c.touch_type").alias("channel")).agg(
         F.count_distinct("r.order_id").alias("buyers_influenced"))

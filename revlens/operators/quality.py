@@ -1,51 +1,65 @@
-"""Data-quality operators: duplicate keys, invalid values, domains, profiles."""
+"""Data-quality operators: duplicate keys, invalid values, domains, rejects, profiles."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.operators.dedup import keep_one, removed_rows
-from revlens.session import share
+from revlens.operators.dedup import keep_one
+from revlens.session import written
 from revlens.sources.schemas import dictionary_rows
 
 # Fixed value from the contact cleaning script: a valid email is x@y.com.
 VALID_EMAIL_PATTERN = "%@%.com"
 
 
-# A key holding more than 1 / HOT_KEY_SHARE of all rows is hot.  Counts sum
-# to the row total, so there are at most HOT_KEY_SHARE hot keys.
-HOT_KEY_SHARE = 1000
-
-
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs more than once (``key IN (... HAVING COUNT(*) > 1)``).
 
-    Key counts are a hash aggregate with map-side combine.  Joining the rows
-    back to the duplicated keys would send every row of a hot key to one
-    task, so the keys are split: hot keys (at most ``HOT_KEY_SHARE`` of them,
-    a proven bound) are broadcast, and their rows are selected without any
-    shuffle; they are also removed, by the same broadcast, before the
-    remaining rows are shuffled for the semi join with the other keys.
+    Key counts are a hash aggregate with map-side combine.  The repeated keys
+    are written and joined back, so the semi join has a shuffle on both sides
+    and AQE splits the rows of a hot key over several tasks.
     """
     keys = list(keys)
-    counts = share(df.groupBy(*keys).count(), "key_counts")       # read twice below
-    total = df.agg(F.count(F.lit(1))).scalar()                     # a scan, no grouping
-    dup = counts.where(F.col("count") > 1)
-    hot = F.broadcast(dup.where(F.col("count") * HOT_KEY_SHARE > total).select(*keys))
-    cold = dup.where(F.col("count") * HOT_KEY_SHARE <= total).select(*keys)
-    hot_rows = df.join(hot, keys, "left_semi")
-    cold_rows = df.join(hot, keys, "left_anti").join(cold, keys, "left_semi")
-    return hot_rows.unionByName(cold_rows)
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
+    return df.join(written(again, "repeated-keys"), keys, "left_semi")
+
+
+def duplicate_keys(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Per check: name, keys that occur more than once, and the rows that have them."""
+    parts = []
+    for name, (df, keys) in tables.items():
+        n = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+        parts.append(n.agg(F.count(F.lit(1)).alias("repeated_keys"), F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"))
+                      .select(F.lit(name).alias("check"), "repeated_keys", "rows"))
+    return _union(parts)
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def dedup_preview(df: DataFrame, keys: Sequence[str], order_by: str, descending: bool,
                   tie_break: Sequence[str] | None = None) -> DataFrame:
-    """Rows a keep-one de-duplication removes (the ``rn > 1`` rows)."""
-    return removed_rows(df, keep_one(df, keys, order_by, descending, tie_break))
+    """Rows a keep-one de-duplication removes (the ``rn > 1`` rows).
+
+    Only rows of repeated keys can go, so the difference is taken on those.
+    Rows without a key form one group, as in the ranking.
+    """
+    keys = list(keys)
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    again = written(again, "repeated-keys")
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(again[f"_{k}"])
+    rows = written(df.join(again, same, "left_semi"), "repeated-rows")
+    return rows.exceptAll(keep_one(rows, keys, order_by, descending, tie_break).select(*df.columns))
 
 
 def invalid_emails(contacts: DataFrame, pattern: str = VALID_EMAIL_PATTERN) -> DataFrame:
@@ -54,10 +68,14 @@ def invalid_emails(contacts: DataFrame, pattern: str = VALID_EMAIL_PATTERN) -> D
     return contacts.where(e.isNull() | ~e.like(pattern))
 
 
-def domain_values(df: DataFrame, col: str) -> DataFrame:
-    """Distinct values of a column with their row counts: value, rows."""
-    return (df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-              .orderBy("value"))
+def domain_values(df: DataFrame, *cols: str) -> DataFrame:
+    """Distinct values of columns with their row counts: column, value, rows.
+
+    The columns are unpivoted, so one aggregate over the table counts them all.
+    """
+    pairs = [x for c in cols for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
+    long = df.select(F.stack(F.lit(len(cols)), *pairs).alias("column", "value"))
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def distinct_count(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
@@ -66,46 +84,47 @@ def distinct_count(df: DataFrame, col: str, name: str | None = None) -> DataFram
 
 
 def lookup_key(df: DataFrame, col: str, value) -> DataFrame:
-    """Rows of one key (pushed down to the Parquet scan as a filter)."""
+    """Rows of one key (a filter that the scan gets where the column is stored as such)."""
     return df.where(F.col(col) == F.lit(value))
 
 
-def rejects(raw: DataFrame, staged: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
-    """Per column, values present in ``raw`` that became NULL in ``staged``
-    (dates or amounts that did not convert): column, rejected."""
-    r = raw.select(key, *[F.col(c).alias(f"_raw_{c}") for c in cols])
-    s = staged.select(key, *cols)
-    j = r.join(s, key)
-    aggs = [F.count_if(F.col(f"_raw_{c}").isNotNull() & F.col(c).isNull()).alias(c) for c in cols]
-    counted = j.agg(*aggs)
-    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
-    return counted.selectExpr(f"stack({len(cols)}, {stack}) as (column, rejected)")
+def rejects(raw: DataFrame, converted: Mapping[str, Column]) -> DataFrame:
+    """Per column: values of ``raw`` that its conversion turns to NULL (column, rejected).
+
+    One projection and one global count over the raw table: no join, so rows
+    without a key and repeated keys count once each.
+    """
+    cols = list(converted)
+    flags = raw.select(*[(F.col(f"`{c}`").isNotNull() & converted[c].isNull()).alias(f"_{i}") for i, c in enumerate(cols)])
+    counted = flags.agg(*[F.count_if(f"_{i}").alias(f"_{i}") for i in range(len(cols))])
+    return counted.select(F.stack(F.lit(len(cols)), *[x for i, c in enumerate(cols) for x in (F.lit(c), F.col(f"_{i}"))]).alias("column", "rejected"))
+
+
+def table_rejects(tables: Mapping[str, tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
+    """``rejects`` of several tables: table, column, rejected."""
+    return _union([rejects(raw, exprs).select(F.lit(t).alias("table"), "column", "rejected") for t, (raw, exprs) in tables.items()])
 
 
-def profile(df: DataFrame, table: str, keys: Sequence[str] = ()) -> DataFrame:
+def profile(df: DataFrame, table: str, keys: Sequence[str] = (), estimate_distinct: bool = False) -> DataFrame:
     """Column profile in one pass over the table.
 
-    table, column, type, is_key, rows, nulls, approx_distinct, min, max.
-    Distinct counts are HyperLogLog estimates (2% error) so the profile
-    stays a single aggregation at any size.
+    table, column, type, is_key, rows, nulls, min, max; with
+    ``estimate_distinct`` also approx_distinct, a HyperLogLog estimate
+    (2% error), so the profile stays a single aggregation at any size.
     """
     cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        col = F.col(f"`{c}`")
-        aggs += [F.count_if(col.isNull()).alias(f"_n{i}"),
-                 F.approx_count_distinct(col, 0.02).alias(f"_d{i}"),
-                 F.min(col).cast("string").alias(f"_lo{i}"),
-                 F.max(col).cast("string").alias(f"_hi{i}")]
-    one = df.agg(*aggs)
-    types = dict(df.dtypes)
-    keyset = set(keys)
-    rows = ", ".join(
-        f"'{c}', '{types[c]}', {str(c in keyset).lower()}, _n{i}, _d{i}, _lo{i}, _hi{i}"
-        for i, c in enumerate(cols))
-    return one.selectExpr(
-        f"'{table}' as table", "_rows as rows",
-        f"stack({len(cols)}, {rows}) as (column, type, is_key, nulls, approx_distinct, min, max)")
+    named = [F.col("`" + c.replace("`", "``") + "`") for c in cols]
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, col in enumerate(named):
+        aggs += [F.count_if(col.isNull()).alias(f"_n{i}"), F.min(col).cast("string").alias(f"_lo{i}"), F.max(col).cast("string").alias(f"_hi{i}")]
+        if estimate_distinct:
+            aggs.append(F.approx_count_distinct(col, 0.02).alias(f"_d{i}"))
+    types, keyset = dict(df.dtypes), set(keys)
+    extra = ["approx_distinct"] if estimate_distinct else []
+    cells = [x for i, c in enumerate(cols) for x in (
+        F.lit(c), F.lit(types[c]), F.lit(c in keyset), F.col(f"_n{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}"), *([F.col(f"_d{i}")] if extra else []))]
+    long = df.agg(*aggs).select("rows", F.stack(F.lit(len(cols)), *cells).alias("column", "type", "is_key", "nulls", "min", "max", *extra))
+    return long.select(F.lit(table).alias("table"), "column", "type", "is_key", "rows", "nulls", "min", "max", *extra)
 
 
 def data_dictionary(spark: SparkSession) -> DataFrame:
@@ -119,6 +138,5 @@ def data_dictionary(spark: SparkSession) -> DataFrame:
 
 def profile_with_dictionary(df: DataFrame, table: str, keys: Sequence[str] = ()) -> DataFrame:
     """Profile joined to the declared dictionary (declared vs actual type)."""
-    p = profile(df, table, keys)
     d = data_dictionary(df.sparkSession).where(F.col("table") == table).drop("table")
-    return p.join(F.broadcast(d), "column", "left")
+    return profile(df, table, keys).join(F.broadcast(d), "column", "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import parse_date, snake, to_money, trim_lower, replace_literal
@@ -26,6 +26,22 @@ def _with(df: DataFrame, **exprs) -> DataFrame:
     return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
 
 
+# Columns that a staging pipeline converts, by raw table; quality.rejects
+# counts the values that do not convert.
+DATE_COLUMNS = {
+    "crm_contacts": ["created_at"], "leads": ["created_at", "first_response_at"],
+    "opportunities": ["created_at", "close_date"], "sales": ["booked_at"], "sales_activities": ["ts"],
+    "email_engagement": ["sent_at"], "content_engagement": ["engaged_at"],
+}
+MONEY_COLUMNS = {"accounts": ["current_mrr"], "spend": ["spend"], "seo_search_console": ["avg_position"]}
+
+
+def conversions(table: str, raw: DataFrame) -> dict[str, Column]:
+    """Converted column -> its expression over the raw table, as its pipeline has it."""
+    dates = {c: _to_date(raw, c) for c in DATE_COLUMNS.get(table, []) if c in raw.columns}
+    return dates | {c: to_money(c) for c in MONEY_COLUMNS.get(table, []) if c in raw.columns}
+
+
 def stage_passthrough(raw: DataFrame) -> DataFrame:
     """Copy a table unchanged (assets, campaigns, web_pageviews, web_sessions)."""
     return raw
@@ -121,3 +137,20 @@ def stage_seo(raw: DataFrame) -> DataFrame:
 def stage_spend(raw: DataFrame) -> DataFrame:
     """spend to DECIMAL(10,2)."""
     return _with(raw, spend=to_money("spend"))
+
+
+# Raw table -> its pipeline; the staged table is named <raw>_stg.
+PIPELINES = {
+    "accounts": stage_accounts, "abm_accounts": stage_abm_accounts, "crm_contacts": stage_contacts,
+    "leads": stage_leads, "opportunities": stage_opportunities, "sales": stage_sales,
+    "sales_activities": stage_sales_activities, "email_engagement": stage_email_engagement,
+    "content_engagement": stage_content_engagement, "seo_search_console": stage_seo, "spend": stage_spend,
+    "web_sessions": stage_passthrough, "web_pageviews": stage_passthrough, "assets": stage_passthrough,
+    "campaigns": stage_passthrough, "subscriptions": stage_passthrough,
+}
+
+
+def register_staged(cat, names) -> None:
+    """Register the staged table of each raw table of a catalog."""
+    for name in names:
+        cat.register(f"{name}_stg", lambda name=name: PIPELINES[name](cat[name]))

@@ -9,7 +9,6 @@ recomputing joins and unions), then each report is written to
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,34 +18,39 @@ from revlens.operators import funnel as FN
 from revlens.operators import influence as INF
 from revlens.operators import ltv as LTV
 from revlens.operators.touches import touches_from
-from revlens.session import checkpoint_dir
+from revlens.session import written
 from revlens.sources.catalog import Catalog
 from revlens.sources.marts import write_table
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/marts-work/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._revlens_shared = True        # share() leaves it as is
-    return out
-
-
 def mart_builders(cat: Catalog, won: DataFrame, touches: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """Report name -> builder, over a catalog and shared won sales / touches."""
+    """Report name -> builder, over a catalog and written won sales / touches.
+
+    Details that several reports read (first, last and linear touch, account
+    segments) are written once, when the first report asks for them.
+    """
     leads, opps, sales = cat["leads_stg"], cat["opportunities_stg"], cat["sales_stg"]
+    details: dict[str, DataFrame] = {}
+
+    def detail(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in details:
+            details[name] = written(build(), name)
+        return details[name]
 
-    def segments():
-        return LTV.ltv_segments(cat["subscriptions_stg"], cat["accounts_stg"], cat["abm_accounts_stg"])
+    first = lambda: detail("first-touch", lambda: A.first_channel(won, touches))
+    last = lambda: detail("last-touch", lambda: A.last_channel(won, touches))
+    linear = lambda: detail("linear-touch", lambda: A.linear_touch(won, touches))
+    segments = lambda: detail("segments", lambda: LTV.ltv_segments(
+        cat["subscriptions_stg"], cat["accounts_stg"], cat["abm_accounts_stg"]))
+    by_month = lambda: detail("first-by-month", lambda: A.single_touch_by_month(first()))
 
     return {
-        "first_touch_by_channel": lambda: A.single_touch_by_channel(A.first_touch(won, touches)),
-        "last_touch_by_channel": lambda: A.single_touch_by_channel(A.last_touch(won, touches)),
-        "linear_by_channel": lambda: A.linear_by_channel(A.linear_touch(won, touches)),
-        "first_touch_by_month": lambda: A.single_touch_by_month(A.first_touch(won, touches)),
-        "last_touch_by_month": lambda: A.single_touch_by_month(A.last_touch(won, touches)),
-        "linear_by_month": lambda: A.linear_by_month(A.linear_touch(won, touches)),
+        "first_touch_by_channel": lambda: A.single_touch_by_channel(first()),
+        "last_touch_by_channel": lambda: A.single_touch_by_channel(last()),
+        "linear_by_channel": lambda: A.linear_by_channel(linear()),
+        "first_touch_by_month": by_month,
+        "last_touch_by_month": lambda: A.single_touch_by_month(last()),
+        "linear_by_month": lambda: A.linear_by_month(linear()),
         "attribution_by_utm_medium": lambda: A.attribution_by(won, touches, "utm_medium"),
         "attribution_by_utm_campaign": lambda: A.attribution_by(won, touches, "utm_campaign"),
         "opp_influence": lambda: INF.opp_influence(opps, leads, touches),
@@ -60,8 +64,7 @@ def mart_builders(cat: Catalog, won: DataFrame, touches: DataFrame) -> dict[str,
         "ltv_by_industry": lambda: LTV.ltv_by_industry(segments()),
         "ltv_by_segment": lambda: LTV.ltv_by_segment(segments()),
         "overall_ltv": lambda: LTV.overall_ltv(cat["subscriptions_stg"]),
-        "spend_vs_attribution": lambda: LTV.spend_vs_attribution(
-            cat["spend_stg"], A.single_touch_by_month(A.first_touch(won, touches))),
+        "spend_vs_attribution": lambda: LTV.spend_vs_attribution(cat["spend_stg"], by_month()),
     }
 
 
@@ -72,12 +75,11 @@ def refresh_marts(cat: Catalog, out_dir: str, fmt: str = "parquet",
     The loop runs over the fixed list of report names; each report is one
     distributed job writing in parallel.
     """
-    won = _written(A.won_sales(cat["sales_stg"], cat["opportunities_stg"], cat["leads_stg"]), "won_sales")
-    touches = _written(touches_from(cat), "touches")
+    won = written(A.won_sales(cat["sales_stg"], cat["opportunities_stg"], cat["leads_stg"]), "won_sales")
+    touches = written(touches_from(cat), "touches")
     builders = mart_builders(cat, won, touches)
-    written = {}
+    paths = {}
     for name in only or list(builders):
-        path = f"{out_dir.rstrip('/')}/{name}"
-        write_table(builders[name](), path, fmt=fmt)
-        written[name] = path
-    return written
+        paths[name] = f"{out_dir.rstrip('/')}/{name}"
+        write_table(builders[name](), paths[name], fmt=fmt)
+    return paths

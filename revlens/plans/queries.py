@@ -6,7 +6,6 @@ Every query reads the driver's tables through the CRM adapter
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +20,18 @@ from revlens.operators import quality as Q
 from revlens.operators import staging as STG
 from revlens.operators.dedup import keep_one
 from revlens.operators.touches import touches, touches_from
-from revlens.session import checkpoint_dir
+from revlens.session import scratch_path
 from revlens.sources import driver
+from revlens.sources.schemas import DUPLICATE_CHECKS
 from revlens.sources.marts import export_report, read_back
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 # Fixed inputs of the lookup / domain queries.
-LOOKUP_CONTACT_ID = 42
-DOMAIN_COLUMNS = [("abm_accounts_stg", "target_reason"), ("accounts_stg", "industry"),
-                  ("accounts_stg", "employee_bucket"), ("email_engagement_stg", "utm_campaign")]
+LOOKUP_CONTACT_ID = "CON42"
+DOMAIN_COLUMNS = {"abm_accounts_stg": ["target_reason"], "accounts_stg": ["industry", "employee_bucket"],
+                  "email_engagement_stg": ["utm_campaign"]}
 
 
 def query(name: str):
@@ -107,13 +107,13 @@ def q_linear_touch(spark, sf_dir):
 @query("first_touch_by_channel")
 def q_first_by_channel(spark, sf_dir):
     _, won, t = _ctx(spark, sf_dir)
-    return A.single_touch_by_channel(A.first_touch(won, t))
+    return A.single_touch_by_channel(A.first_channel(won, t))
 
 
 @query("last_touch_by_channel")
 def q_last_by_channel(spark, sf_dir):
     _, won, t = _ctx(spark, sf_dir)
-    return A.single_touch_by_channel(A.last_touch(won, t))
+    return A.single_touch_by_channel(A.last_channel(won, t))
 
 
 @query("linear_by_channel")
@@ -125,13 +125,13 @@ def q_linear_by_channel(spark, sf_dir):
 @query("first_touch_by_month")
 def q_first_by_month(spark, sf_dir):
     _, won, t = _ctx(spark, sf_dir)
-    return A.single_touch_by_month(A.first_touch(won, t))
+    return A.single_touch_by_month(A.first_channel(won, t))
 
 
 @query("last_touch_by_month")
 def q_last_by_month(spark, sf_dir):
     _, won, t = _ctx(spark, sf_dir)
-    return A.single_touch_by_month(A.last_touch(won, t))
+    return A.single_touch_by_month(A.last_channel(won, t))
 
 
 @query("linear_by_month")
@@ -255,7 +255,7 @@ def q_overall_ltv(spark, sf_dir):
 @query("spend_vs_attribution")
 def q_spend_vs_attribution(spark, sf_dir):
     cat, won, t = _ctx(spark, sf_dir)
-    return LTV.spend_vs_attribution(cat["spend_stg"], A.single_touch_by_month(A.first_touch(won, t)))
+    return LTV.spend_vs_attribution(cat["spend_stg"], A.single_touch_by_month(A.first_channel(won, t)))
 
 
 # ---- staging --------------------------------------------------------------
@@ -266,7 +266,7 @@ def _stage(table: str):
 
 
 for _key, _table in [("stage_accounts", "accounts_stg"), ("stage_abm_accounts", "abm_accounts_stg"),
-                     ("stage_contacts", "crm_contacts_stg"),
+                     ("stage_contacts", "crm_contacts_stg"), ("stage_leads", "leads_stg"),
                      ("stage_opportunities", "opportunities_stg"), ("stage_sales", "sales_stg"),
                      ("stage_sales_activities", "sales_activities_stg"),
                      ("stage_email_engagement", "email_engagement_stg"),
@@ -278,11 +278,6 @@ for _key, _table in [("stage_accounts", "accounts_stg"), ("stage_abm_accounts",
     REGISTRY[_key] = _stage(_table)
 
 
-@query("stage_leads")
-def q_stage_leads(spark, sf_dir):
-    return STG.stage_leads(driver.load(spark, sf_dir)["leads"])
-
-
 # ---- data quality ---------------------------------------------------------
 @query("dup_keys")
 def q_dup_keys(spark, sf_dir):
@@ -304,7 +299,7 @@ def q_dedup_latest(spark, sf_dir):
 
 @query("dedup_earliest")
 def q_dedup_earliest(spark, sf_dir):
-    """First opportunity of each lead."""
+    """First opportunity of each lead (several per lead, and repeated ids)."""
     opps = driver.load(spark, sf_dir)["opportunities_stg"]
     return keep_one(opps, ["lead_id"], "created_at", descending=False, tie_break=["opportunity_id"])
 
@@ -317,9 +312,8 @@ def q_invalid_emails(spark, sf_dir):
 @query("domain_values")
 def q_domain_values(spark, sf_dir):
     cat = driver.load(spark, sf_dir)
-    parts = [Q.domain_values(cat[t], c).select(F.lit(t).alias("table"), F.lit(c).alias("column"),
-                                                F.col("value").cast("string").alias("value"), "rows")
-             for t, c in DOMAIN_COLUMNS]
+    parts = [Q.domain_values(cat[t], *cols).select(F.lit(t).alias("table"), "column", "value", "rows")
+             for t, cols in DOMAIN_COLUMNS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -339,9 +333,23 @@ def q_lookup_key(spark, sf_dir):
 
 @query("date_rejects")
 def q_date_rejects(spark, sf_dir):
+    raw = driver.load(spark, sf_dir)["crm_contacts"]
+    return Q.rejects(raw, STG.conversions("crm_contacts", raw))
+
+
+@query("convert_rejects")
+def q_convert_rejects(spark, sf_dir):
+    """Values that became NULL, for every converted date and amount column."""
+    cat = driver.load(spark, sf_dir)
+    tables = [*STG.DATE_COLUMNS, *STG.MONEY_COLUMNS]
+    return Q.table_rejects({t: (cat[t], STG.conversions(t, cat[t])) for t in tables})
+
+
+@query("dup_key_checks")
+def q_dup_key_checks(spark, sf_dir):
+    """The eight key checks of the cleaning scripts, over the raw tables."""
     cat = driver.load(spark, sf_dir)
-    raw = cat["crm_contacts"]
-    return Q.rejects(raw, STG.clean_contacts(raw), ["created_at"], "rid")
+    return Q.duplicate_keys({name: (cat[t], [key]) for name, (t, key) in DUPLICATE_CHECKS.items()})
 
 
 @query("profile_table")
@@ -360,6 +368,6 @@ EXPORT_SCHEMA = T.StructType([T.StructField("month_start", T.DateType()),
 @query("export_mart")
 def q_export_mart(spark, sf_dir):
     """first_touch_by_month written as CSV to the shared folder and read back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/marts/first_touch_by_month-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "first_touch_by_month")
     export_report(q_first_by_month(spark, sf_dir), path)
     return read_back(spark, path, schema=EXPORT_SCHEMA)

@@ -87,52 +87,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     Cuts the lineage: a lost executor rereads files instead of recomputing,
-    and every later reader sees the same rows.
+    and every later reader sees the same rows.  Used, at every size, for a
+    frame that several branches of a plan read: Spark would recompute it for
+    each.  A frame that is already such a table is returned as it is.
     """
+    if getattr(df, "_revlens_written", False):
+        return df
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-# Estimated size above which a DataFrame read by several branches of one
-# plan is written once instead of recomputed per branch.  Override with the
-# session conf ``revlens.share.minBytes``.
-SHARE_MIN_BYTES = 1 << 30
-
-
-def _as_int(size) -> int:
-    return size if isinstance(size, int) else int(size.toString())
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the relations a plan reads (sum over its leaf scans).
-
-    This is what recomputing the plan costs in I/O.  The optimizer's
-    estimate at the root is no use here: without CBO a join is estimated
-    as the product of its sides.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(_as_int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def share(df: DataFrame, name: str) -> DataFrame:
-    """Make ``df`` safe to consume from several branches of one plan.
-
-    Spark re-executes a subplan once per branch that reads it unless the
-    branches are identical after pruning, which they rarely are.  Above
-    ``revlens.share.minBytes`` of input (bytes its scans read) the result is written once
-    as Parquet under the shared checkpoint folder and read back (which also
-    cuts the lineage a lost executor would have to replay); below it,
-    recomputing is cheaper than the write and ``df`` is returned as is.
-    """
-    if getattr(df, "_revlens_shared", False):
-        return df
-    spark = df.sparkSession
-    limit = int(spark.conf.get("revlens.share.minBytes", str(SHARE_MIN_BYTES)))
-    if input_bytes(df) < limit:
-        return df
-    path = f"{checkpoint_dir(spark).rstrip('/')}/shared/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._revlens_shared = True
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._revlens_written = True
     return out

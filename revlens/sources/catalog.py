@@ -55,8 +55,3 @@ class Catalog:
                 reader = reader.schema(schema)
             return reader.parquet(path)
         self.register(name, load)
-
-    def create_views(self, *names: str) -> None:
-        """Expose tables to ``spark.sql`` as temp views."""
-        for n in names or self.names():
-            self[n].createOrReplaceTempView(self._norm(n))

@@ -16,53 +16,43 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlens.operators import attribution as A
 from revlens.operators import staging as stg
 from revlens.sources.catalog import Catalog
-
-STAGING = {
-    "accounts": ("accounts_stg", stg.stage_accounts),
-    "abm_accounts": ("abm_accounts_stg", stg.stage_abm_accounts),
-    "crm_contacts": ("crm_contacts_stg", stg.stage_contacts),
-    "leads": ("leads_stg", stg.stage_leads),
-    "opportunities": ("opportunities_stg", stg.stage_opportunities),
-    "sales": ("sales_stg", stg.stage_sales),
-    "sales_activities": ("sales_activities_stg", stg.stage_sales_activities),
-    "email_engagement": ("email_engagement_stg", stg.stage_email_engagement),
-    "content_engagement": ("content_engagement_stg", stg.stage_content_engagement),
-    "seo_search_console": ("seo_search_console_stg", stg.stage_seo),
-    "spend": ("spend_stg", stg.stage_spend),
-    "web_sessions": ("web_sessions_stg", stg.stage_passthrough),
-    "web_pageviews": ("web_pageviews_stg", stg.stage_passthrough),
-    "assets": ("assets_stg", stg.stage_passthrough),
-    "campaigns": ("campaigns_stg", stg.stage_passthrough),
-    "subscriptions": ("subscriptions_stg", stg.stage_passthrough),
-}
+from revlens.sources.schemas import STAGED, raw_types
 
 
 def load_crm(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet",
-             schemas: Mapping[str, object] | None = None) -> Catalog:
-    """Register raw tables from ``paths`` and their staged versions."""
+             schemas: Mapping[str, Mapping[str, T.DataType]] | None = None) -> Catalog:
+    """Register raw tables from ``paths`` and their staged versions.
+
+    CSV files hold text only, so their columns get the declared raw types
+    (``sources.schemas.raw_types``, or ``schemas[table]``); dates and amounts
+    that a staging pipeline converts stay text for it.  A CSV table without a
+    declared schema is refused.
+    """
     cat = Catalog(spark)
-    schemas = schemas or {}
     for name, path in paths.items():
-        if name not in STAGING:
-            raise KeyError(f"unknown raw table {name!r}; known: {sorted(STAGING)}")
-        cat.register(name, _reader(spark, path, fmt, schemas.get(name)))
-        staged, fn = STAGING[name]
-        cat.register(staged, lambda fn=fn, name=name: fn(cat[name]))
+        if name not in stg.PIPELINES:
+            raise KeyError(f"unknown raw table {name!r}; known: {sorted(stg.PIPELINES)}")
+        types = (schemas or {}).get(name)
+        if fmt == "csv" and types is None:
+            if f"{name}_stg" not in STAGED:
+                raise ValueError(f"a CSV table needs a schema: pass schemas[{name!r}]")
+            types = raw_types(name)
+        cat.register(name, _reader(spark, path, fmt, types))
+    stg.register_staged(cat, paths)
     return cat
 
 
-def _reader(spark: SparkSession, path: str, fmt: str, schema):
+def _reader(spark: SparkSession, path: str, fmt: str, types: Mapping[str, T.DataType] | None):
     def load() -> DataFrame:
         r = spark.read.format(fmt)
-        if fmt == "csv":
-            r = r.option("header", True)
-        if schema is not None:
-            r = r.schema(schema)
-        return r.load(path)
+        df = (r.option("header", True) if fmt == "csv" else r).load(path)
+        return df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in (types or {}) else F.col(f"`{c}`") for c in df.columns])
     return load
 
 

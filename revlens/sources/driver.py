@@ -1,10 +1,13 @@
-"""The benchmark driver's tables seen as CRM tables.
+"""The benchmark driver's tables seen as raw CRM tables.
 
 The driver ships TPC-H-like tables plus an ``events`` stream, not CRM data.
-Each CRM table below is a deterministic projection of one of them (the same
-mapping is written in SQL in ``plans.oracle``).  Raw tables are registered
-as they would arrive; staged tables are produced by the staging operators,
-so every report also exercises the cleaning pipelines.
+Each raw CRM table below is a deterministic projection of one of them (the
+same mapping is written in SQL in ``plans.oracle``); every staged table is a
+staging pipeline applied to a raw one.  The mapping has what real CRM data
+has: text keys, repeated leads, several opportunities per lead, repeated
+opportunity ids with another amount, several sales per opportunity, repeated
+order ids, repeated ABM rows, missing channels, contacts and outcomes, mixed
+date layouts, and values that convert to nothing.
 
 Dates move: events are all January 2024 and orders 1995-2001, so order dates
 are folded into 2024-01-01 + (days since 1995-01-01) mod 90.
@@ -29,6 +32,7 @@ EMPLOYEE_BUCKETS = ["1-10", "11-50", "51-200", "201+"]     # by c_custkey mod 4
 PLANS = ["Basic ", " Pro", "Enterprise"]                   # by c_nationkey mod 3
 TARGET_REASONS = [" High Value ", "Expansion fit"]         # by s_suppkey mod 2
 SPEND_CHANNELS = ["email", "organic", "paid", "sales"]     # by p_partkey mod 4
+TOO_LARGE = 1e12                                           # beyond DECIMAL(10,2)
 
 # Declared schemas of the driver tables: no inference job per read.
 DRIVER_SCHEMAS = {
@@ -67,210 +71,176 @@ def _event_k(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("int")
 
 
-def _utm(k: Column) -> dict[str, Column]:
-    return {"utm_medium": _pick(UTM_MEDIUMS, k % 4),
+def _key(prefix: str, c: Column) -> Column:
+    """Text keys such as CON42."""
+    return F.concat(F.lit(prefix), c.cast("string"))
+
+
+def _every(n: int, c: Column, then: Column, otherwise: Column) -> Column:
+    return F.when(c % n == 0, then).otherwise(otherwise)
+
+
+def _nothing(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _copies(df: DataFrame, twice: Column) -> DataFrame:
+    """Every row with copy = 0, and again with copy = 1 where ``twice`` holds."""
+    return df.select("*", F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+def _utm(k: Column, event_id: Column) -> dict[str, Column]:
+    medium = _pick(UTM_MEDIUMS, k % 4)
+    return {"utm_medium": _every(6, event_id, F.concat(F.lit(" "), F.upper(medium), F.lit(" ")), medium),
             "utm_campaign": F.concat(F.lit("cmp_"), (k % 10).cast("string"))}
 
 
-# ---- events -> touch source tables (also applied to event streams) -------
+# ---- events -> touch source tables ----------------------------------------
 def web_sessions_from_events(events: DataFrame) -> DataFrame:
     """Raw web sessions: view and click events."""
     e = events.where(F.col("event_type").isin("view", "click"))
     k = _event_k(e.props)
     return e.select(
-        e.user_id.alias("contact_id"), e.ts.alias("started_at"),
-        F.when(e.event_type == "view", "organic").otherwise("paid").alias("channel"),
-        F.when(k >= 80, F.lit(None).cast("int")).otherwise(k).alias("campaign_id"),
-        F.lit("web").alias("utm_source"), *[v.alias(n) for n, v in _utm(k).items()],
-        e.event_id.alias("touch_id"))
+        _every(97, e.event_id, _nothing("string"), _key("CON", e.user_id)).alias("contact_id"), e.ts.alias("started_at"),
+        _every(19, e.event_id, _nothing("string"), F.when(e.event_type == "view", "organic").otherwise("paid")).alias("channel"),
+        F.when(k >= 80, _nothing("string")).otherwise(_key("CMP", k)).alias("campaign_id"),
+        F.lit("web").alias("utm_source"), *[v.alias(n) for n, v in _utm(k, e.event_id).items()],
+        e.event_id.cast("string").alias("touch_id"))
 
 
 def email_from_events(events: DataFrame) -> DataFrame:
-    """Raw email engagement: signup events (sent_at still a timestamp)."""
+    """Raw email engagement: signup events; sent_at is text, now and then no date."""
     e = events.where(F.col("event_type") == "signup")
     k = _event_k(e.props)
-    return e.select(e.user_id.alias("contact_id"), e.ts.alias("sent_at"),
+    return e.select(_key("CON", e.user_id).alias("contact_id"),
+                    _every(53, e.event_id, F.lit("unknown"), F.date_format(e.ts, "yyyy-MM-dd")).alias("sent_at"),
                     F.lit("email").alias("utm_source"),
-                    *[v.alias(n) for n, v in _utm(k).items()], e.event_id.alias("touch_id"))
+                    *[v.alias(n) for n, v in _utm(k, e.event_id).items()], e.event_id.cast("string").alias("touch_id"))
 
 
 def activities_from_events(events: DataFrame) -> DataFrame:
-    """Raw sales activities: purchase (connected) and error (no_answer) events."""
+    """Raw sales activities: purchase (connected, or no outcome) and error (no_answer) events."""
     e = events.where(F.col("event_type").isin("purchase", "error"))
-    return e.select(e.event_id.alias("activity_id"), e.user_id.alias("contact_id"), e.ts,
+    done = _every(29, e.event_id, _nothing("string"), F.lit("connected"))
+    return e.select(_key("ACT", e.event_id).alias("activity_id"), _key("CON", e.user_id).alias("contact_id"), e.ts,
                     e.event_type.alias("type"),
-                    F.when(e.event_type == "error", "no_answer").otherwise("connected")
-                     .alias("outcome"),
-                    e.event_id.alias("touch_id"))
-
-
-_CATALOGS: dict[tuple[str, str], Catalog] = {}
+                    F.when(e.event_type == "error", "no_answer").otherwise(done).alias("outcome"))
 
 
 def load(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Catalog of raw and staged CRM tables over ``sf_dir``.
-
-    A catalog holds lazy plans only (no data), so one is kept per
-    application and folder and reused by every query that reads it.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _CATALOGS:
-        _CATALOGS[key] = _build(spark, sf_dir)
-    return _CATALOGS[key]
-
-
-def _build(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Catalog of raw and staged CRM tables over ``sf_dir``."""
     cat = Catalog(spark)
     for t in DRIVER_TABLES:
         cat.read_parquet(f"driver.{t}", f"{sf_dir.rstrip('/')}/{t}.parquet", DRIVER_SCHEMAS[t])
     d = lambda name: cat[f"driver.{name}"]
 
-    def orders():
-        return d("orders")
-
     # ---- orders: leads, opportunities, sales, contacts --------------------
-    def leads_stg():
-        o = orders()
+    def leads():
+        o = _copies(d("orders"), F.col("o_orderkey") % 5 == 0)
+        key, day, again = o.o_orderkey, crm_day(o.o_orderdate), o.copy == 1
+        hour = F.when(again, F.when(key % 10 == 0, 5).otherwise(11)).otherwise(8)
+        answered = F.timestamp_add("HOUR", hour, day.cast("timestamp_ntz")).cast("timestamp_ntz")
         return o.select(
-            o.o_orderkey.alias("lead_id"), o.o_custkey.alias("contact_id"),
-            o.o_orderpriority.alias("source"), crm_day(o.o_orderdate).alias("created_at"),
+            _key("LED", key).alias("lead_id"),
+            _every(101, key, _nothing("string"), _key("CON", o.o_custkey)).alias("contact_id"),
+            F.when(again, F.lit("import")).otherwise(o.o_orderpriority).alias("source"),
+            _every(211, key, F.lit("n/a"), F.date_format(day, "yyyy-MM-dd")).alias("created_at"),
+            F.when((key % 7 == 0) & ~again, _nothing("timestamp_ntz")).otherwise(answered).alias("first_response_at"),
             (o.o_orderstatus != "O").cast("int").alias("mql_flag"),
             (o.o_orderstatus == "F").cast("int").alias("sql_flag"))
 
     def opportunities():
-        o = orders().where(F.col("o_orderstatus").isin("F", "P"))
+        o = _copies(d("orders").where(F.col("o_orderstatus").isin("F", "P")), F.col("o_orderkey") % 17 == 0)
+        key, day = o.o_orderkey, crm_day(o.o_orderdate)
         return o.select(
-            o.o_orderkey.alias("opportunity_id"), o.o_orderkey.alias("lead_id"),
-            o.o_orderstatus.alias("stage"), o.o_totalprice.cast("decimal(10,2)").alias("amount"),
-            crm_day(o.o_orderdate).cast("timestamp_ntz").alias("created_at"),
+            _key("OPP", key).alias("opportunity_id"),
+            _every(37, key, _key("GONE", key), _key("LED", F.when(key % 4 == 1, key - 1).otherwise(key))).alias("lead_id"),
+            o.o_orderstatus.alias("stage"), (o.o_totalprice.cast("decimal(10,2)") + o.copy).cast("decimal(10,2)").alias("amount"),
+            day.cast("timestamp_ntz").alias("created_at"),
+            _every(59, key, F.lit("pending"), F.date_format(F.date_add(day, 14), "MM/dd/yyyy")).alias("close_date"),
             (o.o_orderstatus == "F").cast("int").alias("win_flag"))
 
     def sales():
-        o = orders().where(F.col("o_orderstatus") == "F")
+        key = F.col("o_orderkey")
+        o = _copies(d("orders").where(F.col("o_orderstatus") == "F"), (key % 11 == 0) | (key % 13 == 0))
+        own = _key("ORD", o.o_orderkey)
         return o.select(
-            o.o_orderkey.alias("order_id"), o.o_orderkey.alias("opportunity_id"),
-            o.o_totalprice.cast("decimal(10,2)").alias("booked_amount"),
-            crm_day(o.o_orderdate).cast("timestamp_ntz").alias("booked_at"))
+            F.when((o.copy == 1) & (o.o_orderkey % 11 == 0), F.concat(own, F.lit("-2"))).otherwise(own).alias("order_id"),
+            _key("OPP", o.o_orderkey).alias("opportunity_id"),
+            (o.o_totalprice.cast("decimal(10,2)") + 10 * o.copy).cast("decimal(10,2)").alias("booked_amount"),
+            F.date_add(crm_day(o.o_orderdate), 3 * o.copy).cast("timestamp_ntz").alias("booked_at"))
 
     def crm_contacts():
-        o = orders()
-        n = o.o_custkey.cast("string")
-        key = o.o_orderkey
-        email = (F.when(key % 11 == 0, F.lit(None).cast("string"))
+        o = d("orders")
+        n, key = o.o_custkey.cast("string"), o.o_orderkey
+        email = (F.when(key % 11 == 0, _nothing("string"))
                   .when(key % 7 == 0, F.concat(F.lit(" User"), n, F.lit(" [at] Example.COM ")))
                   .when(key % 5 == 0, F.concat(F.lit("user"), n, F.lit("@example.org")))
                   .otherwise(F.concat(F.lit("User"), n, F.lit("@example.com"))))
         day = crm_day(o.o_orderdate)
-        created = F.when(key % 3 == 0, F.date_format(day, "MM/dd/yyyy")).otherwise(
-            F.date_format(day, "yyyy-MM-dd"))
-        return o.select(o.o_custkey.alias("contact_id"), email.alias("email"),
+        created = (F.when(key % 29 == 0, F.lit("2024-13-45"))
+                    .when(key % 3 == 0, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd")))
+        return o.select(_key("CON", o.o_custkey).alias("contact_id"), email.alias("email"),
                         created.alias("created_at"), o.o_orderpriority.alias("lead_source"),
                         key.alias("rid"))
 
-    # ---- lineitem: raw leads with duplicate ids; subscriptions -------------
-    def leads_raw():
-        li = d("lineitem")
-        ship = li.l_shipdate.cast("timestamp_ntz")
-        return li.select(
-            (li.l_orderkey * 10 + li.l_linenumber).alias("lead_id"),
-            li.l_partkey.alias("contact_id"), li.l_returnflag.alias("source"),
-            ship.alias("created_at"),
-            F.when(li.l_quantity <= 2, F.lit(None).cast("timestamp_ntz")).otherwise(ship)
-             .alias("first_response_at"),
-            (li.l_returnflag == "R").cast("int").alias("mql_flag"),
-            (li.l_linestatus == "F").cast("int").alias("sql_flag"),
-            li.l_quantity.alias("quantity"), li.l_extendedprice.alias("price"))
-
-    def subscriptions_stg():
+    # ---- lineitem: subscriptions -------------------------------------------
+    def subscriptions():
         li = d("lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag", "l_discount")
-        o = orders().select("o_orderkey", "o_custkey")
+        o = d("orders").select("o_orderkey", "o_custkey")
         j = li.join(o, li.l_orderkey == o.o_orderkey)
         churned = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)
-        return j.select(F.col("o_custkey").alias("account_id"),
+        return j.select(_key("ACC", F.col("o_custkey")).alias("account_id"),
                         F.col("l_extendedprice").cast("decimal(10,2)").alias("mrr"),
                         F.when(churned, "churned").otherwise("active").alias("status"))
 
-    # ---- events: touches and engagement ----------------------------------
-    def web_sessions():
-        return web_sessions_from_events(d("events"))
-
-    def email_engagement():
-        return email_from_events(d("events"))
-
-    def sales_activities():
-        return activities_from_events(d("events"))
-
     def content_engagement():
         e = d("events")
-        return e.select(e.event_id.alias("content_id"), e.user_id.alias("contact_id"),
-                        e.ts.cast("string").alias("engaged_at"))
+        return e.select(_key("CNT", e.event_id).alias("content_id"), _key("CON", e.user_id).alias("contact_id"),
+                        _every(61, e.event_id, F.lit("yesterday"), e.ts.cast("string")).alias("engaged_at"))
 
     # ---- customer / supplier / part: accounts, ABM, spend, SEO -----------
     def accounts():
         c, n, r = d("customer"), d("nation"), d("region")
         j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
         return j.select(
-            c.c_custkey.alias("account_id"),
+            _key("ACC", c.c_custkey).alias("account_id"),
             F.replace(c.c_name, F.lit("#"), F.lit(" ")).alias("account_name"),
             F.concat(F.lit("  "), c.c_mktsegment, F.lit(" ")).alias("industry"),
             _pick(EMPLOYEE_BUCKETS, c.c_custkey % 4).alias("employee_bucket"),
-            F.col("r_name").alias("region"), c.c_acctbal.alias("current_mrr"),
+            F.col("r_name").alias("region"), _every(47, c.c_custkey, F.lit(TOO_LARGE), c.c_acctbal).alias("current_mrr"),
             _pick(PLANS, c.c_nationkey % 3).alias("plan"))
 
     def abm_accounts():
-        s = d("supplier")
+        s = _copies(d("supplier"), F.col("s_suppkey") % 9 == 0)
         return s.select(
-            s.s_suppkey.alias("account_id"),
+            _key("ACC", s.s_suppkey).alias("account_id"),
             _pick(TARGET_REASONS, s.s_suppkey % 2).alias("target_reason"),
-            F.concat(F.lit("tier_"), (s.s_suppkey % 3 + 1).cast("string")).alias("abm_tier"))
+            F.concat(F.lit("tier_"), ((s.s_suppkey + s.copy) % 3 + 1).cast("string")).alias("abm_tier"))
 
     def spend():
         p = d("part")
         return p.select(
             F.make_date(F.lit(2024), (p.p_size % 3 + 1).cast("int"), F.lit(1)).alias("month_start"),
             _pick(SPEND_CHANNELS, p.p_partkey % 4).alias("channel"),
-            p.p_retailprice.alias("spend"))
+            F.when(p.p_partkey % 31 == 0, F.lit("n/a")).when(p.p_partkey % 37 == 0, F.lit("123456789012.50"))
+             .otherwise(p.p_retailprice.cast("decimal(10,2)").cast("string")).alias("spend"))
 
     def seo_search_console():
         p = d("part")
-        return p.select(p.p_partkey.alias("page_key"), (p.p_retailprice / 7).alias("avg_position"))
+        return p.select(_key("PAGE", p.p_partkey).alias("page_key"),
+                        _every(43, p.p_partkey, F.lit(TOO_LARGE), p.p_retailprice / 7).alias("avg_position"))
 
     raw = {
-        "crm_contacts": crm_contacts, "leads": leads_raw, "opportunities": opportunities,
-        "sales": sales, "web_sessions": web_sessions, "email_engagement": email_engagement,
-        "sales_activities": sales_activities, "content_engagement": content_engagement,
-        "accounts": accounts, "abm_accounts": abm_accounts, "spend": spend,
-        "seo_search_console": seo_search_console,
-        "assets": lambda: d("part"), "campaigns": lambda: d("nation"),
-        "web_pageviews": lambda: d("pages"),
+        "crm_contacts": crm_contacts, "leads": leads, "opportunities": opportunities, "sales": sales,
+        "web_sessions": lambda: web_sessions_from_events(d("events")),
+        "email_engagement": lambda: email_from_events(d("events")),
+        "sales_activities": lambda: activities_from_events(d("events")),
+        "content_engagement": content_engagement, "accounts": accounts, "abm_accounts": abm_accounts,
+        "spend": spend, "seo_search_console": seo_search_console, "subscriptions": subscriptions,
+        "assets": lambda: d("part"), "campaigns": lambda: d("supplier"), "web_pageviews": lambda: d("pages"),
     }
     for name, f in raw.items():
         cat.register(name, f)
-
-    staged = {
-        # tables with no raw counterpart in the CRM scripts
-        "leads_stg": leads_stg, "subscriptions_stg": subscriptions_stg,
-        # staged through the cleaning pipelines
-        "opportunities_stg": lambda: stg.stage_opportunities(cat["opportunities"]),
-        "sales_stg": lambda: stg.stage_sales(cat["sales"]),
-        "web_sessions_stg": lambda: stg.stage_passthrough(cat["web_sessions"]),
-        "email_engagement_stg": lambda: stg.stage_email_engagement(cat["email_engagement"]),
-        "sales_activities_stg": lambda: stg.stage_sales_activities(cat["sales_activities"]),
-        "content_engagement_stg": lambda: stg.stage_content_engagement(cat["content_engagement"]),
-        "accounts_stg": lambda: stg.stage_accounts(cat["accounts"]),
-        "abm_accounts_stg": lambda: stg.stage_abm_accounts(cat["abm_accounts"]),
-        "crm_contacts_stg": lambda: stg.stage_contacts(cat["crm_contacts"]),
-        "spend_stg": lambda: stg.stage_spend(cat["spend"]),
-        "seo_search_console_stg": lambda: stg.stage_seo(cat["seo_search_console"]),
-        "assets_stg": lambda: stg.stage_passthrough(cat["assets"]),
-        "campaigns_stg": lambda: stg.stage_passthrough(cat["campaigns"]),
-        "web_pageviews_stg": lambda: stg.stage_passthrough(cat["web_pageviews"]),
-    }
-    for name, f in staged.items():
-        cat.register(name, f)
+    stg.register_staged(cat, raw)
     return cat
-
-
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One CRM table over the driver data."""
-    return load(spark, sf_dir)[name]

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.session import written
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: Sequence[str] = (), bucket: tuple[int, Sequence[str]] | None = None,
@@ -29,13 +31,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.save(path)
 
 
+# Rows of the largest result that may go through one task into one file.
+REPORT_ROWS = 100_000
+
+
 def export_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Export a report (a small aggregate) as one CSV file with a header.
 
-    Only for results whose size is bounded by their group count (channels x
-    months); a detail table goes through ``write_table`` in parallel.
+    The result is written in parallel first and its rows counted; one with
+    more than ``REPORT_ROWS`` rows is refused, because the single file is
+    written by one task.  A detail table goes through ``write_table``.
     """
-    write_table(df.coalesce(1), path, fmt=fmt)
+    report = written(df, "report")
+    if (rows := report.count()) > REPORT_ROWS:
+        raise ValueError(f"{rows} rows are no report; use write_table")
+    write_table(report.coalesce(1), path, fmt=fmt)
 
 
 def read_back(spark: SparkSession, path: str, fmt: str = "csv", schema=None) -> DataFrame:

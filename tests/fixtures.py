@@ -8,34 +8,38 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from revlens.sources.schemas import STAGED
+from revlens.sources.schemas import STAGED, S
 
 D = dt.date
 T = dt.datetime
 
 
 def frame(spark, table, rows):
-    return spark.createDataFrame(rows, STAGED[table])
+    """A staged table from rows; numbers given for text keys become text, and columns left out at the end are NULL."""
+    fields = STAGED[table].fields
+    text = [f.dataType == S for f in fields]
+    full = [tuple(r) + (None,) * (len(fields) - len(r)) for r in rows]
+    return spark.createDataFrame([tuple(str(v) if t and v is not None else v for v, t in zip(r, text, strict=True)) for r in full], STAGED[table])
 
 
 # ---- sales_edge + opps for attribution -------------------------------------
 # contacts: 1 (two orders, 100.00 over 3 touches), 2 (tie at one instant,
 # NULL channel), 4 (no touch), 5 (shares order_id 2 with contact 2)
 LEADS = [
-    (1, 1, "web", D(2024, 1, 1), 1, 1),
-    (2, 2, "email", D(2024, 1, 1), 1, 0),
-    (3, 3, "web", D(2024, 1, 1), 0, 0),
-    (4, 4, None, D(2024, 1, 2), 1, 1),
-    (5, 5, "paid", D(2024, 2, 2), 0, 0),
+    (1, 1, "web", D(2024, 1, 1), None, 1, 1),
+    (2, 2, "email", D(2024, 1, 1), None, 1, 0),
+    (3, 3, "web", D(2024, 1, 1), None, 0, 0),
+    (4, 4, None, D(2024, 1, 2), None, 1, 1),
+    (5, 5, "paid", D(2024, 2, 2), None, 0, 0),
 ]
 OPPS = [
-    (11, 1, "won", Decimal("100.00"), D(2024, 1, 2), 1),
-    (12, 2, "won", Decimal("250.00"), D(2024, 1, 4), 1),
-    (13, 3, "lost", Decimal("999.00"), D(2024, 1, 4), 0),   # lost opportunity
-    (14, 4, "won", Decimal("50.00"), D(2024, 1, 4), 1),
-    (15, 99, "won", Decimal("70.00"), D(2024, 1, 4), 1),    # lead missing
-    (16, 1, "won", Decimal("300.00"), D(2024, 1, 20), 1),   # second order of contact 1
-    (17, 5, "won", Decimal("40.00"), D(2024, 1, 5), 1),
+    (11, 1, "won", Decimal("100.00"), D(2024, 1, 2), None, 1),
+    (12, 2, "won", Decimal("250.00"), D(2024, 1, 4), None, 1),
+    (13, 3, "lost", Decimal("999.00"), D(2024, 1, 4), None, 0),   # lost opportunity
+    (14, 4, "won", Decimal("50.00"), D(2024, 1, 4), None, 1),
+    (15, 99, "won", Decimal("70.00"), D(2024, 1, 4), None, 1),    # lead missing
+    (16, 1, "won", Decimal("300.00"), D(2024, 1, 20), None, 1),   # second order of contact 1
+    (17, 5, "won", Decimal("40.00"), D(2024, 1, 5), None, 1),
 ]
 SALES = [
     (1, 11, Decimal("100.00"), D(2024, 1, 10)),
@@ -65,11 +69,11 @@ EMAIL = [
     (5, D(2024, 1, 18), "nl", "email", "c9", 203),
 ]
 ACTIVITIES = [
-    # activity_id, contact, ts, type, outcome, touch_id
-    (301, 1, D(2024, 1, 3), "call", "connected", 301),
-    (302, 1, D(2024, 1, 4), "call", "no_answer", 302),
-    (303, 2, D(2024, 1, 3), "call", None, 303),          # NULL outcome: no touch
-    (304, 5, D(2024, 1, 20), "meeting", "connected", 304),
+    # activity_id, contact, ts, type, outcome
+    (301, 1, D(2024, 1, 3), "call", "connected"),
+    (302, 1, D(2024, 1, 4), "call", "no_answer"),
+    (303, 2, D(2024, 1, 3), "call", None),          # NULL outcome: no touch
+    (304, 5, D(2024, 1, 20), "meeting", "connected"),
 ]
 
 

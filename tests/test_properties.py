@@ -1,5 +1,5 @@
-"""Property test: on random small CRM data the pair-free attribution equals
-the brute-force pair join of the original scripts."""
+"""Property tests: on random small CRM data the pair-free attribution equals
+the plain-Python evaluation of every (order, touch) pair."""
 
 import datetime as dt
 from decimal import Decimal
@@ -30,20 +30,16 @@ def _tables(spark, webs, emails, acts, sales):
            for i, (c, d, h, ch, camp) in enumerate(webs)]
     email = [(c, (BASE + dt.timedelta(days=d)).date(), "nl", "email", "c2", 2000 + i)
              for i, (c, d) in enumerate(emails)]
-    act = [(3000 + i, c, (BASE + dt.timedelta(days=d)).date(), "call", o, 3000 + i)
+    act = [(3000 + i, c, (BASE + dt.timedelta(days=d)).date(), "call", o)
            for i, (c, d, o) in enumerate(acts)]
-    # one opportunity and lead per sales row; an order id may repeat across
-    # rows of different contacts (rows of one contact sharing an order id
-    # would tie on the same touch, where the original picks arbitrarily)
-    leads, opps, sls, seen = [], [], [], set()
+    # one opportunity and lead per sales row; an order id may repeat, also
+    # within a contact
+    leads, opps, sls = [], [], []
     for i, (order, contact, d, cents, win) in enumerate(sales):
-        if (order, contact) in seen:
-            continue
-        seen.add((order, contact))
         day = (BASE + dt.timedelta(days=d)).date()
         amount = Decimal(cents) / 100
-        leads.append((100 + i, contact, "web", day, 1, 1))
-        opps.append((500 + i, 100 + i, "s", amount, day, win))
+        leads.append((100 + i, contact, "web", day, None, 1, 1))
+        opps.append((500 + i, 100 + i, "s", amount, day, None, win))
         sls.append((order, 500 + i, amount, day))
     return {"web_sessions_stg": frame(spark, "web_sessions_stg", web),
             "email_engagement_stg": frame(spark, "email_engagement_stg", email),
@@ -58,17 +54,14 @@ def _tables(spark, webs, emails, acts, sales):
        acts=st.lists(act_row, max_size=6), sales=st.lists(sale_row, min_size=1, max_size=8))
 def test_pair_free_equals_pair_join(spark, webs, emails, acts, sales):
     tables = _tables(spark, webs, emails, acts, sales)
-    brute.register(spark, tables)
+    held = brute.collect(tables)
     won = A.won_sales(tables["sales_stg"], tables["opportunities_stg"], tables["leads_stg"])
     t = touches_from(tables)
-    first = brute.rows(A.single_touch_by_channel(A.first_touch(won, t)))
-    last = brute.rows(A.single_touch_by_channel(A.last_touch(won, t)))
-    assert first == brute.rows(brute.first_by_channel(spark))
-    assert last == brute.rows(brute.last_by_channel(spark))
-    assert brute.rows(A.linear_by_channel(A.linear_touch(won, t))) == \
-        brute.rows(brute.linear_by_channel(spark))
-    assert brute.rows(A.qa_untouched(won, t)) == brute.rows(brute.untouched(spark))
-    assert brute.rows(INF.customer_influence(won, t)) == brute.rows(brute.customer_influence(spark))
+    assert brute.rows(A.single_touch_by_channel(A.first_channel(won, t))) == brute.rows(brute.single(held, last=False))
+    assert brute.rows(A.single_touch_by_channel(A.last_channel(won, t))) == brute.rows(brute.single(held, last=True))
+    assert brute.rows(A.linear_by_channel(A.linear_touch(won, t))) == brute.rows(brute.linear(held))
+    assert brute.rows(A.qa_untouched(won, t)) == brute.rows(brute.untouched(held))
+    assert brute.rows(INF.customer_influence(won, t)) == brute.rows(brute.customer_influence(held))
 
 
 lead_row = st.tuples(st.integers(1, 6), st.sampled_from([None, "web", "ads"]), st.integers(0, 40),
@@ -82,16 +75,16 @@ sale_of_opp = st.tuples(st.integers(1, 6), st.integers(0, 99999))
        sales=st.lists(sale_of_opp, max_size=6))
 def test_funnel_equals_literal(spark, leads, opps, sales):
     """Random leads (NULL sources and flags, repeated ids), opportunities
-    (repeated ids, unknown leads) and sales: the one-aggregate funnel with
-    FILTER distinct counts equals COUNT(DISTINCT CASE ...) in SQL."""
+    (repeated ids, unknown leads) and sales: the one-aggregate funnel equals
+    the plain-Python count."""
     from revlens.operators import funnel as FN
     day = BASE.date()
-    L = frame(spark, "leads_stg", [(i, 1, src, day + dt.timedelta(days=d), m, q)
+    L = frame(spark, "leads_stg", [(i, 1, src, day + dt.timedelta(days=d), None, m, q)
                                     for (i, src, d, m, q) in leads])
-    O = frame(spark, "opportunities_stg", [(o, l, "s", Decimal(c) / 100, day, w) for (o, l, c, w) in opps])
+    O = frame(spark, "opportunities_stg", [(o, l, "s", Decimal(c) / 100, day, None, w) for (o, l, c, w) in opps])
     S = frame(spark, "sales_stg", [(k, o, Decimal(c) / 100, day) for k, (o, c) in enumerate(sales)])
-    brute.register(spark, {"leads_stg": L, "opportunities_stg": O, "sales_stg": S})
-    assert brute.rows(FN.lead_funnel(L, O, S)) == brute.rows(brute.lead_funnel(spark))
+    held = brute.collect({"leads_stg": L, "opportunities_stg": O, "sales_stg": S})
+    assert brute.rows(FN.lead_funnel(L, O, S)) == brute.rows(brute.lead_funnel(held))
 
 
 dedup_row = st.tuples(st.integers(1, 4), st.sampled_from([None, 1, 2, 3]), st.integers(1, 3),

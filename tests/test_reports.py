@@ -1,4 +1,4 @@
-"""Influence, funnel, LTV and CAC on mini fixtures, against the literal SQL."""
+"""Influence, funnel, LTV and CAC on mini fixtures, against the plain-Python twin."""
 
 import datetime as dt
 from decimal import Decimal
@@ -19,41 +19,40 @@ D = dt.date
 @pytest.fixture(scope="module")
 def edge(spark):
     tables = attribution_tables(spark)
-    brute.register(spark, tables)
     return tables
 
 
 def test_opp_influence_matches_literal(spark, edge):
-    t = touches_from(edge)
+    held, t = edge, touches_from(edge)
     ours = INF.opp_influence(edge["opportunities_stg"], edge["leads_stg"], t)
-    assert brute.rows(ours) == brute.rows(brute.opp_influence(spark))
+    assert brute.rows(ours) == brute.rows(brute.opp_influence(brute.collect(held)))
 
 
 def test_pipeline_influence_matches_literal(spark, edge):
-    t = touches_from(edge)
+    held, t = edge, touches_from(edge)
     ours = INF.pipeline_influence(edge["opportunities_stg"], edge["leads_stg"], t)
-    assert brute.rows(ours) == brute.rows(brute.pipeline_influence(spark))
+    assert brute.rows(ours) == brute.rows(brute.pipeline_influence(brute.collect(held)))
 
 
 def test_customer_influence_matches_literal(spark, edge):
-    t = touches_from(edge)
+    held, t = edge, touches_from(edge)
     won = A.won_sales(edge["sales_stg"], edge["opportunities_stg"], edge["leads_stg"])
     ours = INF.customer_influence(won, t)
-    assert brute.rows(ours) == brute.rows(brute.customer_influence(spark))
+    assert brute.rows(ours) == brute.rows(brute.customer_influence(brute.collect(held)))
     by = {r.channel: r for r in ours.collect()}
     assert None in by                      # NULL channel stays NULL (no 'Unknown' here)
 
 
 def _funnel_tables(spark):
     leads = frame(spark, "leads_stg", [
-        (1, 1, "web", D(2024, 1, 1), 1, 1), (2, 2, "web", D(2024, 1, 2), 1, 0),
-        (3, 3, "event", D(2024, 1, 3), 0, 0),                 # source without opportunities
-        (4, 4, None, D(2024, 2, 3), 1, 0),                    # NULL source
+        (1, 1, "web", D(2024, 1, 1), None, 1, 1), (2, 2, "web", D(2024, 1, 2), None, 1, 0),
+        (3, 3, "event", D(2024, 1, 3), None, 0, 0),                 # source without opportunities
+        (4, 4, None, D(2024, 2, 3), None, 1, 0),                    # NULL source
     ])
     opps = frame(spark, "opportunities_stg", [
-        (10, 1, "won", Decimal("100.00"), D(2024, 1, 5), 1),
-        (11, 2, "lost", Decimal("40.00"), D(2024, 1, 6), 0),
-        (12, 4, "won", Decimal("10.00"), D(2024, 2, 6), 1),
+        (10, 1, "won", Decimal("100.00"), D(2024, 1, 5), None, 1),
+        (11, 2, "lost", Decimal("40.00"), D(2024, 1, 6), None, 0),
+        (12, 4, "won", Decimal("10.00"), D(2024, 2, 6), None, 1),
     ])
     sales = frame(spark, "sales_stg", [
         (100, 10, Decimal("60.00"), D(2024, 1, 9)), (101, 10, Decimal("40.00"), D(2024, 1, 9)),  # two sales
@@ -64,9 +63,9 @@ def _funnel_tables(spark):
 
 def test_lead_funnel_matches_literal(spark):
     leads, opps, sales = _funnel_tables(spark)
-    brute.register(spark, {"leads_stg": leads, "opportunities_stg": opps, "sales_stg": sales})
+    held = brute.collect({"leads_stg": leads, "opportunities_stg": opps, "sales_stg": sales})
     ours = FN.lead_funnel(leads, opps, sales)
-    assert brute.rows(ours) == brute.rows(brute.lead_funnel(spark))
+    assert brute.rows(ours) == brute.rows(brute.lead_funnel(held))
     by = {r.lead_source: r for r in ours.collect()}
     assert by["event"].opps == 0 and by["event"].lead_to_opp_rate == Decimal("0.0000")
     assert by["event"].opp_to_win_rate is None and by["event"].closed_won_revenue is None
@@ -96,8 +95,8 @@ def ltv_tables(spark):
 def test_account_ltv_final_status(ltv_tables):
     subs, _, _ = ltv_tables
     got = {r.account_id: r for r in LTV.account_ltv(subs).collect()}
-    assert got[2].final_status == "churned"        # churned then active stays churned
-    assert got[2].lifetime_months == 3 and got[2].total_ltv == Decimal("60.00")
+    assert got["2"].final_status == "churned"        # churned then active stays churned
+    assert got["2"].lifetime_months == 3 and got["2"].total_ltv == Decimal("60.00")
 
 
 def test_ltv_by_abm(ltv_tables):
@@ -129,13 +128,13 @@ def test_overall_cac(spark):
 def test_opps_edge_pipeline_and_opp_influence(spark):
     """opps_edge: lead missing, NULL amount, two opportunities of one lead,
     one opportunity id with two amounts (distinct rows summed, raw base)."""
-    leads = frame(spark, "leads_stg", [(1, 1, "web", D(2024, 1, 1), 1, 1), (2, 2, "web", D(2024, 1, 1), 1, 1)])
+    leads = frame(spark, "leads_stg", [(1, 1, "web", D(2024, 1, 1), None, 1, 1), (2, 2, "web", D(2024, 1, 1), None, 1, 1)])
     opps = frame(spark, "opportunities_stg", [
-        (10, 1, "open", Decimal("100.00"), D(2024, 1, 10), 0),
-        (11, 1, "open", None, D(2024, 1, 10), 0),                     # NULL amount
-        (12, 2, "open", Decimal("30.00"), D(2024, 1, 10), 0),
-        (12, 2, "open", Decimal("50.00"), D(2024, 1, 10), 0),         # same id, second amount
-        (13, 99, "open", Decimal("7.00"), D(2024, 1, 10), 0),         # lead missing
+        (10, 1, "open", Decimal("100.00"), D(2024, 1, 10), None, 0),
+        (11, 1, "open", None, D(2024, 1, 10), None, 0),                     # NULL amount
+        (12, 2, "open", Decimal("30.00"), D(2024, 1, 10), None, 0),
+        (12, 2, "open", Decimal("50.00"), D(2024, 1, 10), None, 0),         # same id, second amount
+        (13, 99, "open", Decimal("7.00"), D(2024, 1, 10), None, 0),         # lead missing
     ])
     web = frame(spark, "web_sessions_stg", [(1, dt.datetime(2024, 1, 2, 9), "paid", 1, "g", "cpc", "c", 1),
                                             (1, dt.datetime(2024, 1, 3, 9), "paid", 1, "g", "cpc", "c", 2),
@@ -144,15 +143,14 @@ def test_opps_edge_pipeline_and_opp_influence(spark):
     acts = frame(spark, "sales_activities_stg", [])
     tables = {"leads_stg": leads, "opportunities_stg": opps, "web_sessions_stg": web,
               "email_engagement_stg": email, "sales_activities_stg": acts}
-    brute.register(spark, tables)
-    t = touches_from(tables)
+    held, t = tables, touches_from(tables)
     pipe = INF.pipeline_influence(opps, leads, t)
-    assert brute.rows(pipe) == brute.rows(brute.pipeline_influence(spark))
+    assert brute.rows(pipe) == brute.rows(brute.pipeline_influence(brute.collect(held)))
     got = {r.channel: r.pipeline_influenced for r in pipe.collect()}
     # paid: opp 10 (100) + NULL + both rows of opp 12 (30 + 50); email: opp 12 rows only
     assert got == {"paid": Decimal("180.00"), "email": Decimal("80.00")}
     opp = INF.opp_influence(opps, leads, t)
-    assert brute.rows(opp) == brute.rows(brute.opp_influence(spark))
+    assert brute.rows(opp) == brute.rows(brute.opp_influence(brute.collect(held)))
     assert {r.channel: r.ops_influenced for r in opp.collect()} == {"paid": 3, "email": 1}
 
 

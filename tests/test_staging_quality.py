@@ -43,7 +43,7 @@ def test_invalid_emails_and_rejects(spark):
     raw = contacts_dirty(spark)
     bad = {r.rid for r in Q.invalid_emails(STG.clean_contacts(raw)).collect()}
     assert bad == {3, 5, 6}                   # [at] without spaces, .org, NULL
-    rej = Q.rejects(raw, STG.clean_contacts(raw), ["created_at"], "rid").collect()
+    rej = Q.rejects(raw, STG.conversions("crm_contacts", raw)).collect()
     assert [(r.column, r.rejected) for r in rej] == [("created_at", 1)]
 
 
@@ -113,24 +113,41 @@ def test_profile_and_domains(spark):
     assert prof["first_response_at"].nulls == 1 and prof["lead_id"].rows == 5
     assert prof["lead_id"].is_key is True
     dv = {r.value: r.rows for r in Q.domain_values(raw, "contact_id").collect()}
-    assert dv == {10: 2, 11: 2, 12: 1}
+    assert dv == {"10": 2, "11": 2, "12": 1}
+    assert Q.domain_values(raw, "contact_id", "lead_id").count() == 6
     assert Q.distinct_count(raw, "lead_id").collect()[0][0] == 3
     assert Q.lookup_key(raw, "lead_id", 2).count() == 2
     assert Q.data_dictionary(spark).where(F.col("declared_key")).count() >= 5
 
 
-def test_duplicate_rows_hot_key_split(spark):
-    """A key with half of all rows goes through the broadcast path; the result
-    equals the literal IN (... HAVING COUNT(*) > 1) form, NULL keys excluded."""
+def test_duplicate_rows_hot_key(spark):
+    """A key with half of all rows; NULL keys never match.  The semi join has
+    a shuffle on both sides, so AQE can split the hot key."""
     df = spark.range(4000).select(
         F.when(F.col("id") % 2 == 0, F.lit(7))                      # hot key: 2,000 rows
          .when(F.col("id") % 11 == 1, F.lit(None))                  # NULL keys, repeated
-         .otherwise(F.col("id") % 500).cast("bigint").alias("k"),   # cold duplicates and singles
+         .otherwise(F.col("id") % 500).cast("bigint").alias("k"),   # other repeats and singles
         F.col("id").alias("v"))
-    df.createOrReplaceTempView("dup_src")
-    literal = spark.sql("""SELECT * FROM dup_src WHERE k IN
-        (SELECT k FROM dup_src GROUP BY k HAVING COUNT(*) > 1)""")
+    held = [tuple(r) for r in df.collect()]
+    count = {}
+    for k, _ in held:
+        count[k] = count.get(k, 0) + 1
+    want = sorted(r for r in held if r[0] is not None and count[r[0]] > 1)
     ours = Q.duplicate_rows(df, ["k"])
-    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, literal.collect()))
-    plan = ours._jdf.queryExecution().executedPlan().toString()
-    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+    assert sorted(map(tuple, ours.collect())) == want
+    check = Q.duplicate_keys({"df.k": (df, ["k"])}).collect()[0]
+    assert (check["check"], check["repeated_keys"], check["rows"]) == ("df.k", len({k for k, _ in want}), len(want))
+
+
+def test_rejects_count_rows_without_a_key_and_repeated_keys(spark):
+    raw = spark.createDataFrame([(None, "bad", "1"), (1, "bad", "x"), (1, "2024-01-01", "2.5"), (2, None, "999999999999")],
+                                "contact_id long, created_at string, spend string")
+    got = {(r.table, r.column): r.rejected for r in Q.table_rejects({
+        "crm_contacts": (raw, STG.conversions("crm_contacts", raw)), "spend": (raw, STG.conversions("spend", raw))}).collect()}
+    assert got == {("crm_contacts", "created_at"): 2, ("spend", "spend"): 2}
+
+
+def test_profile_takes_any_column_name(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b")], ["it's", "a`b"])
+    got = {r.column: (r.nulls, r.min, r.max) for r in Q.profile(df, "t'able", estimate_distinct=True).collect()}
+    assert got == {"it's": (1, "1", "1"), "a`b": (0, "a", "b")}
