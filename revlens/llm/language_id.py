@@ -37,8 +37,10 @@ UNKNOWN = "und"
 FIT_PER_LANGUAGE = 1000
 LANDMARKS_PER_LANGUAGE = 64
 RIDGE = 1e-4
-#: Texts handled at once; each takes BUCKETS bytes.
+#: Texts scored at once; each takes BUCKETS bytes.
 ROWS = 1024
+#: Rows spread out at once while fitting; each takes 4 x BUCKETS bytes.
+SPREAD = 256
 
 _TWO, _THREE = 13, 14  # bits of the buckets of 2-grams and 3-grams
 BUCKETS = 256 + (1 << _TWO) + (1 << _THREE)
@@ -95,24 +97,33 @@ class Model:
         return (x @ self.weights) / size + self.offsets
 
 
-def train(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
-    """Nystroem features on the first ``landmarks`` rows of each language, then one-versus-rest ridge."""
+def train(packed: np.ndarray, y: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
+    """Nystroem features on the first ``landmarks`` rows of each language, then one-versus-rest ridge.
+
+    ``packed``: a row of bits per text (``presence``, packed).  Rows are spread
+    out ``SPREAD`` at a time, so only the landmarks are held as numbers.
+    """
     languages = sorted(set(y))
     label = np.array([languages.index(v) for v in y])
     picked = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(languages))])
-    unit = x.astype(np.float64) / np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float64), 1))[:, None]
-    marks = unit[picked]
-    value, vector = np.linalg.eigh(marks @ marks.T)
+    marks = _unit(packed[picked])
+    value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-8 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])            # K_LL^(-1/2) up to a rotation
-    phi = (unit @ marks.T) @ root
+    kernel = np.concatenate([_unit(packed[i: i + SPREAD]) @ marks.T for i in range(0, len(packed), SPREAD)]).astype(np.float64)
+    phi = np.hstack([kernel @ root, np.ones((len(kernel), 1))])
     target = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     balance = (1 / np.bincount(label, minlength=len(languages)))[label][:, None]
-    phi1 = np.hstack([phi, np.ones((len(phi), 1))])
-    penalty = ridge * np.eye(phi1.shape[1])
+    penalty = ridge * np.eye(phi.shape[1])
     penalty[-1, -1] = 0
-    beta = np.linalg.solve(phi1.T @ (balance * phi1) + penalty, phi1.T @ (balance * target))
-    return Model(languages, (marks.T @ (root @ beta[:-1])).astype(np.float32), beta[-1].astype(np.float32))
+    beta = np.linalg.solve(phi.T @ (balance * phi) + penalty, phi.T @ (balance * target))
+    return Model(languages, marks.T @ (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
+
+
+def _unit(packed: np.ndarray) -> np.ndarray:
+    """Bit rows as numbers, divided by the root of their number of ones."""
+    x = np.unpackbits(packed, axis=1)[:, :BUCKETS].astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
 def fit(docs: DataFrame, usable: Column, per_language: int = FIT_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -135,8 +146,8 @@ def fit(docs: DataFrame, usable: Column, per_language: int = FIT_PER_LANGUAGE, i
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     got = sorted(got, key=lambda r: (r["lang"], r["id"], bytes(r["bits"])))
     order = np.random.default_rng(0).permutation(len(got))
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, :BUCKETS]
-    return train(x[order], [got[i]["lang"] for i in order])
+    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1)
+    return train(packed[order], [got[i]["lang"] for i in order])
 
 
 def pieces(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
