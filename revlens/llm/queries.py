@@ -81,5 +81,31 @@ REGISTRY = {
     "op10_pack": op10_pack,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 #: DuckDB SQL by key, for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # every window of every item against every place of every document
+    "op5_decontaminate": f"""WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+item AS (SELECT item_id, w, least(13, len(w)) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win
+    FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM item)),
+place AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM item))),
+found AS (SELECT doc_id, place.size, i, item_id FROM place JOIN win ON place.win = win.win AND place.size = win.size),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY doc_id),
+own AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+    sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)""",
+    "op7_warc": """WITH page AS (SELECT page_id, url, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+    if(strlen(body) >= 1000 AND page_id <> top, 'revisit', 'response') AS record_type,
+    CASE WHEN strlen(body) >= 1000 AND page_id <> top THEN top END AS refers_to,
+    array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www[.]', ''), '.')), ',') || ')' ||
+        lower(if(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) = '', '/', regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1))) ||
+        lower(regexp_extract(url, '^[^?#]*([?][^#]+)', 1)) AS url_key,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS timestamp
+FROM page""",
+}
