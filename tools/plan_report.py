@@ -1,10 +1,9 @@
 """Physical-plan summary of every registered query.
 
-    python tools/plan_report.py [sf_dir] [--share-all] > PLANS.md
+    python tools/plan_report.py [sf_dir] > PLANS.md
 
-With ``--share-all`` the share threshold is 0, i.e. the plans a large input
-gets: intermediates read by several branches are written once (those
-writes run while the plans are built) and the counted plans read them back.
+Frames that several branches read are written while a plan is built (the
+``written`` column counts them); the counted plan reads them back.
 
 Counts shuffles, broadcasts, join and aggregate strategies, windows and
 scans in each query's formatted plan (before AQE re-planning), and lists
@@ -20,6 +19,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from revlens.plans.queries import REGISTRY  # noqa: E402
+from revlens import session  # noqa: E402
 from revlens.session import get_session  # noqa: E402
 
 NODES = ["Exchange", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin",
@@ -38,26 +38,28 @@ def main() -> None:
     args = [a for a in sys.argv[1:] if not a.startswith("--")]
     sf_dir = args[0] if args else "/root/testdata/sf0.1"
     spark = get_session("local[8]", shuffle_partitions=16)
-    share_all = "--share-all" in sys.argv
-    if share_all:
-        spark.conf.set("revlens.share.minBytes", "0")
+    paths: list[str] = []
+    make = session.scratch_path
+    session.scratch_path = lambda s, name: paths.append(name) or make(s, name)
     short = {"Exchange": "shuffle", "BroadcastExchange": "bcast", "SortMergeJoin": "SMJ",
              "BroadcastHashJoin": "BHJ", "ShuffledHashJoin": "SHJ", "HashAggregate": "hashAgg",
              "SortAggregate": "sortAgg", "ObjectHashAggregate": "objAgg", "Expand": "expand",
              "Window": "window", "Scan parquet": "scans"}
-    policy = "shared intermediates written once (large-input policy)" if share_all else \
-        "inputs below the share threshold, recomputed per branch"
-    print(f"## {sf_dir}: {policy}\n")
-    print("| query | " + " | ".join(short[n] for n in NODES) + " | widest scan (cols) |")
-    print("| --- " * (len(NODES) + 2) + "|")
+    print("# Plans\n\nStatic plans (before AQE re-planning) of every registered query, from `tools/plan_report.py`. There is one plan at every")
+    print("size. `written` counts frames that several branches read and that are written once while the plan is built; the other")
+    print("columns are of the returned plan, which reads them back. `widest scan` is the largest number of columns of any one scan.\n")
+    print(f"## {sf_dir}\n")
+    print("| query | written | " + " | ".join(short[n] for n in NODES) + " | widest scan (cols) |")
+    print("| --- " * (len(NODES) + 3) + "|")
     for key, fn in REGISTRY.items():
         if key == "export_mart":
             continue
+        before = len(paths)
         df = fn(spark, sf_dir)
         plan = df._jdf.queryExecution().explainString(
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         s = summarize(plan)
-        print(f"| {key} | " + " | ".join(str(s[n]) for n in NODES) + f" | {s['widest_scan_cols']} |")
+        print(f"| {key} | {len(paths) - before} | " + " | ".join(str(s[n]) for n in NODES) + f" | {s['widest_scan_cols']} |")
 
 
 if __name__ == "__main__":
