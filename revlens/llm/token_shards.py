@@ -37,8 +37,8 @@ from revlens.llm.tokens import Encoder, default_vocabulary
 from revlens.session import scratch_path, written
 
 #: Tokens of a sequence, sequences of a shard, id that fills up.
-LENGTH = 4096
-ROWS = 1024
+LENGTH = 8192
+ROWS = 512
 PAD = 0
 ROUNDS = 6
 
@@ -78,8 +78,11 @@ def permute(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarr
     return out.astype(np.int64)
 
 
+SEQUENCE = "task int, number bigint, n_tokens int, body binary"
+
+
 def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
-    """(task, number, n_tokens, body): the joined ids of each task's documents, cut to ``length``; body is compressed."""
+    """(task, number, n_tokens, body): the joined ids of each task's documents, cut to ``length``."""
     path = vocabulary or default_vocabulary()
     schema = pa.schema([("task", pa.int32()), ("number", pa.int64()), ("n_tokens", pa.int32()), ("body", pa.binary())])
 
@@ -87,14 +90,13 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
         from pyspark import TaskContext
 
         encoder, task, number = Encoder(path), TaskContext.get().partitionId(), 0
-        small = zstandard.ZstdCompressor(level=9)
         rest = np.empty(0, "<u4")
 
         def cut(ids: np.ndarray) -> pa.RecordBatch:
             nonlocal number
             rows = [ids[i: i + length] for i in range(0, len(ids), length)]
             out = batch_of(schema, task=[task] * len(rows), number=list(range(number, number + len(rows))), n_tokens=[len(r) for r in rows],
-                           body=[small.compress(r.astype(token_type(encoder.size)).tobytes()) for r in rows])
+                           body=[r.astype(token_type(encoder.size)).tobytes() for r in rows])
             number += len(rows)
             return out
 
@@ -108,7 +110,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
         if len(rest):
             yield cut(rest)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "task int, number bigint, n_tokens int, body binary")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, SEQUENCE)
 
 
 def token_type(vocabulary_size: int) -> str:
@@ -123,7 +125,10 @@ def materialise(docs: DataFrame, folder: str | None = None, key: int = 0x5EED, l
     folder = folder or scratch_path(spark, "token-shards")
     vocab = vocabulary or default_vocabulary()
     kind = token_type(Encoder(vocab).size)
-    cut = written(sequences(docs, length, vocab, text_col), "sequences")
+    path = scratch_path(spark, "sequences")
+    # neighbouring sequences compress together in Parquet's pages
+    sequences(docs, length, vocab, text_col).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
+    cut = spark.read.schema(SEQUENCE).parquet(path)
     per_task = sorted((r["task"], r["n"]) for r in cut.groupBy("task").agg(F.count("*").alias("n")).collect())  # one row a task
     total, before = 0, {}
     for task, n in per_task:
@@ -133,10 +138,11 @@ def materialise(docs: DataFrame, folder: str | None = None, key: int = 0x5EED, l
     out_schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("n_tokens", pa.int32()), ("body", pa.binary())])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)  # for the shuffle
         for batch in batches:
             first = np.array([offsets.value[t] for t in batch.column("task").to_pylist()], np.int64)
             slot = permute(first + batch.column("number").to_numpy(), total, key)
-            yield batch_of(out_schema, shard=pa.array(slot // rows), slot=pa.array(slot), n_tokens=batch.column("n_tokens"), body=batch.column("body"))
+            yield batch_of(out_schema, shard=pa.array(slot // rows), slot=pa.array(slot), n_tokens=batch.column("n_tokens"), body=[small.compress(b) for b in batch.column("body").to_pylist()])
 
     shard_schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("first_slot", pa.int64()), ("n_rows", pa.int64())])
 
