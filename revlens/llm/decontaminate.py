@@ -45,6 +45,7 @@ WINDOW_WORDS = 13
 SHINGLE_WORDS = 5
 FILTER_BITS = 1 << 23
 
+
 class Words:
     """The words of a chunk of texts: borders, text numbers and hashes."""
 

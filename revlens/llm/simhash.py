@@ -279,9 +279,8 @@ def links(nodes: DataFrame, tau: int = 2) -> DataFrame:
     p, x = nodes.select("fp", "rep").mapInArrow(probe, shape).alias("p"), index.alias("x")
     near = (F.col("p.part") == F.col("x.part")) & (F.col("p.key") == F.col("x.key")) & (F.col("p.fp") < F.col("x.fp")) \
         & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("x.fp"))) <= tau)
-    both_ways = p.join(x, near).select(F.col("p.rep").alias("a"), F.col("x.rep").alias("b"))
-    # either side's probes find a pair; only those of the smaller fingerprint are used
-    return both_ways.distinct()
+    # the probes of either fingerprint find the pair; those of the smaller one are used
+    return p.join(x, near).select(F.col("p.rep").alias("a"), F.col("x.rep").alias("b")).distinct()
 
 
 def label_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
