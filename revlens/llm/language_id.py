@@ -28,9 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from revlens.llm.arrow import batch_of, chunks, text_bytes
+from revlens.llm.sampling import per_group
 
 UNKNOWN = "und"
 #: Rows per language in the fitting sample, and how many of these are landmarks.
@@ -129,8 +130,7 @@ def _unit(packed: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, usable: Column, per_language: int = FIT_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Model from at most ``per_language`` rows of each language among the rows where ``usable`` holds."""
     ids = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = ids.withColumn("at", F.row_number().over(rank)).filter(F.col("at") <= per_language).select("id", "lang").distinct()
+    sample = per_group(ids, "lang", per_language)
     texts = docs.filter(usable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(sample), ["id", "lang"], "left_semi")  # at most per_language rows a language
     schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])

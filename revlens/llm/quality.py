@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from revlens.llm.arrow import batch_of, run_hashes, runs, text_bytes
 from revlens.llm.language_id import pieces
+from revlens.llm.sampling import per_group
 
 #: Bytes of a passage.
 PASSAGE = 512
@@ -161,8 +162,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: i
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = FIT_PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """Model from at most ``per_label`` labelled documents of each label (0, 1) where ``usable`` holds of the label's row."""
     known = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label"))
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    sample = known.withColumn("at", F.row_number().over(rank)).filter(F.col("at") <= per_label).select("id", "label").distinct()
+    sample = per_group(known, "label", per_label)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # at most 2 x per_label rows of sample
     schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("bag", pa.binary())])
