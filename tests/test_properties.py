@@ -17,7 +17,8 @@ CHANNELS = [None, "paid", "organic", "email"]
 BASE = dt.datetime(2024, 1, 1)
 
 web_row = st.tuples(st.integers(1, 4), st.integers(0, 20), st.sampled_from([0, 0, 9, 23]),
-                    st.sampled_from(CHANNELS), st.sampled_from([None, 1, 2]))
+                    st.sampled_from(CHANNELS), st.sampled_from([None, 1, 2]),
+                    st.sampled_from([None, "c1", "c2", "c3"]))
 email_row = st.tuples(st.integers(1, 4), st.integers(0, 20))
 act_row = st.tuples(st.integers(1, 4), st.integers(0, 20),
                     st.sampled_from([None, "no_answer", "connected"]))
@@ -26,8 +27,8 @@ sale_row = st.tuples(st.integers(1, 6), st.integers(1, 5), st.integers(0, 20),
 
 
 def _tables(spark, webs, emails, acts, sales):
-    web = [(c, BASE + dt.timedelta(days=d, hours=h), ch, camp, "src", "cpc", "c1", 1000 + i)
-           for i, (c, d, h, ch, camp) in enumerate(webs)]
+    web = [(c, BASE + dt.timedelta(days=d, hours=h), ch, camp, "src", "cpc", utm, 1000 + i)
+           for i, (c, d, h, ch, camp, utm) in enumerate(webs)]
     email = [(c, (BASE + dt.timedelta(days=d)).date(), "nl", "email", "c2", 2000 + i)
              for i, (c, d) in enumerate(emails)]
     act = [(3000 + i, c, (BASE + dt.timedelta(days=d)).date(), "call", o)
@@ -62,6 +63,9 @@ def test_pair_free_equals_pair_join(spark, webs, emails, acts, sales):
     assert brute.rows(A.linear_by_channel(A.linear_touch(won, t))) == brute.rows(brute.linear(held))
     assert brute.rows(A.qa_untouched(won, t)) == brute.rows(brute.untouched(held))
     assert brute.rows(INF.customer_influence(won, t)) == brute.rows(brute.customer_influence(held))
+    by_campaign = [(m, *r) for m, rs in (("first", brute.single(held, False, "campaign")), ("last", brute.single(held, True, "campaign")),
+                                         ("linear", brute.linear(held, "campaign"))) for r in rs]
+    assert brute.rows(A.attribution_by(won, t, "utm_campaign")) == brute.rows(by_campaign)
 
 
 lead_row = st.tuples(st.integers(1, 6), st.sampled_from([None, "web", "ads"]), st.integers(0, 40),
