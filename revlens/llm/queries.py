@@ -29,7 +29,7 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part(modulus: int):
-    """crc32 of the id as text, modulo ``modulus``: the contract's split of the rows."""
+    """crc32 of the id as text, modulo ``modulus``: the contract's split of the rows (NULL, so not learned from, without an id)."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
@@ -37,7 +37,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), part(5) != 0)
     scored = quality.score(docs, model)
-    return scored.select("doc_id", (part(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(part(5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs, part(4) != 2)
     found = language_id.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (part(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(part(4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
