@@ -198,41 +198,29 @@ def _channel_detail(g: DataFrame) -> DataFrame:
     return g.select("order_id", *_SALE, F.col("p.ts").alias("touch_ts"), "p.touch_type")
 
 
-def _at_booking_days(won: DataFrame, per_contact: DataFrame, first_day: str) -> DataFrame:
-    """Per-contact rows lifted onto the contact's booking days on or after
-    ``first_day``, joined to won sales on (contact, booking day).
-
-    Joining won sales to a per-contact table on contact alone would put a
-    contact holding a third of all sales into one task, and AQE cannot split
-    it (that side is already partitioned by contact, so no shuffle sits
-    under the join).  The lift is bounded by the contact's booking days, and
-    the (contact, day) join has a shuffle on both sides that AQE can split.
-    """
-    points = booking_days(won).join(per_contact, "contact_id").where(F.col(first_day) <= F.col("day"))
-    return _at_booking(won, points)
-
-
 def _first_rows(won: DataFrame, day_state: DataFrame) -> DataFrame:
     """Touched orders with their first touch.
 
     The first qualifying touch of an order, when there is one, is the
-    contact's first touch overall, so a per-contact minimum (no window)
-    is enough: it qualifies when its day is on or before the booking day.
+    contact's first touch overall, so a per-contact minimum (no window, no
+    booking days) is enough: it qualifies when its day is on or before the
+    booking day.  The minima, at most one row per contact, are written, so the
+    join has a shuffle on both sides and AQE splits a contact with many sales;
+    won sales are read once.
     """
-    first = day_state.groupBy("contact_id").agg(F.min("first_t").alias("first_t"), F.min("day").alias("first_day"))
-    rows = _at_booking_days(won, first, "first_day").select("w.*", "s.first_t")
-    return rows.groupBy("order_id").agg(F.min(_pick("first_t")).alias("p"))
+    first = written(day_state.groupBy("contact_id").agg(F.min("first_t").alias("first_t"), F.min("day").alias("first_day")), "first-touches")
+    w, f = won.alias("w"), first.alias("f")
+    rows = w.join(f, (F.col("w.contact_id") == F.col("f.contact_id")) & (F.col("f.first_day") <= F.col("w.booked_at")))
+    return rows.select("w.*", "f.first_t").groupBy("order_id").agg(F.min(_pick("first_t")).alias("p"))
 
 
 def first_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
     """Earliest qualifying touch per order, with its UTM fields."""
-    won = written(won, "won_sales")       # query points + join back
     return _detail(_first_rows(won, detail_days(touches)))
 
 
 def first_channel(won: DataFrame, touches: DataFrame) -> DataFrame:
     """``first_touch`` without UTM fields, for the channel reports: raw touches meet a hash aggregate only."""
-    won = written(won, "won_sales")       # query points + join back
     return _channel_detail(_first_rows(won, days(channel_days(touches))))
 
 
@@ -383,9 +371,11 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
 
 def untouched_orders(won: DataFrame, touches: DataFrame) -> DataFrame:
     """Won sales whose order_id has no qualifying touch (anti join)."""
-    won = written(won, "won_sales")       # query points, join back and anti-join side
-    first_day = _known(touches).groupBy("contact_id").agg(F.min(day_ceiling("ts")).alias("first_day"))
-    touched = written(_at_booking_days(won, first_day, "first_day").select("w.order_id").distinct(), "touched-order-ids")
+    won = written(won, "won_sales")       # joined to first days and anti-joined
+    first = written(_known(touches).groupBy("contact_id").agg(F.min(day_ceiling("ts")).alias("first_day")), "first-days")
+    w, f = won.alias("w"), first.alias("f")
+    rows = w.join(f, (F.col("w.contact_id") == F.col("f.contact_id")) & (F.col("f.first_day") <= F.col("w.booked_at")))
+    touched = written(rows.select("w.order_id").distinct(), "touched-order-ids")
     return won.join(touched, "order_id", "left_anti")
 
 
