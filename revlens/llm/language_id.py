@@ -39,7 +39,7 @@ FIT_PER_LANGUAGE = 1000
 LANDMARKS_PER_LANGUAGE = 64
 RIDGE = 1e-4
 #: Texts scored at once; each takes BUCKETS bytes.
-ROWS = 1024
+ROWS = 256
 #: Rows spread out at once while fitting; each takes 4 x BUCKETS bytes.
 SPREAD = 256
 
