@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Hashes kept: a standard error of sqrt(J (1 - J) / K), at most 0.045.
@@ -85,16 +86,14 @@ def _buckets(ids: DataFrame, n: int) -> list:
 
 
 def _bucket_of(bounds: list) -> Column:
-    """How many bounds lie below the id: found in two steps of about sqrt(n) comparisons."""
-    if not bounds:
-        return F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.lit(0))
-    step = math.isqrt(len(bounds)) + 1
-    rows = [bounds[i: i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(r[-1]) for r in rows])
-    below = F.size(F.filter(heads, lambda x: x < F.col("id")))
-    fine = F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows])
-    inner = F.when(below < len(rows), F.size(F.filter(F.element_at(fine, F.least(below + 1, F.lit(len(rows)))), lambda x: x < F.col("id")))).otherwise(F.lit(0))
-    return F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.least(below * step + inner, F.lit(len(bounds))))
+    """How many bounds lie below the id: found in two steps of about sqrt(n) comparisons. -1 without an id."""
+    below = F.lit(0)
+    if bounds:
+        step = math.isqrt(len(bounds)) + 1
+        every, heads = F.lit(np.array(bounds, np.int64)), F.lit(np.array(bounds[step - 1::step], np.int64))
+        rows = F.size(F.filter(heads, lambda x: x < F.col("id")))
+        below = rows * step + F.size(F.filter(F.slice(every, rows * step + 1, step), lambda x: x < F.col("id")))
+    return F.when(F.col("id").isNull(), F.lit(-1)).otherwise(below)
 
 
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
