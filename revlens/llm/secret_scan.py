@@ -48,7 +48,8 @@ class EntropyRule:
         r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*",                  # words, also joined ones
         r"[0-9]+([_/=+-]+[0-9]+)*",                                # numbers, dates, phone numbers
         r"(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})",         # UUID
-        r"/*([\w.+-]{1,18}/+)+[\w.+-]{0,18}",                      # paths
+        # words and short numbers, as in paths, titles and CamelCase2Names
+        r"[_/=+-]*(?:(?:[A-Z]?[a-z]{2,}+|[A-Za-z](?![A-Za-z0-9])|[0-9]{1,8}+(?![0-9]))[_/=+-]*+)++",
         r"(?i:[\w+/=-]*(example|dummy|placeholder|xxxx)[\w+/=-]*)",
         r"(?i:(sha(1|256|384|512)|md5)-[A-Za-z0-9+/=]+)",          # integrity digests
     ))
@@ -88,7 +89,7 @@ def entropy_windows(s: str, rule: EntropyRule) -> Iterator[tuple[int, int]]:
     w = rule.window
     if len(s) < w:
         return
-    clog = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]
+    clog = [0.0] + [c * math.log2(c) for c in range(1, w + 2)]  # w + 1: the entering character comes first
     counts: dict[str, int] = {}
     hexes = digits = uppers = lowers = marks = 0
     total = 0.0

@@ -61,7 +61,7 @@ def test_entropy_equals_recomputed_windows_and_allow_list():
     rule = secret_scan.EntropyRule()
     rng = random.Random(3)
     for _ in range(200):
-        s = "".join(rng.choice("abcdefABCDEF0123456789xyzXYZ+/=") for _ in range(rng.randint(15, 70)))
+        s = "".join(rng.choice("abcdefABCDEF0123456789xyzXYZ+/=") for _ in range(rng.randint(15, 70))) + rng.choice(["", "a" * 25, "7" * 21, "/" * 40])
         hot = set()
         for i in range(len(s) - rule.window + 1):
             w = s[i:i + rule.window]
@@ -80,7 +80,12 @@ def test_entropy_equals_recomputed_windows_and_allow_list():
     scanner = secret_scan.Scanner(rule)
     key = "Zx9Qw3Lp7Vt2Rk8Nm4Bc6"
     assert scanner.spans(f"see {key} here")[1] == [(4, 4 + len(key))]
-    for clean in ["internationalization_of_something", "2024-01-02-2024-01-03-555", "123e4567-e89b-12d3-a456-426614174000", "docs/v2/install/guide/part1", "EXAMPLEZx9Qw3Lp7Vt2Rk8Nm4"]:
+    for key in ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzK9KEYab", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"]:
+        assert scanner.spans(key)[1], key
+    for hard in ["a" * 50_000 + "1A", "1" * 50_000 + "a", ("ab1" * 20_000) + "_"]:  # no blow-up in the allow list
+        scanner.spans(hard)
+    for clean in ["internationalization_of_something", "2024-01-02-2024-01-03-555", "123e4567-e89b-12d3-a456-426614174000", "docs/v2/install/guide/part1", "EXAMPLEZx9Qw3Lp7Vt2Rk8Nm4",
+                  "SomeCamelCaseIdentifier2WithDigits3", "Reports/2024/05/this-is-a-Long-title-With-words-12345", "a" * 40 + "1"]:
         assert scanner.spans(clean)[1] == [], clean
 
 
