@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 # Names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,7 +26,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 CLOSES_P = BLOCK - frozenset("body html head title td th tr tbody thead tfoot caption option legend summary script style noscript template iframe svg math object canvas select textarea datalist".split())
 P_BORDERS = frozenset("article aside body div section main td th li table form header footer nav button object dd figure blockquote fieldset details dialog".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.DOTALL)
+# Outside quotes a tag holds no "<", so a stray one costs no scan to the end of the page.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 MARK = re.compile(r"""\bdata-keep=([01])""")
 
@@ -40,6 +42,7 @@ class Page:
         self.text: list[str] = [""]
         self.link: list[int] = [0]
         self._stack = [0]
+        self._opened: Counter[str] = Counter()  # elements of each name on the stack: no search for what is not there
         self._run: list[str] = []
         self._run_link = 0
         self._links = 0
@@ -65,11 +68,14 @@ class Page:
     def _pop_to(self, depth: int) -> None:
         self._flush()
         while len(self._stack) > depth:
-            if self.tag[self._stack.pop()] in SILENT:
-                self._silent -= 1
+            tag = self.tag[self._stack.pop()]
+            self._opened[tag] -= 1
+            self._silent -= tag in SILENT
 
     def _end(self, names, borders) -> None:
         """Close the innermost open element of ``names`` that no border hides (all of them for cells in a row)."""
+        if not any(self._opened[n] for n in names):
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             tag = self.tag[self._stack[depth]]
             if tag in borders:
@@ -127,6 +133,7 @@ class Page:
         node = self._add(name, self._stack[-1], attrs)
         if name not in VOID:
             self._stack.append(node)
+            self._opened[name] += 1
             self._silent += name in SILENT
 
     def _close(self, name: str) -> None:
@@ -134,7 +141,7 @@ class Page:
             self._links = 0
         if name not in BLOCK:
             return
-        for depth in range(len(self._stack) - 1, 0, -1):
+        for depth in range(len(self._stack) - 1, 0, -1) if self._opened[name] else ():
             if self.tag[self._stack[depth]] == name:
                 self._pop_to(depth)
                 return

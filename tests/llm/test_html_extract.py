@@ -96,6 +96,15 @@ def test_decoding_is_the_best_consistent_choice():
                 i = page.parent[i]
 
 
+def test_malformed_pages_take_linear_time():
+    import time
+    for page in ['<p class="' * 40_000, "<a " * 100_000, "<" * 300_000, "<!" * 200_000, "<!--" * 50_000, "<div>" * 30_000, "<b '" * 50_001, "<script>" * 20_000,
+                 "<div>" * 30_000 + "</section><li></li>" * 30_000, "<ul>" + "<div>" * 30_000 + "<li>x</li>" * 30_000]:
+        t = time.time()
+        Page(page)
+        assert time.time() - t < 5, page[:10]
+
+
 def test_reader():
     p = Page("a<p>b<br>c<p>d<ul><li>e<li>f &lt;g&gt;</ul><!-- <p>no -->h<script>if (a<b) '</p>'</script><x-y>i</x-y> j")
     assert [t for t in p.text if t] == ["a", "b c", "d", "e", "f <g>", "h", "i j"]
