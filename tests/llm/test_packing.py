@@ -62,7 +62,7 @@ def test_both_vocabulary_files_give_equal_ids():
     fast, own = tokens.Encoder(tokens.default_vocabulary()), tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(2)
     alphabet = ["a", "Z", " ", "  ", "\n", "\t", "1", "'s", "é", "ß", "中", "🙂", "<|endoftext|>", "...", "_", " ", " ", "\x00", "́"]
-    cases = ["", None, "a" * 30_000, " " * 5000, *(r[1] for r in rows())] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    cases = ["", None, "a" * 30_000, " " * 5000, "a" + " " * 150_000 + "b" + "\n" * 120_000, "x " + " \n" * 1_000_000, *(r[1] for r in rows())] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
     for c in cases:
         assert fast.document(c).tolist() == own.document(c).tolist()
 
