@@ -330,9 +330,12 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
     distinct (order_id, value).
     """
     won = written(won, "won_sales")       # query points + join back
-    per_day = written(detail_days(touches), "touch-days")
-    per_value = written(_known(touches).groupBy("contact_id", day_ceiling("ts").alias("day"), F.col(field).alias("value"))
-                        .agg(F.count(F.lit(1)).alias("n")), "touch-value-days")
+    touch = F.struct(*[F.col(c) for c in DETAIL_FIELDS])
+    # raw touches are read once; everything below starts from their (contact, day, value) rows
+    per_value = written(_known(touches).groupBy("contact_id", day_ceiling("ts").alias("day"), F.col(field).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(touch).alias("first_t"), F.max(touch).alias("last_t")), "touch-value-days")
+    per_day = per_value.groupBy("contact_id", "day").agg(
+        F.sum("n").alias("n"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
     rows = written(touched_rows(won, per_day), "touched-orders")
 
     picked = rows.groupBy("order_id").agg(F.min(_pick("first_t")).alias("first"), F.max(_pick("last_t")).alias("last"))
@@ -347,20 +350,23 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
     booked = shared.groupBy("contact_id", F.col("booked_at").alias("day")).agg(
         F.sum("share").cast(SHARE).alias("share"),
         F.count_if((F.col("order_rows") == 1) & F.col("order_id").isNotNull()).alias("orders"), F.lit(1).alias("books"))
-    marks = booked.unionByName(per_day.select("contact_id", "day", F.lit(0).cast(SHARE).alias("share"),
-                                              F.lit(0).cast("bigint").alias("orders"), F.lit(0).alias("books")))
+    touch_day = per_value.select("contact_id", "day").distinct()
+    marks = booked.unionByName(touch_day.select("contact_id", "day", F.lit(0).cast(SHARE).alias("share"),
+                                                F.lit(0).cast("bigint").alias("orders"), F.lit(0).alias("books")))
     onward = Window.partitionBy("contact_id").orderBy(F.desc("day"), F.desc("books")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earns = written(marks.select("contact_id", "day", "books", F.sum("share").over(onward).cast(SHARE).alias("share"),
-                                 F.sum("orders").over(onward).alias("orders")).where("books = 0").drop("books"), "earned-from-day")
+    earns = marks.select("contact_id", "day", "books", F.sum("share").over(onward).cast(SHARE).alias("share"),
+                         F.sum("orders").over(onward).alias("orders")).where("books = 0").drop("books")
 
-    credit = per_value.join(earns, ["contact_id", "day"]).groupBy("value").agg(
-        F.sum(F.col("n").cast("decimal(12,0)") * F.col("share")).alias("credit"))
+    # each day's touches earn shares; a value's first day also earns the orders from then on
     since = per_value.groupBy("contact_id", "value").agg(F.min("day").alias("day"))
-    once = since.join(earns, ["contact_id", "day"]).groupBy("value").agg(F.sum("orders").alias("orders"))
+    earning = per_value.select("contact_id", "day", "value", "n", F.lit(0).alias("opens")).unionByName(
+        since.select("contact_id", "day", "value", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("opens")))
+    earned = earning.join(earns, ["contact_id", "day"]).groupBy("value").agg(
+        F.sum(F.col("n").cast("decimal(12,0)") * F.col("share")).alias("credit"), F.sum(F.col("orders") * F.col("opens")).alias("orders"))
     several = shared.where((F.col("order_rows") > 1) & F.col("order_id").isNotNull()).groupBy("order_id", "contact_id").agg(F.max("booked_at").alias("until"))
     again = several.join(since, "contact_id").where(F.col("day") <= F.col("until")).select("order_id", "value").distinct()
     again = again.groupBy("value").agg(F.count(F.lit(1)).alias("orders"))
-    linear = (credit.unionByName(once, allowMissingColumns=True).unionByName(again, allowMissingColumns=True)
+    linear = (earned.unionByName(again, allowMissingColumns=True)
               .groupBy("value").agg(F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("orders"), F.sum("credit").alias("revenue"))
               .select(F.lit("linear").alias("model"), "value", "orders", "revenue"))
     every = single.unionByName(linear).groupBy("model", _channel("value").alias(field)).agg(
