@@ -11,7 +11,8 @@ line breaks in page order, are the text.
 
 Pages carry no labels.  The fitting sample is ``FIT_PAGES`` pages (smallest
 hash of the id).  Where such a page has an article or main element, its text
-blocks are known; ``variants`` rebuilds pages from these blocks with the
+blocks are known (in a table without such pages they are guessed from where the
+paragraphs are); ``variants`` rebuilds pages from these blocks with the
 semantic element kept or replaced by a plain one, and with menus, headers,
 footers, sidebars, notices, adverts, forms and comments around and inside it,
 so the labels are known and the trees cannot lean on one page layout.
@@ -38,6 +39,8 @@ from revlens.llm.dom import ATTRIBUTE, MARK, SILENT, Page
 #: Pages of the fitting sample and rebuilt pages from each.
 FIT_PAGES = 200
 VARIANTS = 4
+#: With fewer pages that have an article or main element, the main element of the others is guessed.
+LEAST_KNOWN = 10
 
 # Word stems in class, id and role tokens, by kind of page part.
 STEMS = {
@@ -168,19 +171,36 @@ def weigh(page: Page, odds: np.ndarray) -> np.ndarray:
 
 # --- fitting ----------------------------------------------------------------
 
-def inside_main(page: Page) -> list[bool]:
-    """Whether each node is in the first article or main element, but not in a menu or the like within it."""
-    inside = [False] * len(page.tag)
-    root = next((i for i, t in enumerate(page.tag) if t in ("article", "main")), len(page.tag))
-    for i in range(root, len(page.tag)):
-        inside[i] = (i == root or inside[page.parent[i]]) and page.tag[i] not in ("nav", "header", "footer", "aside", "form")
+_NOT_MAIN = ("nav", "header", "footer", "aside", "form")
+
+
+def inside_main(page: Page, guess: bool = False) -> list[bool]:
+    """Whether each node is in the main element, but not in a menu or the like within it.
+
+    The main element is the first article or main; with ``guess`` and none of
+    these it is the element whose own paragraphs have the most text outside
+    links, in no menu, header, footer, sidebar or form by tag or attributes.
+    """
+    n = len(page.tag)
+    inside, root = [False] * n, next((i for i, t in enumerate(page.tag) if t in ("article", "main")), n)
+    if root == n and guess:
+        bad, own = [False] * n, [0] * n
+        for i in range(1, n):
+            p = page.parent[i]
+            bad[i] = bad[p] or page.tag[i] in _NOT_MAIN or page.tag[i] in SILENT or bool(page.attrs[i] and _tokens(page.attrs[i])[0] >> 1)
+            if not page.tag[i] and not bad[i]:
+                block = page.parent[p] if page.tag[p] in ("p", "h1", "h2", "h3", "blockquote", "pre") else p
+                own[max(block, 0)] += len(page.text[i]) - 3 * page.link[i]
+        root = max(range(n), key=lambda i: own[i]) if max(own) > 0 else n
+    for i in range(root, n):
+        inside[i] = (i == root or inside[max(page.parent[i], 0)]) and page.tag[i] not in _NOT_MAIN
     return inside
 
 
-def blocks_of(source: str) -> tuple[list[str], list[str]]:
+def blocks_of(source: str, guess: bool = False) -> tuple[list[str], list[str]]:
     """(text runs inside the main element, all other runs)."""
     page = Page(source)
-    inside = inside_main(page)
+    inside = inside_main(page, guess)
     return [t for t, k in zip(page.text, inside, strict=True) if t and k], [t for t, k in zip(page.text, inside, strict=True) if t and not k]
 
 
@@ -261,6 +281,9 @@ def fit(pages: DataFrame, n_pages: int = FIT_PAGES, per_page: int = VARIANTS, id
 def train(sources: list[str], per_page: int = VARIANTS) -> boost.Boosted:
     rng = random.Random(0)
     found = [blocks_of(s) for s in sources]
+    guess = sum(bool(m) for m, _ in found) < LEAST_KNOWN
+    if guess:
+        found = [blocks_of(s, guess) for s in sources]
     other = [t for _, o in found for t in o] + [t for m, _ in found for t in m] or _FALLBACK
     known = [(s, m) for s, (m, _) in zip(sources, found, strict=True) if m] or [("", _FALLBACK[:k]) for k in range(1, 12)]
     x, y, w = [], [], []
@@ -274,7 +297,7 @@ def train(sources: list[str], per_page: int = VARIANTS) -> boost.Boosted:
 
     for source, main in known:
         own = Page(source)
-        learn(own, holds_text(own, inside_main(own)), float(per_page))
+        learn(own, holds_text(own, inside_main(own, guess)), float(per_page))
         for _ in range(per_page):
             page = Page(variants(main, other, rng))
             learn(page, labels_of(page), 1.0)

@@ -62,6 +62,14 @@ def test_rebuilt_layouts_without_semantic_elements(spark, model):
     assert hit / (hit + extra) > 0.95 and hit / (hit + missed) > 0.95
 
 
+def test_tables_without_any_semantic_element(spark):
+    pages = [p["html"] for p in queries.table(spark, SF_MID, "pages").orderBy("page_id").collect()]
+    for plain in ("div", 'div class="content"'):
+        other = [p.replace("<article>", f"<{plain}>").replace("</article>", "</div>") for p in pages]
+        got = hx.texts(other, hx.train(other[:120]))
+        assert sum(g == article_text(p) for g, p in zip(got, pages, strict=True)) >= 0.95 * len(pages)
+
+
 def test_edges(spark, model):
     df = spark.createDataFrame([(i, u, h, "extra") for i, u, h in HTML], "page_id bigint, url string, html string, text string")
     got = {(r["page_id"], r["url"], r["n_chars"]): r["text"] for r in hx.extract(df, model).collect()}
