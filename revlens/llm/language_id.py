@@ -10,6 +10,13 @@ ridge weights multiply out to one weight per n-gram bucket and language:
 a batch of texts is scored by one matrix product, X W, and a division by
 sqrt(|A|).  2-grams and 3-grams are hashed into a fixed number of buckets.
 
+The ridge outputs sum to 2 - K for K languages whatever the text, so the best
+of them never falls below a floor and cannot tell a language that was not
+learned.  Evidence is judged apart, whatever K: the mean log-odds of the
+text's n-grams, as often as the language's learned rows have them against an
+even spread over the buckets.  It counts in full from ``FULL_EVIDENCE`` of the
+learned rows' median on, and the score is at most that share.
+
 Fitting uses a bounded sample: ``FIT_PER_LANGUAGE`` rows of each language,
 those of the smallest hash of the id.  Only their bit sets (fixed size) reach
 the driver.  Scoring covers every whole text.
@@ -42,6 +49,10 @@ RIDGE = 1e-4
 ROWS = 256
 #: Rows spread out at once while fitting; each takes 4 x BUCKETS bytes.
 SPREAD = 256
+#: Added to the count of learned rows that have a bucket.
+PRIOR = 0.5
+#: Share of the learned rows' median log-odds from which on a text's evidence is full.
+FULL_EVIDENCE = 0.5
 
 _TWO, _THREE = 13, 14  # bits of the buckets of 2-grams and 3-grams
 BUCKETS = 256 + (1 << _TWO) + (1 << _THREE)
@@ -85,18 +96,28 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, one weight per bucket and language, one offset per language."""
+    """Languages, one weight per bucket and language, one offset per language; the same for the log-odds, and their full value."""
 
     languages: list[str]
     weights: np.ndarray
     offsets: np.ndarray
+    odds: np.ndarray
+    odds_offsets: np.ndarray
+    full: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """(text, language): ridge outputs, about 1 for the language and -1 for the others."""
-        x = x.astype(np.float32)
+        x = x.astype(np.float32, copy=False)
         size = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
         return (x @ self.weights) / size + self.offsets
 
+    def evidence(self, x: np.ndarray) -> np.ndarray:
+        """(text, language): 0 where the n-grams are no likelier in the language than by chance, 1 from ``full`` on."""
+        x = x.astype(np.float32, copy=False)
+        mean = (x @ self.odds) / np.maximum(x.sum(axis=1, keepdims=True), 1) + self.odds_offsets
+        known = self.full > 0  # too few learned rows tell nothing: no text is refused for it
+        return np.where(known, np.clip(mean / np.where(known, self.full, 1), 0, 1), 1)
+
 
 def train(packed: np.ndarray, y: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
     """Nystroem features on the first ``landmarks`` rows of each language, then one-versus-rest ridge.
@@ -118,7 +139,29 @@ def train(packed: np.ndarray, y: list[str], landmarks: int = LANDMARKS_PER_LANGU
     penalty = ridge * np.eye(phi.shape[1])
     penalty[-1, -1] = 0
     beta = np.linalg.solve(phi.T @ (balance * phi) + penalty, phi.T @ (balance * target))
-    return Model(languages, marks.T @ (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
+    return Model(languages, marks.T @ (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32), *_odds(packed, label, len(languages)))
+
+
+def _odds(packed: np.ndarray, label: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds per bucket and language, their offsets, and the value of full evidence.
+
+    A learned row's own log-odds are taken without that row's counts.
+    """
+    odds, offsets, full = np.zeros((BUCKETS, languages), np.float32), np.zeros(languages, np.float32), np.zeros(languages, np.float32)
+    for k in range(languages):
+        rows = np.flatnonzero(label == k)
+        spread = lambda i: np.unpackbits(packed[rows[i: i + SPREAD]], axis=1)[:, :BUCKETS]  # noqa: E731, B023
+        count = sum(spread(i).sum(axis=0, dtype=np.int64) for i in range(0, len(rows), SPREAD))
+        odds[:, k] = np.log(count + PRIOR)
+        offsets[k] = -np.log(count.sum() / BUCKETS + PRIOR)
+        others = np.log(np.maximum(count - 1, 0) + PRIOR).astype(np.float32)
+        own = []
+        for i in range(0, len(rows), SPREAD):
+            x = spread(i).astype(np.float32)
+            size = x.sum(axis=1)
+            own.append((x @ others) / np.maximum(size, 1) - np.log((count.sum() - size) / BUCKETS + PRIOR))
+        full[k] = FULL_EVIDENCE * np.median(np.concatenate(own))
+    return odds, offsets, full
 
 
 def _unit(packed: np.ndarray) -> np.ndarray:
@@ -143,7 +186,8 @@ def fit(docs: DataFrame, usable: Column, per_language: int = FIT_PER_LANGUAGE, i
 
     got = rows.select(F.col("id").cast("bigint").alias("id"), "lang", "text").mapInArrow(run, "id bigint, lang string, bits binary").dropDuplicates(["id", "lang"]).collect()
     if not got:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
+        none, empty = np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32)
+        return Model([], none, empty, none, empty, empty)
     got = sorted(got, key=lambda r: (r["lang"], r["id"], bytes(r["bits"])))
     order = np.random.default_rng(0).permutation(len(got))
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1)
@@ -158,8 +202,8 @@ def pieces(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) from the text alone."""
-    known = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1, at most the evidence for the language) from the text alone."""
+    known = docs.sparkSession.sparkContext.broadcast(model)  # 2 x BUCKETS x languages numbers
     fields = [f for f in docs.schema if f.name not in (lang_out, score_out)]
     out_schema = T.StructType([*fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     names = [f.name for f in fields]
@@ -172,9 +216,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
                 letters = has_letter(column)
                 lang, score = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                 if m.languages:
-                    s = m.scores(presence(column))
-                    best = s.argmax(axis=1)
-                    top = np.clip((s[np.arange(len(s)), best] + 1) / 2, 0, 1)
+                    x = presence(column).astype(np.float32)
+                    s = m.scores(x)
+                    best, row = s.argmax(axis=1), np.arange(len(s))
+                    top = np.minimum(np.clip((s[row, best] + 1) / 2, 0, 1), m.evidence(x)[row, best])
                     lang[letters] = np.array(m.languages, object)[best[letters]]
                     score[letters] = top[letters]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score.astype(float))], names=[*names, lang_out, score_out])

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -33,6 +35,24 @@ def test_language_edges(spark):
     assert kept.schema == df.schema and kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in data)
 
 
+def test_documents_of_unlearned_languages_go_and_clean_ones_stay(spark):
+    docs = queries.table(spark, SF_MID, "documents").select("doc_id", "text", "lang")
+    rng = random.Random(11)
+    words = {"ru": "и в не на я быть он с что по это она этот к но они мы весь который из у то за свой год от так для же".split(),
+             "pl": "się jest przez być może już który która jeszcze bardzo człowiek życie dzień ręka świat część wszystko żeby właśnie chcieć mówić".split()}
+    foreign = [" ".join(rng.choice(w) for _ in range(k)) for w in words.values() for k in (30, 100, 2000)]
+    foreign += ["".join(chr(rng.randint(0x4E00, 0x6FFF)) for _ in range(k)) for k in (10, 100, 5000)]
+    foreign += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(k)) for k in (30, 100, 2000)]
+    planted = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(foreign)], docs.schema)
+    for learned in (["de", "en", "es", "fr"], ["en", "fr"], ["en"]):  # whatever the number of languages
+        own = docs.filter(F.col("lang").isin(learned))
+        model = language_id.fit(own, queries.part(4) != 2)
+        kept = {r["doc_id"] for r in language_id.keep_identified(own.unionByName(planted), model, least=0.25).collect()}
+        clean = {r["doc_id"] for r in own.filter(F.col("text").rlike(r"\p{L}")).collect()}
+        assert not {i for i in kept if i >= 10_000_000}, learned
+        assert len(clean - kept) <= 0.001 * len(clean), learned
+
+
 def test_folded_weights_equal_the_kernel_machine():
     """The bucket weights give what the Nystroem features and ridge weights give step by step."""
     texts = ["the and of to in that", "der die und nicht ein mit", "que los las por una con", "of the and in to was", "und der ein die auf", "las que por con los"] * 4
