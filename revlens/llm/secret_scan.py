@@ -5,8 +5,9 @@ every run of token characters a window of fixed width slides one character at
 a time; the Shannon entropy of the window's characters is kept by incremental
 counts (one character leaves, one enters).  A window counts under the class of
 its characters (hexadecimal, alphanumeric, base64) when its entropy reaches
-that class's threshold; overlapping windows join into one span.  Allow-listed
-candidates and spans that touch a base span are left out.
+that class's threshold and it holds a character that the allow list does not
+explain; overlapping windows join into one span.  Spans that touch a base span
+are left out.
 
 Defined results: a null text is empty and has no span; rows are independent,
 so repeated rows and null ids give one output row each; extra columns are kept
@@ -43,15 +44,16 @@ class EntropyRule:
     hex_bits: float = 3.0
     alnum_bits: float = 3.6
     base64_bits: float = 3.8
-    #: A candidate that one of these matches as a whole is no secret.
+    #: What is no secret: stretches of a run between marks or its ends.
     allow: tuple[str, ...] = field(default=(
-        r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*",                  # words, also joined ones
-        r"[0-9]+([_/=+-]+[0-9]+)*",                                # numbers, dates, phone numbers
-        r"(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})",         # UUID
-        # words and short numbers, as in paths, titles and CamelCase2Names
-        r"[_/=+-]*(?:(?:[A-Z]?[a-z]{2,}+|[A-Za-z](?![A-Za-z0-9])|[0-9]{1,8}+(?![0-9]))[_/=+-]*+)++",
-        r"(?i:[\w+/=-]*(example|dummy|placeholder|xxxx)[\w+/=-]*)",
-        r"(?i:(sha(1|256|384|512)|md5)-[A-Za-z0-9+/=]+)",          # integrity digests
+        r"(?i:(?:sha(?:1|256|384|512)|md5)-[A-Za-z0-9+/=]+)",      # integrity digests
+        r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})",       # UUID
+        r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",               # the published example key
+        r"(?i:[a-z0-9]{0,60}?(?:example|dummy|placeholder|xxxx)[a-z0-9]{0,60}+)",
+        r"[0-9]{1,8}+[a-z]*+",                                     # numbers, 2nd, 10gb
+        r"(?:[A-Z]?[a-z]++)?+[0-9]{0,8}+",                         # a word and its number, as in part1, Page12
+        # CamelCase2Names3: a word begins with a capital; three changes between words and numbers at most
+        r"[a-z]*+(?:[A-Z][a-z]{2,}+)*+(?:[0-9]{1,8}+(?:[A-Z][a-z]{2,}+)++)?+(?:[0-9]{1,8}+|[A-Z])?+",
     ))
 
 
@@ -80,9 +82,11 @@ def _char_class(c: str) -> int:
 _CLASS = {chr(i): _char_class(chr(i)) for i in range(33, 127)}
 
 
-def entropy_windows(s: str, rule: EntropyRule) -> Iterator[tuple[int, int]]:
+def entropy_windows(s: str, rule: EntropyRule, explained: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int]]:
     """Joined high-entropy windows of one candidate, as (start, end) in it.
 
+    With ``explained`` (ordered, disjoint) only windows with a letter or digit outside of it.
+
     The sum of c*log2(c) over the window's character counts is updated for the
     character that leaves and the one that enters; so are the counts per class.
     """
@@ -94,6 +98,8 @@ def entropy_windows(s: str, rule: EntropyRule) -> Iterator[tuple[int, int]]:
     hexes = digits = uppers = lowers = marks = 0
     total = 0.0
     start = end = -1
+    last = len(s) if explained is None else -1  # the last unexplained letter or digit so far
+    at = 0
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         counts[c] = n + 1
@@ -104,6 +110,11 @@ def entropy_windows(s: str, rule: EntropyRule) -> Iterator[tuple[int, int]]:
         uppers += (k >> 2) & 1
         lowers += (k >> 3) & 1
         marks += (k >> 4) & 1
+        if explained is not None and k != _MARK:
+            while at < len(explained) and explained[at][1] <= i:
+                at += 1
+            if at == len(explained) or i < explained[at][0]:
+                last = i
         if i >= w:
             o = s[i - w]
             n = counts[o]
@@ -115,7 +126,7 @@ def entropy_windows(s: str, rule: EntropyRule) -> Iterator[tuple[int, int]]:
             uppers -= (k >> 2) & 1
             lowers -= (k >> 3) & 1
             marks -= (k >> 4) & 1
-        if i >= w - 1:
+        if i >= w - 1 and last > i - w:
             bits = math.log2(w) - total / w
             if hexes == w:
                 hot = bits >= rule.hex_bits and digits and digits < w
@@ -141,16 +152,20 @@ class Scanner:
     def __init__(self, rule: EntropyRule):
         self.rule = rule
         self.candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % rule.window)
-        self.allow = re.compile("|".join(f"(?:{a})" for a in rule.allow)) if rule.allow else None
+        self.allow = re.compile(r"(?<![A-Za-z0-9])(?:%s)(?![A-Za-z0-9])" % "|".join(f"(?:{a})" for a in rule.allow)) if rule.allow else None
         self.digit = re.compile(r"[0-9]")
 
+    def explained(self, s: str) -> list[tuple[int, int]]:
+        return [m.span() for m in self.allow.finditer(s) if m.end() > m.start()] if self.allow else []
+
     def entropy_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
         out = []
         for m in self.candidate.finditer(text):
             s = m.group()
-            if not self.digit.search(s) or self.allow and self.allow.fullmatch(s):
+            if not self.digit.search(s):
                 continue
-            for a, b in entropy_windows(s, self.rule):
+            explained = self.explained(s)
+            for a, b in entropy_windows(s, self.rule, explained):
                 a, b = a + m.start(), b + m.start()
                 if not any(x < b and a < y for x, _, y in base):
                     out.append((a, b))

@@ -100,3 +100,20 @@ def test_redact_removes_every_span_and_keeps_columns(spark):
         base, more = scanner.spans(r["text"])
         assert not base and not more
         assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+
+
+def test_random_lower_case_keys_are_not_taken_for_words():
+    scanner = secret_scan.Scanner(secret_scan.EntropyRule())
+    rng = random.Random(9)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, n in ((lower + "0123456789", 20), (lower + "0123456789", 32), (lower + "234567", 52)):
+        keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(3000)]
+        hot = [k for k in keys if list(secret_scan.entropy_windows(k, scanner.rule)) and not secret_scan.base_spans(k)]
+        assert len(hot) > 2500 and sum(not scanner.spans(k)[1] for k in hot) <= 0.01 * len(hot), (alphabet, n)
+    key = "6bi96vmkumpnhhnvy229"
+    for before in ["", "users/anna/docs/example/", "xxxx-placeholder/", "docs/v2/part1/"]:  # what stands beside a key does not free it
+        assert scanner.spans(f"at {before}{key}.")[1] == [(3 + len(before), 3 + len(before) + len(key))], before
+    assert scanner.spans("docs/Example/v2/Zx9Qw3Lp7Vt2Rk8Nm4Bc6")[1][0][1] == 37
+    for clean in ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Release-2024-01-02-Notes-For-Version-12", "Files/123E4567-E89B-12D3-A456-426614174000",
+                  "src/main/Acme2/GetUserName/Part12-of-3", "internationalization2024"]:
+        assert scanner.spans(clean)[1] == [], clean
