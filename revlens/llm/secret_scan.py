@@ -6,8 +6,8 @@ a time; the Shannon entropy of the window's characters is kept by incremental
 counts (one character leaves, one enters).  A window counts under the class of
 its characters (hexadecimal, alphanumeric, base64) when its entropy reaches
 that class's threshold and it holds a character that the allow list does not
-explain; overlapping windows join into one span.  Spans that touch a base span
-are left out.
+explain; overlapping windows join into one span.  Of a span the base spans are
+cut out; what is left of it stays where it is itself as random as a window.
 
 Defined results: a null text is empty and has no span; rows are independent,
 so repeated rows and null ids give one output row each; extra columns are kept
@@ -20,7 +20,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +33,8 @@ ASSIGN_LEAST = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # AKIA and its whole run, 18 characters or more
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
+#: Least characters of what is left of an entropy span beside base spans.
+REST_LEAST = 8
 
 
 @dataclass(frozen=True)
@@ -167,10 +169,30 @@ class Scanner:
             explained = self.explained(s)
             for a, b in entropy_windows(s, self.rule, explained):
                 a, b = a + m.start(), b + m.start()
-                if not any(x < b and a < y for x, _, y in base):
+                touched = [(x, y) for x, _, y in base if x < b and a < y]
+                if touched:
+                    out += self.rest(text, a, b, touched, [(x + m.start(), y + m.start()) for x, y in explained])
+                else:
                     out.append((a, b))
         return out
 
+    def rest(self, text: str, a: int, b: int, base: list[tuple[int, int]], explained: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """What is left of text[a:b] without the ordered spans ``base``: pieces that are as random as a window themselves."""
+        at = a
+        for x, y in [*base, (b, b)]:
+            piece = text[at:x]
+            start = at + len(piece) - len(piece.lstrip("+/_=-"))
+            end = at + len(piece.rstrip("+/_=-"))
+            at = max(at, y)
+            if end - start < REST_LEAST:
+                continue
+            own = [(max(p, start) - start, min(q, end) - start) for p, q in explained if p < end and start < q]
+            w = min(self.rule.window, end - start)
+            scale = math.log2(w) / math.log2(self.rule.window)  # a shorter piece can reach less
+            rule = replace(self.rule, window=w, hex_bits=self.rule.hex_bits * scale, alnum_bits=self.rule.alnum_bits * scale, base64_bits=self.rule.base64_bits * scale)
+            if any(True for _ in entropy_windows(text[start:end], rule, own)):
+                yield start, end
+
     def spans(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
         base = base_spans(text or "")
         return base, self.entropy_spans(text or "", base)
