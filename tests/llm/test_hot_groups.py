@@ -1,10 +1,12 @@
 """A third of the rows are copies of one text, a third near copies of another, and many hold one benchmark passage."""
 
 import random
+import struct
 
 import pytest
+import xxhash
 
-from revlens.llm import bottom_k, decontaminate, packing, simhash, warc
+from revlens.llm import bottom_k, decontaminate, packing, sampling, simhash, warc
 from revlens.session import written
 from tests.llm import test_bottom_k, test_decontaminate, test_packing, test_simhash, test_warc
 from tests.llm.edges import frame
@@ -67,3 +69,13 @@ def test_merged_sketch_of_a_key_with_most_parts(spark, data):
     got = {r["key"]: r["s"] for r in bottom_k.merge(df, "key", "s").collect()}
     union = set().union(*(test_bottom_k.sketch(t)[1] for k, t in parts if k == "hot"))
     assert got["hot"] == sorted(union)[:bottom_k.K] and len(got) == 151
+
+
+def test_fitting_sample_of_repeated_ids(spark):
+    """Ids count once: neither do copies of one id fill the sample nor does their number leave a class without a row."""
+    at = lambda i: (xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest() % (1 << 40), i)  # noqa: E731, Spark's hash of a long
+    first, lone = min(range(400), key=at), max(range(400), key=at)
+    data = [(i, "a") for i in range(400)] + [(first, "a")] * 500 + [(lone, "b")] * 2000
+    got = sampling.per_group(spark.createDataFrame(data, "id bigint, lang string"), "lang", 20).collect()
+    assert sorted(r["id"] for r in got if r["lang"] == "a") == sorted(sorted(range(400), key=at)[:20])
+    assert [r["id"] for r in got if r["lang"] == "b"] == [lone]
