@@ -65,16 +65,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row of ``docs``; fp is the fingerprint's 64 bits as a signed long."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    """(id, fp, hash) per row of ``docs``; fp is the fingerprint's 64 bits as a signed long, hash the whole text's."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("hash", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 found = [fingerprint(t or b"", shingle) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield batch_of(schema, id=part.column("id"), fp=pa.array(np.array(found, np.uint64).view(np.int64)))
+                yield batch_of(schema, id=part.column("id"), fp=pa.array(np.array(found, np.uint64).view(np.int64)), hash=part.column("hash"))
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(run, "id bigint, fp bigint, hash bigint")
 
 
 # --- partitions and thresholds ----------------------------------------------
@@ -304,28 +305,41 @@ def label_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         labels = nxt.select("node", "label")
 
 
-def components(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``fp`` and ``component_id``, the smallest id reachable by links."""
+def grouped(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """``fingerprints`` with ``group``, the smallest fingerprint of the component, and ``component_id``, its smallest id.
+
+    Fingerprints are the nodes: texts that share an id are not linked by it.
+    """
     spark = docs.sparkSession
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = written(prints.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-nodes")
-    edges = written(links(nodes, max_bits), "fingerprint-links")
+    edges = written(links(nodes.select("fp", F.col("fp").alias("rep")), max_bits), "fingerprint-links")
     labels = label_components(spark, edges)
-    by_fp = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
-    out = prints.join(by_fp, "fp", "left")
+    linked = nodes.join(labels, nodes["fp"] == labels["node"])
+    least = written(linked.groupBy("label").agg(F.min("rep").alias("least")), "component-ids")  # of known size: a hot label is not dealt out
+    by_fp = nodes.join(labels, nodes["fp"] == labels["node"], "left").join(least, "label", "left") \
+        .select("fp", F.coalesce("label", "fp").alias("group"), F.coalesce("least", "rep").alias("component_id"))
+    return prints.join(by_fp, "fp", "left")
+
+
+def components(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, ``fp`` and ``component_id``, the smallest id reachable by links."""
+    out = grouped(docs, shingle, max_bits, id_col, text_col)
     return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (one of them, if repeated).
 
-    Rows without an id belong to no component and stay.
+    Rows that share an id and are not linked are kept apart.  Rows without an
+    id belong to no component and stay.
     """
-    groups = components(docs, shingle, max_bits, id_col, text_col)
-    kept = written(groups.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__keep")).distinct(), "kept-ids")
-    named = docs.filter(F.col(id_col).isNotNull())
-    rank = Window.partitionBy(id_col).orderBy(F.col(text_col))
-    chosen = named.join(kept, named[id_col] == kept["__keep"], "left_semi").withColumn("__rank", F.row_number().over(rank)).filter("__rank = 1").drop("__rank")
+    groups = grouped(docs, shingle, max_bits, id_col, text_col).filter(F.col("component_id") == F.col("id"))
+    kept = written(groups.groupBy("id", "group").agg(F.min("hash").alias("__hash")).select(F.col("id").alias("__keep"), "__hash"), "kept-rows")
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__text", F.xxhash64(F.col(text_col).cast("string")))
+    rank = Window.partitionBy(id_col, "__text").orderBy(F.col(text_col))
+    chosen = named.join(kept, (named[id_col] == kept["__keep"]) & (named["__text"] == kept["__hash"]), "left_semi") \
+        .withColumn("__rank", F.row_number().over(rank)).filter("__rank = 1").drop("__rank", "__text")
     return chosen.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

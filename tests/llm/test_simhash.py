@@ -125,3 +125,14 @@ def test_keep_one_keeps_each_group_once(spark):
     got = [r["doc_id"] for r in out.collect()]
     assert sorted(i for i in got if i is not None) == sorted(set(brute_components(prints).values()))
     assert got.count(None) == 2
+
+
+def test_unlinked_texts_of_one_id_stay(spark):
+    a, b = (" ".join(f"{p}{i * i % 997}" for i in range(80)) for p in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a), (3, b), (4, None), (4, "other words here")], "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (4, None), (4, "other words here")], key=str)
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.components(df).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    split = spark.createDataFrame([(2, a), (2, b), (3, a), (5, b), (1, b)], "doc_id bigint, text string")  # id 2 links nothing
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.components(split).collect()} == {(2, 2), (2, 1), (3, 2), (5, 1), (1, 1)}
