@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import bottom_k, decontaminate, html_extract, language_id, packing, quality, secret_scan, simhash, token_shards, warc
+from revlens.llm import bottom_k, decontaminate, divergence, html_extract, language_id, packing, quality, secret_scan, simhash, token_shards, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
@@ -79,6 +83,7 @@ REGISTRY = {
     "op8_bottom_k": op8_bottom_k,
     "op9_token_shards": op9_token_shards,
     "op10_pack": op10_pack,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,4 +113,23 @@ SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
         lower(regexp_extract(url, '^[^?#]*([?][^#]+)', 1)) AS url_key,
     strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS timestamp
 FROM page""",
+    # every source with every kept term of its language, counts of zero included
+    "op12_source_divergence": f"""WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+tok AS (SELECT r, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM tok SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS (SELECT lang, source, sum(n) AS n FROM cnt GROUP BY ALL),
+cell AS (SELECT lang, source, term, coalesce(cnt.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(cnt.n, 0) + 2)) // (coalesce(tot.n, 0) + 2 * v.v) AS p,
+        1 + (1000000000::HUGEINT * (kept.n + 2)) // (v.n + 2 * v.v) AS q
+    FROM grp JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN tot USING (lang, source) LEFT JOIN cnt USING (lang, source, term)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+part AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM cell WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM part
+QUALIFY part = 'pair' OR rank <= 10""",
 }
