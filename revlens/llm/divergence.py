@@ -55,8 +55,9 @@ TOP = 10
 SCALE = 1_000_000_000
 #: Entries of a task's dictionaries before they are sent on.
 FLUSH = 300_000
-#: Postings of a block of the term-major index, about.
-BLOCK_POSTINGS = 1 << 21
+#: Postings of a block of the term-major index, about: as many as there are pairs of sources (so that partial
+#: sums are no more rows than postings), within these bounds.
+BLOCK_POSTINGS = (1 << 16, 1 << 21)
 #: Posting pairs evaluated at once.
 PAIRS = 1 << 20
 
@@ -228,7 +229,8 @@ def _accumulate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pair_sums(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, g, h, value): the divergence of every two sources of a language, both ways."""
-    number = max(1, -(-postings.count() // BLOCK_POSTINGS))
+    pairs = groups.groupBy("lang").count().agg(F.sum(F.col("count") * F.col("count")).alias("n")).first()["n"] or 0
+    number = max(1, -(-postings.count() // min(max(pairs, BLOCK_POSTINGS[0]), BLOCK_POSTINGS[1])))
     cells = postings.select("lang", F.pmod(F.xxhash64("term"), F.lit(number)).cast("int").alias("block"), "term", "g", "p", F.lit(0).cast("bigint").alias("terms"))
     header = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("block"), F.lit(None).cast("string").alias("term"), "g", F.col("p0").alias("p"), "terms")
     sorted_blocks = cells.unionByName(header).repartition("lang", "block").sortWithinPartitions("lang", "block", "term")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import bottom_k, decontaminate, divergence, html_extract, language_id, packing, quality, secret_scan, simhash, token_shards, warc
+from revlens.llm import bottom_k, decontaminate, divergence, html_extract, language_id, packing, quality, secret_scan, simhash, spelling, token_shards, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
@@ -84,6 +88,7 @@ REGISTRY = {
     "op9_token_shards": op9_token_shards,
     "op10_pack": op10_pack,
     "op12_source_divergence": op12_source_divergence,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,4 +137,23 @@ part AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(val
     UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM cell WHERE n > 0 AND p > q)
 SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM part
 QUALIFY part = 'pair' OR rank <= 10""",
+    # CRC-32 byte by byte from its 256 values; replacements by the word without the place, deletions directly
+    "op13_spelling_variants": f"""WITH bits AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+        lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM range(256) t(i))),
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+often AS (SELECT doc_id, run, count(*) AS n FROM run WHERE len(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(strlen(coalesce(doc_id::VARCHAR, '') || ':' || run)),
+        lambda i: ('0x' || substr(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), (2 * i + 1)::INTEGER, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, crc[(xor(c & 255, b) + 1)::INTEGER]))) AS h FROM often, bits),
+word AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % len(run))::INTEGER) || substr(run, (h % len(run) + 2)::INTEGER) ELSE run END AS word, n FROM hashed)
+    WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT DISTINCT word, n, i, left(word, i::INTEGER) || substr(word, i::INTEGER + 2) AS rest FROM (SELECT word, n, unnest(range(len(word))) AS i FROM word)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word AND len(a.word) = len(b.word)
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN word b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN word b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+own AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+    FROM word LEFT JOIN best USING (word)),
+path AS (WITH RECURSIVE p AS (SELECT word, word AS here, 0 AS k FROM own UNION ALL SELECT p.word, own.form, k + 1 FROM p JOIN own ON own.word = p.here WHERE own.form IS NOT NULL) SELECT * FROM p)
+SELECT own.word, form, arg_max(here, k) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n FROM own JOIN path USING (word) GROUP BY own.word, form""",
 }

@@ -63,7 +63,7 @@ def test_equals_every_term_of_every_pair(spark):
 def test_blocks_flushes_and_slices_change_nothing(spark, monkeypatch):
     rows = corpus(150)
     want = brute(rows, least=3, top=4)
-    monkeypatch.setattr(divergence, "BLOCK_POSTINGS", 40)
+    monkeypatch.setattr(divergence, "BLOCK_POSTINGS", (40, 40))
     df = frame(spark, rows)
     assert result(divergence.audit(df, least=3, top=4)) == want
     block = divergence.Block(np.array([5, 9, 7]), np.array([0, 0, 1, 1, 2]), np.array([0, 2, 0, 1, 2]), np.array([50, 60, 70, 80, 90]))
