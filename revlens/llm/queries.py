@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import bottom_k, decontaminate, divergence, html_extract, language_id, packing, quality, secret_scan, simhash, spelling, token_shards, warc
+from revlens.llm import bottom_k, decontaminate, divergence, html_extract, language_id, ngram_join, packing, quality, secret_scan, simhash, spelling, token_shards, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ REGISTRY = {
     "op8_bottom_k": op8_bottom_k,
     "op9_token_shards": op9_token_shards,
     "op10_pack": op10_pack,
+    "op11_ngram_join": op11_ngram_join,
     "op12_source_divergence": op12_source_divergence,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -118,6 +123,15 @@ SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
         lower(regexp_extract(url, '^[^?#]*([?][^#]+)', 1)) AS url_key,
     strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS timestamp
 FROM page""",
+    # every two documents that share a shingle
+    "op11_ngram_join": f"""WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+gram AS (SELECT DISTINCT r, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM doc)),
+size AS (SELECT r, count(*) AS n FROM gram GROUP BY r),
+link AS (SELECT a.r AS a, b.r AS b FROM gram a JOIN gram b ON a.g = b.g AND a.r <> b.r JOIN size x ON x.r = a.r JOIN size y ON y.r = b.r
+    GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (WITH RECURSIVE t AS (SELECT r AS a, r AS b FROM doc UNION SELECT t.a, link.b FROM t JOIN link ON link.a = t.b) SELECT * FROM t)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM doc d JOIN reach ON reach.a = d.r JOIN doc o ON o.r = reach.b LEFT JOIN size ON size.r = d.r GROUP BY d.r, d.doc_id""",
     # every source with every kept term of its language, counts of zero included
     "op12_source_divergence": f"""WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),

@@ -1,0 +1,149 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from revlens.llm import ngram_join
+from tests.llm.edges import LONG, frame, rows as edge_rows
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, k=4):
+    for c in "\x09\x0a\x0b\x0c\x0d":
+        text = (text or "").replace(c, " ")
+    words = [w for w in text.translate(LOWER).split(" ") if w]
+    return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def linked(a, b):
+    both = len(a & b)
+    return bool(a) and bool(b) and 100 * both >= 85 * (len(a) + len(b) - both)
+
+
+def brute(data):
+    sets = [shingles(t) for _, t, *_ in data]
+    up = list(range(len(data)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            if data[i][0] is not None and data[j][0] is not None and linked(sets[i], sets[j]):
+                up[top(i)] = top(j)
+    least = {}
+    for i, (d, *_) in enumerate(data):
+        if d is not None:
+            least[top(i)] = min(d, least.get(top(i), d))
+    return sorted(((d, len(s), None if d is None else least[top(i)]) for i, ((d, *_), s) in enumerate(zip(data, sets, strict=True))), key=str)
+
+
+def result(df):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=str)
+
+
+def corpus(n=500, seed=2):
+    """Texts of common passages and own words in all proportions, with near copies: all three classes occur."""
+    rng = random.Random(seed)
+    own = [f"w{i}" for i in range(4000)]
+    passages = [[rng.choice(own) for _ in range(rng.randint(5, 40))] for _ in range(12)]
+    base = [rng.choice(own) for _ in range(120)]
+    data, texts = [], []
+    for i in range(n):
+        kind = i % 5
+        if kind == 0:
+            words = [w for _ in range(rng.randint(1, 5)) for w in rng.choice(passages)]
+        elif kind == 1:
+            words = list(base)
+        elif kind == 2 and texts:
+            words = list(rng.choice(texts))
+        else:
+            words = [rng.choice(own) for _ in range(rng.randint(0, 60))] + rng.choice(passages)
+        for _ in range(rng.randint(0, 4)):
+            if words:
+                words[rng.randrange(len(words))] = rng.choice(own)
+        texts.append(words)
+        data.append((i, " ".join(words), "en", "s", 0, "k", "s", "l", "f"))
+    return data
+
+
+def low(monkeypatch):
+    """Classes begin at a few occurrences, so that small tables have pairs and triples."""
+    monkeypatch.setattr(ngram_join, "LEAST_EXCESS", 3)
+    monkeypatch.setattr(ngram_join, "TRIPLE_LEVEL", 4)
+
+
+def test_components_equal_all_pairs(spark, monkeypatch):
+    low(monkeypatch)
+    data = corpus()
+    assert result(ngram_join.components(frame(spark, data).repartition(5))) == brute(data)
+
+
+def test_links_equal_all_pairs(spark, monkeypatch):
+    low(monkeypatch)
+    data = corpus(300, seed=9)
+    df = frame(spark, data)
+    node = {r["id"]: r["node"] for r in ngram_join.scan(df, 4, "doc_id", "text").filter("id IS NOT NULL").collect()}
+    sets = {node[d]: shingles(t) for d, t, *_ in data}
+    want = {(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b])}
+    got = [(r["a"], r["b"]) for r in ngram_join.links(df).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 50
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 9])
+def test_linked_sets_share_a_key_whatever_the_levels(most):
+    """Random sets at the very border of the limit, with random levels."""
+    rng = random.Random(most)
+    nrng = np.random.default_rng(most)
+    level = nrng.integers(0, most + 1, (2, ngram_join.WIDTH)).astype(np.uint8)
+    level = np.maximum(level[:1], level)  # both rows alike or higher
+    for _ in range(150):
+        n = rng.choice([1, 2, 5, 6, 7, 8, 13, 14, 20, 21, 40, 64, 75, 127, 128, 150, 300])
+        x = nrng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        lost, new = 0, 0
+        while 100 * (n - lost - 1) >= 85 * n and rng.random() < 0.9:
+            lost += 1
+        while 100 * (n - lost) >= 85 * (n + new + 1) and rng.random() < 0.9:
+            new += 1
+        y = np.concatenate([nrng.permutation(x)[: n - lost], nrng.integers(0, 1 << 63, new).astype(np.uint64) * np.uint64(2)])
+        s = object.__new__(ngram_join.Sets)
+        s.size = np.array([len(x), len(y)])
+        s.row, s.token = np.repeat([0, 1], s.size), np.concatenate([np.sort(x), np.sort(y)])
+        s.first = np.array([0, len(x), len(x) + len(y)])
+        text, key = ngram_join.keys(s, level)
+        assert set(key[text == 0].tolist()) & set(key[text == 1].tolist()), (n, lost, new)
+        m = s.maps().view(np.uint64)
+        assert sum(int(a ^ b).bit_count() for a, b in zip(m[0], m[1], strict=True)) <= lost + new
+
+
+def test_a_third_are_near_copies_and_a_third_copies(spark, monkeypatch):
+    low(monkeypatch)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(150)]
+    data = []
+    for i in range(600):
+        words = list(base) if i % 3 == 0 else [f"c{j}" for j in range(80)] if i % 3 == 1 else [f"r{rng.randrange(10 ** 6)}" for _ in range(50)]
+        for _ in range(rng.randint(0, 7) if i % 3 == 0 else 0):
+            words[rng.randrange(150)] = f"x{rng.randrange(10 ** 6)}"
+        data.append((i, " ".join(words), "en", "hot", 0, "k", "s", "l", "f"))
+    assert result(ngram_join.components(frame(spark, data).repartition(6))) == brute(data)
+
+
+def test_awkward_rows(spark):
+    data = edge_rows() + [(20, "a b c d"), (21, "A  B\tc\nd"), (22, "a b c"), (23, "a b c"), (24, "a b c d e"), (25, "\x00 \x1f é"), (25, "other text of the same id here"), (26, "x" * 3_000_000)]
+    data = [(r + (None,) * 7)[:9] for r in data]
+    assert result(ngram_join.components(frame(spark, data))) == brute(data)
+    assert result(ngram_join.components(frame(spark, []))) == []
+
+
+def test_long_text_in_blocks_is_the_whole_text(monkeypatch):
+    texts = pa.array([LONG, "a  b c", "", None, LONG + " end", "q"])
+    whole = ngram_join.Sets(texts, 4)
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 1000)
+    parts = ngram_join.Sets(texts, 4)
+    assert (whole.token == parts.token).all() and (whole.row == parts.row).all() and whole.size.tolist() == [len(shingles(t)) for t in texts.to_pylist()]
+    assert len(set(whole.nodes()[[0, 1, 4, 5]].tolist())) == 4 and whole.nodes()[2] == 0
