@@ -24,11 +24,14 @@ union.  Linked sets miss at most e = n - ceil(85 n / 100) tokens of each other.
 4. Candidates share a key, are near enough in size, and differ in few enough
    bits of a 256-bit parity map (each token flips one bit, so the maps differ
    in at most as many bits as the sets in tokens).  They are verified on the
-   whole sets, which a third pass makes for the nodes that need them.
-5. ``components`` needs no pair within a group that is linked already: in
-   ``STAR_ROUNDS`` rounds each node is compared with its likeliest pivot (one
-   node a key) of another component; then all candidates of different
-   components that are left are compared.  ``links`` compares all candidates.
+   whole sets, which a further pass makes for the nodes of candidates alone.
+5. ``components`` needs no pair within a group that is linked already.  In
+   ``STAR_ROUNDS`` rounds each node is compared with its likeliest pivot of
+   another component (``PIVOTS`` nodes a key are pivots).  Then all candidates
+   of different components that are left are listed; in ``BEST_ROUNDS`` rounds
+   each node's likeliest is verified and pairs that have come to lie in one
+   component are struck off; the rest is verified.  ``links`` verifies all
+   candidates.
 
 Hashes decide equality of shingles (64 bits) and sets (64 bits over all tokens
 and their number).
@@ -66,7 +69,8 @@ LEAST_EXCESS = 16
 PAIR_LEVEL, TRIPLE_LEVEL = 1, 6
 #: Parity map: 64-bit words.
 MAP_WORDS = 4
-STAR_ROUNDS = 3
+#: Rounds of ``components``, and pivots of a key.
+STAR_ROUNDS, BEST_ROUNDS, PIVOTS = 2, 1, 8
 #: Nodes that a task remembers, so as not to send one twice.
 SEEN = 1 << 20
 
@@ -324,29 +328,38 @@ def shared_postings(docs: DataFrame, scanned: DataFrame, shingle: int, id_col: s
     return written(rows.join(shared, "key", "left_semi"), "shared-postings")
 
 
-def whole_sets(docs: DataFrame, postings: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, tokens), written: the sets of the nodes that have postings (and of some others, by the filter's errors)."""
-    wanted = written(postings.select("node").distinct(), "candidate-nodes")
-    bloom = docs.sparkSession.sparkContext.broadcast(Bloom(wanted.select(F.col("node").alias("key")), wanted.count()))
+def whole_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, tokens), written: the sets of the nodes in ``pairs`` (a, b).  ``nodes``: a document (rep) of each node.
 
-    def make(sets: Sets, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        some = np.flatnonzero(bloom.value.has(nodes))
-        if len(some):
-            s = sets.only(some)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[some].view(np.int64)),
-                                              "tokens": pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.token.view(np.int64)))})
+    A Bloom filter of the documents, of bounded size, decides whose text is
+    hashed; what it lets through besides is not asked for by any pair.
+    """
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.xxhash64("rep").alias("key")), "candidate-documents")
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom(wanted, wanted.count()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = np.flatnonzero(bloom.value.has(batch.column("at").to_numpy().view(np.uint64)))
+            for part in chunks(batch.select(["text"]).take(pa.array(asked)), "text"):
+                s = Sets(part.column("text"), shingle)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(s.nodes().view(np.int64)),
+                                                  "tokens": pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.token.view(np.int64)))})
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("bigint")).alias("at"))
+    return written(rows.mapInArrow(run, "node bigint, tokens array<bigint>").dropDuplicates(["node"]), "whole-sets")
 
-    rows = _passed(docs, shingle, id_col, text_col, "node bigint, tokens array<bigint>", make)
-    return written(rows.dropDuplicates(["node"]), "whole-sets")
+
+def apart(a: str, b: str) -> Column:
+    """Bits in which the parity maps of two postings differ."""
+    bits = [F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))) for i in range(MAP_WORDS)]
+    return sum(bits[1:], bits[0])
 
 
 def near_enough(a: str, b: str) -> Column:
     """Sizes and parity maps of two postings leave a link possible."""
     n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
-    apart = sum((F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))) for i in range(1, MAP_WORDS)),
-                F.bit_count(F.col(f"{a}.m0").bitwiseXOR(F.col(f"{b}.m0"))))
     shared = F.floor(((n + m) * SHARE + (99 + SHARE)) / (100 + SHARE))  # tokens that a linked pair shares, at least
-    return (100 * F.least(n, m) >= SHARE * F.greatest(n, m)) & (apart <= n + m - 2 * shared)
+    return (100 * F.least(n, m) >= SHARE * F.greatest(n, m)) & (apart(a, b) <= n + m - 2 * shared)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -356,76 +369,104 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(100 * both >= SHARE * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def set_nodes(scanned: DataFrame) -> DataFrame:
+    """(node, rep), written: the smallest id of each node."""
+    return written(scanned.filter("block IS NULL AND id IS NOT NULL AND size > 0").groupBy("node").agg(F.min("id").alias("rep")), "set-nodes")
+
+
 def links(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): every two different sets that link, as nodes, a < b.  ``scan`` has the nodes of the documents."""
     scanned = scan(docs, shingle, id_col, text_col)
     p = shared_postings(docs, scanned, shingle, id_col, text_col)
     pairs = p.alias("l").join(p.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & near_enough("l", "r"))
-    return verified(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), whole_sets(docs, p, shingle, id_col, text_col))
+    pairs = written(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "candidates")
+    return verified(pairs, whole_sets(docs, set_nodes(scanned), pairs, shingle, id_col, text_col))
 
 
 # --- components -------------------------------------------------------------
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``postings`` with the component of each node, of keys with more than one component, written."""
+def _open(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``postings`` of keys with more than one component, with the component (``label``) of each node, written."""
     if labels is None:
-        return written(postings.withColumn("label", F.col("node")), "labelled-postings")
+        return postings.withColumn("label", F.col("node"))
     own = labels.select("node", F.col("label").alias("__label"))
     rows = written(postings.drop("label").join(own, "node", "left").withColumn("label", F.coalesce("__label", "node")).drop("__label"), "labelled-postings")
-    mixed_keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return written(rows.join(mixed_keys, "key", "left_semi"), "open-postings")
+    several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return written(rows.join(several, "key", "left_semi"), "open-postings")
+
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, bits) the pair with the fewest bits of each a."""
+    return pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
 
-def _stars(open_postings: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each node with its likeliest pivot of another component; one node a key, by hash, is the pivot."""
-    fields = [c for c in open_postings.columns if c != "key"]
-    pivots = open_postings.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("at"), *fields)).alias("v"))
+
+def _stars(postings: DataFrame, seed: int) -> DataFrame:
+    """(a, b), written: each node with its likeliest pivot of another component; of each key the first nodes by hash are pivots."""
+    fields = [c for c in postings.columns if c != "key"]
+    at = F.xxhash64("node", F.lit(seed))
+    pivots = postings.withColumn("at", at).groupBy("key", F.pmod("at", F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("at", *fields)).alias("v"))
     pivots = written(pivots.select("key", "v.*").drop("at"), "pivots")
-    near = open_postings.alias("l").join(pivots.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & near_enough("l", "r"))
-    apart = sum((F.bit_count(F.col(f"l.m{i}").bitwiseXOR(F.col(f"r.m{i}"))) for i in range(MAP_WORDS)), F.lit(0))
-    best = near.select(F.col("l.node").alias("a"), F.struct(apart.alias("apart"), F.col("r.node").alias("b")).alias("v")).groupBy("a").agg(F.min("v").alias("v"))
-    return best.select("a", F.col("v.b").alias("b"))
+    near = postings.alias("l").join(pivots.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & near_enough("l", "r"))
+    return written(_best(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), apart("l", "r").alias("bits"))), "star-pairs")
 
 
-def _rest(open_postings: DataFrame) -> DataFrame:
-    """(a, b): all candidates of different components.
+def _rest(postings: DataFrame) -> DataFrame:
+    """(a, b, bits), written: all candidates of different components.
 
     Of each key's postings those of its smallest component are on one side only,
     so the pairs within that component, however many, are not looked at.
     """
-    main = written(open_postings.groupBy("key").agg(F.min("label").alias("main")), "main-components")
-    others = open_postings.join(main, "key").filter("label > main").drop("main")
-    pairs = others.alias("l").join(open_postings.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("r.label") < F.col("l.label")) & near_enough("l", "r"))
-    return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    main = written(postings.groupBy("key").agg(F.min("label").alias("main")), "main-components")
+    others = postings.join(main, "key").filter("label > main").drop("main")
+    pairs = others.alias("l").join(postings.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("r.label") < F.col("l.label")) & near_enough("l", "r"))
+    return written(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), apart("l", "r").alias("bits")).distinct(), "candidates")
+
+
+class _Links:
+    """Verified links so far and the components that they make."""
+
+    def __init__(self, spark):
+        self.spark, self.edges, self.labels = spark, None, None
+
+    def add(self, pairs: DataFrame, sets: DataFrame) -> None:
+        new = written(verified(pairs, sets), "links")
+        if not new.isEmpty():
+            self.edges = new if self.edges is None else written(self.edges.unionByName(new), "links")
+            self.labels = label_components(self.spark, self.edges)
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that do not lie in one component."""
+        if self.labels is None:
+            return pairs
+        la, lb = self.labels.toDF("a", "la"), self.labels.toDF("b", "lb")
+        return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links)."""
-    spark = docs.sparkSession
     scanned = scan(docs, shingle, id_col, text_col)
-    rows = scanned.filter("block IS NULL").select("id", "node", "size")
+    nodes = set_nodes(scanned)
     postings = shared_postings(docs, scanned, shingle, id_col, text_col)
-    sets = whole_sets(docs, postings, shingle, id_col, text_col)
+    sets_of = lambda pairs: whole_sets(docs, nodes, pairs, shingle, id_col, text_col)
+
+    found, left = _Links(docs.sparkSession), _open(postings, None)
+    for k in range(STAR_ROUNDS):
+        pairs = _stars(left, k)
+        found.add(pairs, sets_of(pairs))
+        left = _open(left, found.labels)
+    pairs = _rest(left)
+    sets = sets_of(pairs)
+    for _ in range(BEST_ROUNDS):
+        best = written(_best(pairs), "best-pairs")
+        found.add(best, sets)
+        pairs = written(found.apart(pairs.join(best, ["a", "b"], "left_anti")), "candidates")
+    found.add(pairs.select("a", "b"), sets)
 
-    edges, labels, left = None, None, _labelled(postings, None)
-    for k in range(STAR_ROUNDS + 1):
-        pairs = _stars(left, k) if k < STAR_ROUNDS else _rest(left)
-        new = written(verified(pairs, sets), "links")
-        if new.isEmpty():
-            if k < STAR_ROUNDS:
-                continue
-            break
-        edges = new if edges is None else written(edges.unionByName(new), "links")
-        labels = label_components(spark, edges)
-        if k < STAR_ROUNDS:
-            left = _labelled(left, labels)
-
-    nodes = written(rows.filter("id IS NOT NULL AND size > 0").groupBy("node").agg(F.min("id").alias("rep")), "set-nodes")
     by_node = nodes.select("node", F.col("rep").alias("component_id"))
-    if labels is not None:
-        linked = nodes.join(labels, "node")
+    if found.labels is not None:
+        linked = nodes.join(found.labels, "node")
         least = written(linked.groupBy("label").agg(F.min("rep").alias("least")), "component-ids")  # of known size: a hot label is not dealt out
-        by_node = nodes.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    found = rows.join(by_node, "node", "left")
+        by_node = nodes.join(found.labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    rows = scanned.filter("block IS NULL").select("id", "node", "size").join(by_node, "node", "left")
     own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    return rows.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
