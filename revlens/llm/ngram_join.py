@@ -18,13 +18,15 @@ union.  Linked sets miss at most e = n - ceil(85 n / 100) tokens of each other.
    size, by powers of two; a set within reach of smaller partners is also
    indexed by their number.  There are so few subclasses that every set reaches
    e + 1 with its own tokens.
-3. Keys are counted; a second pass sends on the postings of repeated keys alone.
-   (A Bloom filter of these keys, of bounded size, keeps others out; what it
-   lets through is removed exactly.)
+3. Keys are counted, with the least and largest set size, and those of one set,
+   or of two whose sizes lie too far apart, are left out; a second pass makes
+   the postings of the other keys.  (A Bloom filter of these keys, of bounded
+   size, keeps others out; what it lets through is removed exactly.)
 4. Candidates share a key, are near enough in size, and differ in few enough
-   bits of a 256-bit parity map (each token flips one bit, so the maps differ
-   in at most as many bits as the sets in tokens).  They are verified on the
-   whole sets, which a further pass makes for the nodes of candidates alone.
+   bits of their parity maps (each token flips one of at least n / 2 bits, so
+   maps differ in at most as many bits as the sets in tokens; the longer map is
+   folded).  They are verified on the whole sets, which a further pass makes
+   for the nodes of candidates alone.
 5. ``components`` needs no pair within a group that is linked already.  In
    ``STAR_ROUNDS`` rounds each node is compared with its likeliest pivot of
    another component (``PIVOTS`` nodes a key are pivots).  Then all candidates
@@ -67,10 +69,10 @@ WIDTH, SKETCH_BLOCK = 1 << 20, 1 << 15
 LEAST_EXCESS = 16
 #: The first level that is indexed by pairs, and by triples.
 PAIR_LEVEL, TRIPLE_LEVEL = 1, 6
-#: Parity map: 64-bit words.
-MAP_WORDS = 4
+#: 64-bit words of the folded parity maps that are compared inside a join.
+FOLDED = 4
 #: Rounds of ``components``, and pivots of a key.
-STAR_ROUNDS, BEST_ROUNDS, PIVOTS = 2, 1, 8
+STAR_ROUNDS, BEST_ROUNDS, PIVOTS = 2, 1, 2
 #: Nodes that a task remembers, so as not to send one twice.
 SEEN = 1 << 20
 
@@ -141,12 +143,19 @@ class Sets:
         total = sums[self.first[1:]] - sums[self.first[:-1]]
         return np.where(self.size > 0, mixed(total + self.size.astype(np.uint64)), np.uint64(0))
 
-    def maps(self) -> np.ndarray:
-        """(text, word): the parity map of each set."""
-        bits = 64 * MAP_WORDS
-        at = self.row * bits + (self.token >> np.uint64(40)).astype(np.int64) % bits
-        odd = np.bincount(at, minlength=len(self.size) * bits).reshape(-1, bits) & 1
-        return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+    def maps(self) -> list[np.ndarray]:
+        """The parity map of each set, in 64-bit words: a power of two of them, at least ``FOLDED``, with n / 2 bits or more."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(self.size)
+        words = np.maximum(FOLDED, 1 << np.ceil(np.log2(np.maximum(self.size, 1) / 128)).clip(0).astype(np.int64))
+        for w in np.unique(words):
+            texts = np.flatnonzero(words == w)
+            for i in range(0, len(texts), max(1, (1 << 20) // int(w))):
+                own = self.only(texts[i: i + max(1, (1 << 20) // int(w))])
+                at = own.row * (64 * int(w)) + (own.token >> np.uint64(20)).astype(np.int64) % (64 * int(w))
+                odd = np.bincount(at, minlength=len(own.size) * 64 * int(w)).reshape(-1, 64 * int(w)) & 1
+                for t, m in zip(texts[i:].tolist(), np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8"), strict=False):
+                    out[t] = m
+        return out
 
     def only(self, texts: np.ndarray) -> Sets:
         """The sets of some texts (ascending numbers), numbered anew."""
@@ -266,7 +275,7 @@ def _scheme_keys(sets: Sets, level: np.ndarray, b: int, texts: np.ndarray) -> tu
     prefix = before <= losses(s.size)[row]
 
     alone = prefix & (k == 1)
-    texts_out, keys_out = [row[alone]], [mixed(token[alone] ^ HASH_BASE)]
+    texts_out, keys_out = [row[alone]], [mixed(token[alone] + np.uint64(b * int(HASH_BASE) % (1 << 64)))]
     for size in (2, 3):
         members = np.flatnonzero(prefix & (k == size))
         members = members[np.argsort(group[members], kind="stable")]
@@ -299,33 +308,36 @@ def _passed(docs: DataFrame, shingle: int, id_col: str, text_col: str, shape: st
     return docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, shape)
 
 
-def shared_postings(docs: DataFrame, scanned: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, node, size, m0..m3), written: every posting of a key that two nodes or more have."""
+def shared_postings(docs: DataFrame, scanned: DataFrame, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((key, node, size) of keys that sets of near enough sizes share, (node, map)), both written."""
     spark = docs.sparkSession
     level = spark.sparkContext.broadcast(levels(scanned))
 
-    def only_keys(sets: Sets, _nodes) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys(sets, level.value)[1].view(np.int64))})
+    def sized_keys(sets: Sets, _nodes) -> Iterator[pa.RecordBatch]:
+        text, key = keys(sets, level.value)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "size": pa.array(sets.size[text])})
 
-    counted = _passed(docs, shingle, id_col, text_col, "key bigint", only_keys).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    repeated = written(counted.filter("n > 1").select("key"), "repeated-prefix-keys")
+    counted = _passed(docs, shingle, id_col, text_col, "key bigint, size bigint", sized_keys).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    repeated = written(counted.filter((F.col("n") > 2) | ((F.col("n") == 2) & (100 * F.col("least") >= SHARE * F.col("most")))).select("key"), "repeated-prefix-keys")
     bloom = spark.sparkContext.broadcast(Bloom(repeated, repeated.count()))
-    names = [f"m{i}" for i in range(MAP_WORDS)]
 
     def postings(sets: Sets, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
         text, key = keys(sets, level.value)
         some = bloom.value.has(key)
         text, key = text[some], key[some]
-        if len(text):
-            maps = sets.maps()[text]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "node": pa.array(nodes[text].view(np.int64)), "size": pa.array(sets.size[text]),
-                                              **{m: pa.array(np.ascontiguousarray(maps[:, i])) for i, m in enumerate(names)}})
+        own = np.unique(text)
+        if len(own):
+            ends = np.append(np.searchsorted(text, own), len(text)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({
+                "node": pa.array(nodes[own].view(np.int64)), "size": pa.array(sets.size[own]), "map": pa.array(sets.only(own).maps(), pa.list_(pa.int64())),
+                "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))})
 
-    shape = "key bigint, node bigint, size bigint, " + ", ".join(f"{m} bigint" for m in names)
-    rows = _passed(docs, shingle, id_col, text_col, shape, postings)
-    rows = written(rows.groupBy("key", "node").agg(*[F.max(c).alias(c) for c in ("size", *names)]), "postings")
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    return written(rows.join(shared, "key", "left_semi"), "shared-postings")
+    rows = written(_passed(docs, shingle, id_col, text_col, "node bigint, size bigint, map array<bigint>, keys array<bigint>", postings), "keyed-sets")
+    flat = rows.select(F.explode("keys").alias("key"), "node", "size").groupBy("key", "node").agg(F.max("size").alias("size"))
+    flat = written(flat, "postings")
+    shared = flat.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    return written(flat.join(shared, "key", "left_semi"), "shared-postings"), written(rows.select("node", "map").dropDuplicates(["node"]), "parity-maps")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -349,17 +361,30 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int
     return written(rows.mapInArrow(run, "node bigint, tokens array<bigint>").dropDuplicates(["node"]), "whole-sets")
 
 
-def apart(a: str, b: str) -> Column:
-    """Bits in which the parity maps of two postings differ."""
-    bits = [F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))) for i in range(MAP_WORDS)]
-    return sum(bits[1:], bits[0])
+def allowed(n: Column, m: Column) -> Column:
+    """Tokens in which linked sets of n and m tokens differ at most; negative if the sizes are too far apart."""
+    shared = F.floor(((n + m) * SHARE + (99 + SHARE)) / (100 + SHARE))
+    return F.when(100 * F.least(n, m) >= SHARE * F.greatest(n, m), n + m - 2 * shared).otherwise(-1)
+
+
+def folded(parity: Column, words: Column) -> Column:
+    """A parity map of ``words`` 64-bit words from a longer one (powers of two)."""
+    at = lambda i: F.transform(F.sequence(i, F.size(parity) - 1, words), lambda j: F.get(parity, j))
+    merge = lambda i: F.aggregate(at(i), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(parity) == words, parity).otherwise(F.transform(F.sequence(F.lit(0), words - 1), merge))
+
+
+def apart(x: Column, y: Column) -> Column:
+    """Bits in which two parity maps differ."""
+    words = F.least(F.size(x), F.size(y))
+    bits = F.zip_with(folded(x, words), folded(y, words), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda p, q: p + q)
 
 
-def near_enough(a: str, b: str) -> Column:
-    """Sizes and parity maps of two postings leave a link possible."""
-    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
-    shared = F.floor(((n + m) * SHARE + (99 + SHARE)) / (100 + SHARE))  # tokens that a linked pair shares, at least
-    return (100 * F.least(n, m) >= SHARE * F.greatest(n, m)) & (apart(a, b) <= n + m - 2 * shared)
+def candidates(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """(a, b, bits) of the pairs (a, b, most) whose parity maps differ in ``most`` bits at most."""
+    x, y = maps.toDF("a", "x"), maps.toDF("b", "y")
+    return pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "most", apart(F.col("x"), F.col("y")).alias("bits")).filter("bits <= most").drop("most")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -377,22 +402,21 @@ def set_nodes(scanned: DataFrame) -> DataFrame:
 def links(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): every two different sets that link, as nodes, a < b.  ``scan`` has the nodes of the documents."""
     scanned = scan(docs, shingle, id_col, text_col)
-    p = shared_postings(docs, scanned, shingle, id_col, text_col)
-    pairs = p.alias("l").join(p.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & near_enough("l", "r"))
-    pairs = written(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "candidates")
-    return verified(pairs, whole_sets(docs, set_nodes(scanned), pairs, shingle, id_col, text_col))
+    p, maps = shared_postings(docs, scanned, shingle, id_col, text_col)
+    most = allowed(F.col("l.size"), F.col("r.size"))
+    pairs = p.alias("l").join(p.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (most >= 0))
+    pairs = written(candidates(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), most.alias("most")), maps), "candidates")
+    return verified(pairs.select("a", "b"), whole_sets(docs, set_nodes(scanned), pairs, shingle, id_col, text_col))
 
 
 # --- components -------------------------------------------------------------
 
-def _open(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``postings`` of keys with more than one component, with the component (``label``) of each node, written."""
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``postings`` (key, node, size) with the component (``label``) of each node, written."""
     if labels is None:
-        return postings.withColumn("label", F.col("node"))
+        return written(postings.withColumn("label", F.col("node")), "labelled-postings")
     own = labels.select("node", F.col("label").alias("__label"))
-    rows = written(postings.drop("label").join(own, "node", "left").withColumn("label", F.coalesce("__label", "node")).drop("__label"), "labelled-postings")
-    several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return written(rows.join(several, "key", "left_semi"), "open-postings")
+    return written(postings.join(own, "node", "left").select("key", "node", "size", F.coalesce("__label", "node").alias("label")), "labelled-postings")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -400,26 +424,30 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
 
 
-def _stars(postings: DataFrame, seed: int) -> DataFrame:
+def _stars(postings: DataFrame, maps: DataFrame, seed: int) -> DataFrame:
     """(a, b), written: each node with its likeliest pivot of another component; of each key the first nodes by hash are pivots."""
-    fields = [c for c in postings.columns if c != "key"]
     at = F.xxhash64("node", F.lit(seed))
-    pivots = postings.withColumn("at", at).groupBy("key", F.pmod("at", F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("at", *fields)).alias("v"))
-    pivots = written(pivots.select("key", "v.*").drop("at"), "pivots")
-    near = postings.alias("l").join(pivots.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & near_enough("l", "r"))
-    return written(_best(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), apart("l", "r").alias("bits"))), "star-pairs")
+    pivots = postings.withColumn("at", at).groupBy("key", F.pmod("at", F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("at", "node", "size", "label")).alias("v"))
+    pivots = written(pivots.select("key", "v.node", "v.size", "v.label"), "pivots")
+    most = allowed(F.col("l.size"), F.col("r.size"))
+    near = postings.alias("l").join(pivots.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & (most >= 0))
+    return written(_best(candidates(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), most.alias("most")), maps)), "star-pairs")
 
 
-def _rest(postings: DataFrame) -> DataFrame:
+def _rest(postings: DataFrame, maps: DataFrame) -> DataFrame:
     """(a, b, bits), written: all candidates of different components.
 
     Of each key's postings those of its smallest component are on one side only,
-    so the pairs within that component, however many, are not looked at.
+    so the pairs within that component, however many, are not looked at.  Folded
+    maps are compared inside the join, whole ones after it.
     """
-    main = written(postings.groupBy("key").agg(F.min("label").alias("main")), "main-components")
-    others = postings.join(main, "key").filter("label > main").drop("main")
-    pairs = others.alias("l").join(postings.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("r.label") < F.col("l.label")) & near_enough("l", "r"))
-    return written(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), apart("l", "r").alias("bits")).distinct(), "candidates")
+    main = written(postings.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("top")).filter("main < top").drop("top"), "main-components")
+    words = maps.select("node", *[folded(F.col("map"), F.lit(FOLDED))[i].alias(f"m{i}") for i in range(FOLDED)])
+    held = written(postings.join(main, "key").join(words, "node"), "open-postings")
+    most = allowed(F.col("l.size"), F.col("r.size"))
+    bits = [F.bit_count(F.col(f"l.m{i}").bitwiseXOR(F.col(f"r.m{i}"))) for i in range(FOLDED)]
+    pairs = held.filter("label > main").alias("l").join(held.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("r.label") < F.col("l.label")) & (sum(bits[1:], bits[0]) <= most))
+    return written(candidates(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), most.alias("most")), maps), "candidates")
 
 
 class _Links:
@@ -446,15 +474,15 @@ def components(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links)."""
     scanned = scan(docs, shingle, id_col, text_col)
     nodes = set_nodes(scanned)
-    postings = shared_postings(docs, scanned, shingle, id_col, text_col)
+    postings, maps = shared_postings(docs, scanned, shingle, id_col, text_col)
     sets_of = lambda pairs: whole_sets(docs, nodes, pairs, shingle, id_col, text_col)
 
-    found, left = _Links(docs.sparkSession), _open(postings, None)
+    found, left = _Links(docs.sparkSession), _labelled(postings, None)
     for k in range(STAR_ROUNDS):
-        pairs = _stars(left, k)
+        pairs = _stars(left, maps, k)
         found.add(pairs, sets_of(pairs))
-        left = _open(left, found.labels)
-    pairs = _rest(left)
+        left = _labelled(postings, found.labels)
+    pairs = _rest(left, maps)
     sets = sets_of(pairs)
     for _ in range(BEST_ROUNDS):
         best = written(_best(pairs), "best-pairs")
