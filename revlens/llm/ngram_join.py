@@ -29,7 +29,7 @@ union.  Linked sets miss at most e = n - ceil(85 n / 100) tokens of each other.
    for the nodes of candidates alone.
 5. ``components`` needs no pair within a group that is linked already.  In
    ``STAR_ROUNDS`` rounds each node is compared with its likeliest pivot of
-   another component (``PIVOTS`` nodes a key are pivots).  Then all candidates
+   another component (some nodes of each key are pivots: ``PIVOTS``, by round).  Then all candidates
    of different components that are left are listed; in ``BEST_ROUNDS`` rounds
    each node's likeliest is verified and pairs that have come to lie in one
    component are struck off; the rest is verified.  ``links`` verifies all
@@ -72,7 +72,7 @@ PAIR_LEVEL, TRIPLE_LEVEL = 1, 6
 #: 64-bit words of the folded parity maps that are compared inside a join.
 FOLDED = 4
 #: Rounds of ``components``, and pivots of a key.
-STAR_ROUNDS, BEST_ROUNDS, PIVOTS = 2, 1, 2
+STAR_ROUNDS, BEST_ROUNDS, PIVOTS = 3, 1, (2, 16, 16)
 #: Nodes that a task remembers, so as not to send one twice.
 SEEN = 1 << 20
 
@@ -414,7 +414,7 @@ def links(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_id",
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``postings`` (key, node, size) with the component (``label``) of each node, written."""
     if labels is None:
-        return written(postings.withColumn("label", F.col("node")), "labelled-postings")
+        return postings.withColumn("label", F.col("node"))
     own = labels.select("node", F.col("label").alias("__label"))
     return written(postings.join(own, "node", "left").select("key", "node", "size", F.coalesce("__label", "node").alias("label")), "labelled-postings")
 
@@ -424,30 +424,37 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
 
 
-def _stars(postings: DataFrame, maps: DataFrame, seed: int) -> DataFrame:
-    """(a, b), written: each node with its likeliest pivot of another component; of each key the first nodes by hash are pivots."""
-    at = F.xxhash64("node", F.lit(seed))
-    pivots = postings.withColumn("at", at).groupBy("key", F.pmod("at", F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("at", "node", "size", "label")).alias("v"))
-    pivots = written(pivots.select("key", "v.node", "v.size", "v.label"), "pivots")
+def _held(postings: DataFrame, maps: DataFrame) -> DataFrame:
+    """The postings of keys with several components, with the smallest of these (``main``) and folded maps, written."""
+    main = written(postings.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("top")).filter("main < top").drop("top"), "main-components")
+    words = maps.select("node", *[folded(F.col("map"), F.lit(FOLDED))[i].alias(f"m{i}") for i in range(FOLDED)])
+    return written(postings.join(main, "key").join(words, "node"), "open-postings")
+
+
+def _near(left: DataFrame, right: DataFrame, different) -> DataFrame:
+    """(a, b, most) of the postings of one key whose components are ``different`` and whose sizes and folded maps allow a link."""
     most = allowed(F.col("l.size"), F.col("r.size"))
-    near = postings.alias("l").join(pivots.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & (most >= 0))
-    return written(_best(candidates(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), most.alias("most")), maps)), "star-pairs")
+    bits = [F.bit_count(F.col(f"l.m{i}").bitwiseXOR(F.col(f"r.m{i}"))) for i in range(FOLDED)]
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & different(F.col("l.label"), F.col("r.label")) & (sum(bits[1:], bits[0]) <= most))
+    return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), most.alias("most"))
 
 
-def _rest(postings: DataFrame, maps: DataFrame) -> DataFrame:
+def _stars(held: DataFrame, maps: DataFrame, seed: int) -> DataFrame:
+    """(a, b), written: nodes outside a key's main component, each with its likeliest pivot of another one; the first nodes of a key by hash are pivots."""
+    fields = ["node", "size", "label", *[f"m{i}" for i in range(FOLDED)]]
+    at = F.xxhash64("node", F.lit(seed))
+    pivots = held.withColumn("at", at).groupBy("key", F.pmod("at", F.lit(PIVOTS[seed])).alias("part")).agg(F.min(F.struct("at", *fields)).alias("v"))
+    pivots = written(pivots.select("key", *[f"v.{c}" for c in fields]), "pivots")
+    return written(_best(candidates(_near(held.filter("label > main"), pivots, lambda l, r: l != r), maps)), "star-pairs")
+
+
+def _rest(held: DataFrame, maps: DataFrame) -> DataFrame:
     """(a, b, bits), written: all candidates of different components.
 
-    Of each key's postings those of its smallest component are on one side only,
-    so the pairs within that component, however many, are not looked at.  Folded
-    maps are compared inside the join, whole ones after it.
+    Of each key's postings those of its main component are on one side only, so
+    the pairs within that component, however many, are not looked at.
     """
-    main = written(postings.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("top")).filter("main < top").drop("top"), "main-components")
-    words = maps.select("node", *[folded(F.col("map"), F.lit(FOLDED))[i].alias(f"m{i}") for i in range(FOLDED)])
-    held = written(postings.join(main, "key").join(words, "node"), "open-postings")
-    most = allowed(F.col("l.size"), F.col("r.size"))
-    bits = [F.bit_count(F.col(f"l.m{i}").bitwiseXOR(F.col(f"r.m{i}"))) for i in range(FOLDED)]
-    pairs = held.filter("label > main").alias("l").join(held.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("r.label") < F.col("l.label")) & (sum(bits[1:], bits[0]) <= most))
-    return written(candidates(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), most.alias("most")), maps), "candidates")
+    return written(candidates(_near(held.filter("label > main"), held, lambda l, r: r < l), maps), "candidates")
 
 
 class _Links:
@@ -477,12 +484,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc
     postings, maps = shared_postings(docs, scanned, shingle, id_col, text_col)
     sets_of = lambda pairs: whole_sets(docs, nodes, pairs, shingle, id_col, text_col)
 
-    found, left = _Links(docs.sparkSession), _labelled(postings, None)
+    found = _Links(docs.sparkSession)
     for k in range(STAR_ROUNDS):
-        pairs = _stars(left, maps, k)
+        pairs = _stars(_held(_labelled(postings, found.labels), maps), maps, k)
         found.add(pairs, sets_of(pairs))
-        left = _labelled(postings, found.labels)
-    pairs = _rest(left, maps)
+    pairs = _rest(_held(_labelled(postings, found.labels), maps), maps)
     sets = sets_of(pairs)
     for _ in range(BEST_ROUNDS):
         best = written(_best(pairs), "best-pairs")
