@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,9 @@ from revlens.sources.schemas import dictionary_rows
 # Fixed value from the contact cleaning script: a valid email is x@y.com.
 VALID_EMAIL_PATTERN = "%@%.com"
 
+# Raw tables whose pipeline de-duplicates.
+STAGING_SHUFFLES = {"crm_contacts", "leads"}
+
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs more than once (``key IN (... HAVING COUNT(*) > 1)``).
@@ -105,12 +108,60 @@ def table_rejects(tables: Mapping[str, tuple[DataFrame, Mapping[str, Column]]])
     return _union([rejects(raw, exprs).select(F.lit(t).alias("table"), "column", "rejected") for t, (raw, exprs) in tables.items()])
 
 
-def profile(df: DataFrame, table: str, keys: Sequence[str] = (), estimate_distinct: bool = False) -> DataFrame:
+def observed_rejects(stage, raw: DataFrame, converted: Mapping[str, Column], name: str) -> tuple[DataFrame, dict[str, int]]:
+    """Stage a raw table, written, and count its rejects in the same scan.
+
+    ``stage`` is the table's pipeline.  The counts are metrics of the job that
+    writes (``DataFrame.observe``): column -> values that its conversion turned
+    to NULL.  Spark counts the metrics of a task that is run again before a
+    shuffle twice, so the observed job has none: a pipeline with a shuffle
+    (de-duplication) reads the raw rows from the observed job's table.
+    """
+    seen = Observation(f"{name}-rejects")
+    rows = raw.observe(seen, *[F.count_if(F.col(f"`{c}`").isNotNull() & e.isNull()).alias(c) for c, e in converted.items()])
+    if STAGING_SHUFFLES.intersection([name]):
+        staged = written(stage(written(rows, f"{name}-raw")), f"{name}-staged")
+    else:
+        staged = written(stage(rows), f"{name}-staged")
+    return staged, {c: int(seen.get[c]) for c in converted}
+
+
+def distinct_counts(df: DataFrame, *cols: str) -> DataFrame:
+    """Exact COUNT(DISTINCT c) of every column at once: column, distinct_values.
+
+    COUNT(DISTINCT a), COUNT(DISTINCT b), ... would multiply every row by the
+    number of columns inside one aggregate and keep all their values in its
+    keys.  Here the columns are unpivoted to (column, value), values are made
+    distinct with a partial aggregate, and what is left is counted per column:
+    two shuffles, the second of one row a task and column.
+
+    Values are compared as text that is unique within a type: -0.0 and 0.0 are
+    one value, as in COUNT(DISTINCT); nested values go through JSON.
+    """
+    types = dict(df.dtypes)
+    cols = list(cols or df.columns)
+
+    def text(c: str) -> Column:
+        col, kind = F.col("`" + c.replace("`", "``") + "`"), types[c]
+        if kind in ("double", "float"):
+            col = F.when(col == 0, F.lit(0.0)).otherwise(col)
+        if kind == "binary":
+            return F.hex(col)
+        return F.to_json(F.struct(col)) if kind.startswith(("struct", "array", "map")) else col.cast("string")
+
+    long = df.select(F.stack(F.lit(len(cols)), *[x for i, c in enumerate(cols) for x in (F.lit(i), F.when(F.col("`" + c.replace("`", "``") + "`").isNotNull(), text(c)))]).alias("_i", "_v"))
+    counted = long.distinct().groupBy("_i").agg(F.count("_v").alias("distinct_values"))
+    return counted.select(F.element_at(F.array(*map(F.lit, cols)), F.col("_i") + 1).alias("column"), "distinct_values")
+
+
+def profile(df: DataFrame, table: str, keys: Sequence[str] = (), estimate_distinct: bool = False, exact_distinct: bool = False) -> DataFrame:
     """Column profile in one pass over the table.
 
     table, column, type, is_key, rows, nulls, min, max; with
     ``estimate_distinct`` also approx_distinct, a HyperLogLog estimate
-    (2% error), so the profile stays a single aggregation at any size.
+    (2% error), so the profile stays a single aggregation at any size; with
+    ``exact_distinct`` also distinct_values, from a second pass
+    (``distinct_counts``).
     """
     cols = df.columns
     named = [F.col("`" + c.replace("`", "``") + "`") for c in cols]
@@ -124,7 +175,10 @@ def profile(df: DataFrame, table: str, keys: Sequence[str] = (), estimate_distin
     cells = [x for i, c in enumerate(cols) for x in (
         F.lit(c), F.lit(types[c]), F.lit(c in keyset), F.col(f"_n{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}"), *([F.col(f"_d{i}")] if extra else []))]
     long = df.agg(*aggs).select("rows", F.stack(F.lit(len(cols)), *cells).alias("column", "type", "is_key", "nulls", "min", "max", *extra))
-    return long.select(F.lit(table).alias("table"), "column", "type", "is_key", "rows", "nulls", "min", "max", *extra)
+    out = long.select(F.lit(table).alias("table"), "column", "type", "is_key", "rows", "nulls", "min", "max", *extra)
+    if exact_distinct:
+        out = out.join(distinct_counts(df), "column", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)).cast("bigint"))
+    return out
 
 
 def data_dictionary(spark: SparkSession) -> DataFrame:
@@ -139,4 +193,4 @@ def data_dictionary(spark: SparkSession) -> DataFrame:
 def profile_with_dictionary(df: DataFrame, table: str, keys: Sequence[str] = ()) -> DataFrame:
     """Profile joined to the declared dictionary (declared vs actual type)."""
     d = data_dictionary(df.sparkSession).where(F.col("table") == table).drop("table")
-    return profile(df, table, keys).join(F.broadcast(d), "column", "left")
+    return profile(df, table, keys, exact_distinct=True).join(F.broadcast(d), "column", "left")

@@ -286,7 +286,7 @@ _ACCOUNT_TYPES = {"account_id": "string", "account_name": "string", "industry":
 
 def _profile() -> str:
     parts = [f"""SELECT 'accounts_stg' AS "table", '{c}' AS "column", '{t}' AS type, {str(c == 'account_id').lower()} AS is_key, count(*) AS rows,
-        count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, '{t}' AS declared_type,
+        count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, count(DISTINCT {c}) AS distinct_values, '{t}' AS declared_type,
         {str(c == 'account_id').lower()} AS declared_key FROM account""" for c, t in _ACCOUNT_TYPES.items()]
     return sql("account", " UNION ALL ".join(parts))
 
@@ -387,5 +387,16 @@ def oracle_sql() -> dict[str, str]:
     o["convert_rejects"] = sql("twice", " UNION ALL ".join(
         f"""SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS rejected {rows}""" for t, c, rows in _REJECTS))
     o["profile_table"] = _profile()
+    o["staged_rejects"], o["stored_leads"] = o["convert_rejects"], o["stage_leads"]
+    o["stored_won_sales"], o["stored_lead_funnel"] = o["won_sales"], o["lead_funnel"]
+    o["touch_index"] = sql("touch", """SELECT contact_id, row_number() OVER (PARTITION BY contact_id ORDER BY ts, touch_type NULLS FIRST, touch_id) AS touch_no,
+        CAST(ts AS TIMESTAMP) AS ts, touch_type, touch_id FROM touch WHERE contact_id IS NOT NULL AND ts IS NOT NULL""")
+    ends = ", ".join(f"arg_{f}(t, place).{c} AS {n}_touch_{a}" for n, f in (("first", "min"), ("last", "max")) for a, c in (("id", "touch_id"), ("ts", "ts"), ("type", "touch_type")))
+    o["order_path_ends"] = sql("won touch", f"""SELECT any_value(order_id) AS order_id, any_value(sale_amount) AS sale_amount, any_value(booked_at) AS booked_at,
+        any_value(contact_id) AS contact_id, count(*) AS touches, {ends}
+        FROM (SELECT w.*, t, concat_ws(chr(1), strftime(t.ts, '%Y%m%d%H%M%S%f'), coalesce('~' || t.touch_type, ''), t.touch_id) AS place
+              FROM (SELECT row_number() OVER () AS r, * FROM won) AS w JOIN touch AS t ON t.contact_id = w.contact_id AND t.ts <= w.booked_at) GROUP BY r""")
+    o["touches_by_medium_collated"] = sql("touch", """SELECT min(ltrim(utm_medium)) AS utm_medium, count(*) AS rows, count(DISTINCT ltrim(utm_medium)) AS spellings
+        FROM touch GROUP BY lower(trim(utm_medium))""")
     o["export_mart"] = o["first_touch_by_month"]
     return o

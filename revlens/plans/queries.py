@@ -18,12 +18,15 @@ from revlens.operators import influence as INF
 from revlens.operators import ltv as LTV
 from revlens.operators import quality as Q
 from revlens.operators import staging as STG
+from revlens.operators.collated import group_collated
 from revlens.operators.dedup import keep_one
+from revlens.operators.touch_index import order_path_ends, touch_index
 from revlens.operators.touches import touches, touches_from
 from revlens.session import scratch_path
 from revlens.sources import driver
 from revlens.sources.schemas import DUPLICATE_CHECKS
 from revlens.sources.marts import export_report, read_back
+from revlens.sources.stored import StagedStore, store_deals, stored_lead_base, stored_won_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -164,6 +167,25 @@ def q_qa_untouched(spark, sf_dir):
     return A.qa_untouched(won, t)
 
 
+@query("touch_index")
+def q_touch_index(spark, sf_dir):
+    """Every touch of a contact with its place in the contact's path (W1-W3)."""
+    return touch_index(touches_from(driver.load(spark, sf_dir))).select("contact_id", "touch_no", "ts", "touch_type", "touch_id")
+
+
+@query("order_path_ends")
+def q_order_path_ends(spark, sf_dir):
+    """Won sales with the length of their touch path, its first and its last touch (R5)."""
+    _, won, t = _ctx(spark, sf_dir)
+    return order_path_ends(won, t)
+
+
+@query("touches_by_medium_collated")
+def q_touches_by_medium_collated(spark, sf_dir):
+    """Touches by UTM medium, compared without case and trailing spaces (D5)."""
+    return group_collated(touches_from(driver.load(spark, sf_dir)), F.ltrim("utm_medium"), "utm_medium")
+
+
 # ---- influence ------------------------------------------------------------
 @query("opportunity_touches")
 def q_opportunity_touches(spark, sf_dir):
@@ -211,6 +233,30 @@ def q_overview_by_month(spark, sf_dir):
     return FN.overview_by_month(*args, cat["spend_stg"])
 
 
+def _store(spark, sf_dir) -> StagedStore:
+    store = StagedStore(spark)
+    store_deals(store, *_funnel_args(spark, sf_dir)[1])
+    return store
+
+
+@query("stored_leads")
+def q_stored_leads(spark, sf_dir):
+    """leads_stg stored by lead_id and read back (SELECT * INTO)."""
+    return StagedStore(spark).store("leads_stg", driver.load(spark, sf_dir)["leads_stg"], "lead_id")
+
+
+@query("stored_won_sales")
+def q_stored_won_sales(spark, sf_dir):
+    """The sale -> opportunity -> lead chain over stored tables, bucket by bucket."""
+    return stored_won_sales(_store(spark, sf_dir))
+
+
+@query("stored_lead_funnel")
+def q_stored_lead_funnel(spark, sf_dir):
+    """The funnel over stored tables."""
+    return FN.funnel(stored_lead_base(_store(spark, sf_dir)), F.col("lead_source"), "lead_source").orderBy(F.desc_nulls_last("closed_won_revenue"))
+
+
 # ---- LTV / CAC ------------------------------------------------------------
 def _segments(cat) -> DataFrame:
     return LTV.ltv_segments(cat["subscriptions_stg"], cat["accounts_stg"], cat["abm_accounts_stg"])
@@ -345,6 +391,17 @@ def q_convert_rejects(spark, sf_dir):
     return Q.table_rejects({t: (cat[t], STG.conversions(t, cat[t])) for t in tables})
 
 
+@query("staged_rejects")
+def q_staged_rejects(spark, sf_dir):
+    """The counts of ``convert_rejects`` as metrics of the staging writes: one scan a table."""
+    cat = driver.load(spark, sf_dir)
+    rows = []
+    for t in [*STG.DATE_COLUMNS, *STG.MONEY_COLUMNS]:
+        _, counts = Q.observed_rejects(STG.PIPELINES[t], cat[t], STG.conversions(t, cat[t]), t)
+        rows += [(t, c, n) for c, n in counts.items()]
+    return spark.createDataFrame(rows, "table string, column string, rejected bigint")
+
+
 @query("dup_key_checks")
 def q_dup_key_checks(spark, sf_dir):
     """The eight key checks of the cleaning scripts, over the raw tables."""
