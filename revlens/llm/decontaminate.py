@@ -199,10 +199,14 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, shingle: i
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the contaminated rows; all columns stay.
 
-    Of rows that share an id all go if one is contaminated; rows without an id stay.
+    A row is known by its id and its text, so rows that share an id are judged
+    each by itself.  Rows without an id stay.
     """
-    dirty = written(scan(docs, items, id_col=id_col, **options).filter("contaminated").select(F.col(id_col).alias("__dirty")).distinct(), "contaminated")
-    return docs.join(dirty, docs[id_col] == dirty["__dirty"], "left_anti")
+    text = F.col(options.get("text_col", "text")).cast("string")
+    named = docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("bigint"), text)))
+    dirty = scan(named, items, id_col="__row", **options).filter(F.col("contaminated") & F.col("__row").isNotNull())
+    dirty = written(dirty.select(F.col("__row").alias("__dirty")).distinct(), "contaminated")
+    return named.join(dirty, named["__row"] == dirty["__dirty"], "left_anti").drop("__row")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -5,13 +5,14 @@ read by the tokenizers library, ``*.tiktoken`` (the same vocabulary as ranks)
 by tiktoken.  Both give the same ids; tiktoken needs about a quarter of the
 CPU time, so it is the default (figures in the README, equality in the tests).
 It runs out of stack in white space of a million characters, so texts with a
-run of ``LONG_SPACE`` go to the JSON file beside it.  Strings of special tokens
-inside a text are ordinary text.
+run of ``LONG_SPACE`` go to the JSON file beside it.  A special token's string
+inside a text is that token's id, as the JSON file's added tokens say.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -38,7 +39,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True
             self._ids = lambda text: own.encode(text, add_special_tokens=False).ids
             self.size = own.get_vocab_size()
         else:
@@ -46,11 +46,13 @@ class Encoder:
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            own = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self._ids = own.encode_ordinary
+            self._other = path.removesuffix(".tiktoken") + ".json"
+            with open(self._other, encoding="utf-8") as f:
+                special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            own = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            self._ids = lambda text: own.encode(text, allowed_special="all")
             self.size = own.n_vocab
             self._space = re.compile(r"\s{%d}" % LONG_SPACE)
-            self._other = path.removesuffix(".tiktoken") + ".json"
 
     def document(self, text: str | None) -> np.ndarray:
         """The text's ids, then the end id, as little-endian unsigned 32-bit integers."""

@@ -51,13 +51,15 @@ def test_edges_and_short_items(spark):
     data = rows() + [(50 + i, t, "en", "s", 0, "k", "s", "l", "f") for i, t in enumerate([
         base, base.upper() + " tail", "x " * 300 + base, base.replace(" ", ", "), "one two three", "short item", "a short item b",
         " ".join([base] * 3), "the the the the the the the the the the the the the the the"])]
+    data.append((50, "clean words under an id seen before", "en", "s", 0, "k", "s", "l", "f"))
     items = [(1, base), (1, base), (2, "short item"), (3, "one"), (None, "alpha beta"), (4, None), (5, ""), (6, "!!!"), (7, "the " * 13), (8, LONG[:400]), (9, "🙂🙃")]
     bench = spark.createDataFrame([(i, t, "extra") for i, t in items], "item_id bigint, text string, doc_id string")
     got = decontaminate.digest(decontaminate.scan(frame(spark, data), bench))
     assert result(got) == sorted(brute([(r[0], r[1]) for r in data], items), key=str)
     clean = decontaminate.keep_clean(frame(spark, data), bench)
-    dirty = {x[0] for x in brute([(r[0], r[1]) for r in data], items) if x[-1]}
-    assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(r[0]) for r in data if r[0] is None or r[0] not in dirty)
+    kept = [r for r in data if r[0] is None or not brute([(r[0], r[1])], items)[0][-1]]
+    assert sorted(str((r["doc_id"], r["text"])) for r in clean.collect()) == sorted(str((r[0], r[1])) for r in kept)
+    assert len({r[0] for r in data if r[0] == 50 and r in kept}) == 1 and clean.columns == frame(spark, data).columns  # a clean row beside a contaminated one
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.scan(frame(spark, []), bench).count() == 0
     assert {r["n_hit"] for r in decontaminate.scan(frame(spark), none).collect()} == {0}

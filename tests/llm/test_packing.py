@@ -14,7 +14,6 @@ from tests.llm.edges import frame, rows
 
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 

@@ -57,3 +57,16 @@ def test_edges(spark):
     check(spark, frame(spark), [r[1] for r in rows()], 64, 16)
     shards = ts.materialise(frame(spark, []))
     assert shards.count() == 0 and ts.read_back(shards, ts.total_rows(shards)).count() == 0
+
+
+def test_special_tokens_and_long_space_are_the_json_files_ids():
+    from tokenizers import Tokenizer
+
+    from revlens.llm import tokens
+    path = default_vocabulary().removesuffix(".tiktoken") + ".json"
+    own, e, j = Tokenizer.from_file(path), Encoder(default_vocabulary()), Encoder(path)
+    for text in ("<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n x", "<|endoftext", "  <|endoftext|>  ", "<|ENDOFTEXT|>",
+                 "a" + " " * (tokens.LONG_SPACE - 1) + "b", "a" + " " * tokens.LONG_SPACE + "b", "\n" * (tokens.LONG_SPACE + 1)):
+        want = own.encode(text, add_special_tokens=False).ids + [1]
+        assert e.document(text).tolist() == want == j.document(text).tolist(), text[:40]
+    assert 50256 in e.document("x<|endoftext|>y").tolist()
