@@ -389,6 +389,8 @@ def oracle_sql() -> dict[str, str]:
     o["profile_table"] = _profile()
     o["staged_rejects"], o["stored_leads"] = o["convert_rejects"], o["stage_leads"]
     o["stored_won_sales"], o["stored_lead_funnel"] = o["won_sales"], o["lead_funnel"]
+    o["lead_funnel_bitmaps"], o["funnel_by_month_bitmaps"] = o["lead_funnel"], o["funnel_by_month"]
+    o["dedup_latest_in_batches"], o["first_touch_by_month_refreshed"] = o["dedup_latest"], o["first_touch_by_month"]
     o["touch_index"] = sql("touch", """SELECT contact_id, row_number() OVER (PARTITION BY contact_id ORDER BY ts, touch_type NULLS FIRST, touch_id) AS touch_no,
         CAST(ts AS TIMESTAMP) AS ts, touch_type, touch_id FROM touch WHERE contact_id IS NOT NULL AND ts IS NOT NULL""")
     ends = ", ".join(f"arg_{f}(t, place).{c} AS {n}_touch_{a}" for n, f in (("first", "min"), ("last", "max")) for a, c in (("id", "touch_id"), ("ts", "ts"), ("type", "touch_type")))

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revlens.functions import month_start
 from revlens.operators import attribution as A
+from revlens.operators import bitmaps as BM
 from revlens.operators import funnel as FN
 from revlens.operators import influence as INF
 from revlens.operators import ltv as LTV
@@ -22,7 +24,9 @@ from revlens.operators.collated import group_collated
 from revlens.operators.dedup import keep_one
 from revlens.operators.touch_index import order_path_ends, touch_index
 from revlens.operators.touches import touches, touches_from
-from revlens.session import scratch_path
+from revlens.operators.winners import WinnerTable
+from revlens.plans.monthly import MonthlyMart
+from revlens.session import scratch_path, written
 from revlens.sources import driver
 from revlens.sources.schemas import DUPLICATE_CHECKS
 from revlens.sources.marts import export_report, read_back
@@ -155,6 +159,17 @@ def q_by_utm_campaign(spark, sf_dir):
     return A.attribution_by(won, t, "utm_campaign")
 
 
+@query("first_touch_by_month_refreshed")
+def q_first_by_month_refreshed(spark, sf_dir):
+    """``first_touch_by_month`` as a stored mart, refreshed after February's sales have come in."""
+    _, won, t = _ctx(spark, sf_dir)
+    details = written(A.first_channel(won, t).withColumn("month_start", month_start("booked_at")), "first-touch")
+    mart = MonthlyMart(spark, scratch_path(spark, "first-touch-by-month"), A.single_touch_by_month)
+    mart.refresh(details.where(F.month("booked_at") != 2))
+    mart.refresh(details)
+    return mart.read()
+
+
 @query("qa_reconcile")
 def q_qa_reconcile(spark, sf_dir):
     cat, won, _ = _ctx(spark, sf_dir)
@@ -257,6 +272,16 @@ def q_stored_lead_funnel(spark, sf_dir):
     return FN.funnel(stored_lead_base(_store(spark, sf_dir)), F.col("lead_source"), "lead_source").orderBy(F.desc_nulls_last("closed_won_revenue"))
 
 
+@query("lead_funnel_bitmaps")
+def q_lead_funnel_bitmaps(spark, sf_dir):
+    return BM.funnel_by_source(*_funnel_args(spark, sf_dir)[1])
+
+
+@query("funnel_by_month_bitmaps")
+def q_funnel_by_month_bitmaps(spark, sf_dir):
+    return BM.funnel_by_month(*_funnel_args(spark, sf_dir)[1])
+
+
 # ---- LTV / CAC ------------------------------------------------------------
 def _segments(cat) -> DataFrame:
     return LTV.ltv_segments(cat["subscriptions_stg"], cat["accounts_stg"], cat["abm_accounts_stg"])
@@ -350,6 +375,17 @@ def q_dedup_earliest(spark, sf_dir):
     return keep_one(opps, ["lead_id"], "created_at", descending=False, tie_break=["opportunity_id"])
 
 
+@query("dedup_latest_in_batches")
+def q_dedup_latest_in_batches(spark, sf_dir):
+    """``dedup_latest`` from a stored winner table: two batches, the first one arriving twice."""
+    leads = driver.load(spark, sf_dir)["leads_stg"]
+    table = WinnerTable(spark, scratch_path(spark, "latest-leads"), leads.schema, ["contact_id"], "created_at", True, ["lead_id"])
+    half = F.crc32("lead_id") % 2
+    for batch in (0, 1, 0):
+        table.merge(leads.where(half == batch))
+    return table.read()
+
+
 @query("invalid_emails")
 def q_invalid_emails(spark, sf_dir):
     return Q.invalid_emails(STG.clean_contacts(driver.load(spark, sf_dir)["crm_contacts"]))
