@@ -462,5 +462,5 @@ EXPORT_SCHEMA = T.StructType([T.StructField("month_start", T.DateType()),
 def q_export_mart(spark, sf_dir):
     """first_touch_by_month written as CSV to the shared folder and read back."""
     path = scratch_path(spark, "first_touch_by_month")
-    export_report(q_first_by_month(spark, sf_dir), path)
+    export_report(q_first_by_month(spark, sf_dir), path, order_by=["month_start", "channel"])
     return read_back(spark, path, schema=EXPORT_SCHEMA)

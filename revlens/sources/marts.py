@@ -31,21 +31,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.save(path)
 
 
-# Rows of the largest result that may go through one task into one file.
-REPORT_ROWS = 100_000
+# Rows of one exported file, about.
+FILE_ROWS = 100_000
 
 
-def export_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Export a report (a small aggregate) as one CSV file with a header.
+def export_report(df: DataFrame, path: str, fmt: str = "csv", order_by: Sequence[str] = ()) -> None:
+    """Export a result as files with a header that, in the order of their names, are the rows by ``order_by`` (else by all columns).
 
-    The result is written in parallel first and its rows counted; one with
-    more than ``REPORT_ROWS`` rows is refused, because the single file is
-    written by one task.  A detail table goes through ``write_table``.
+    The result is written in parallel and its rows counted; it is then cut into
+    ranges of about ``FILE_ROWS`` rows, each sorted and written by a task of its
+    own.  A report thus is one file, a detail table as many as it needs.
     """
     report = written(df, "report")
-    if (rows := report.count()) > REPORT_ROWS:
-        raise ValueError(f"{rows} rows are no report; use write_table")
-    write_table(report.coalesce(1), path, fmt=fmt)
+    files = max(1, -(-report.count() // FILE_ROWS))
+    order = list(order_by or df.columns)
+    write_table(report.repartitionByRange(files, *order).sortWithinPartitions(*order), path, fmt=fmt)
 
 
 def read_back(spark: SparkSession, path: str, fmt: str = "csv", schema=None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sinks: staged tables and marts written to the shared folder and read back."""
 
+import os
 import uuid
 
 import pytest
@@ -90,10 +91,18 @@ def test_user_csv_tables_end_to_end(spark):
         load_crm(spark, {"assets": f"{base}/spend"}, fmt="csv")
 
 
-def test_export_refuses_a_detail_table(spark, monkeypatch):
-    monkeypatch.setattr(marts, "REPORT_ROWS", 3)
-    with pytest.raises(ValueError):
-        export_report(spark.range(4), _path(spark, "detail"))
+def test_export_of_a_detail_table_is_ordered_parts(spark, monkeypatch):
+    monkeypatch.setattr(marts, "FILE_ROWS", 300)
+    path = _path(spark, "detail")
+    rows = [(i * 7919 % 1000, None if i % 50 == 0 else f"v{i}") for i in range(1000)]
+    export_report(spark.createDataFrame(rows, "k int, v string").repartition(7), path, order_by=["k"])
+    names = sorted(f for f in os.listdir(path) if f.endswith(".csv"))
+    parts = [open(os.path.join(path, f)).read().splitlines() for f in names]
+    assert len(parts) == 4 and all(p[0] == "k,v" for p in parts)
+    assert [int(line.split(",")[0]) for p in parts for line in p[1:]] == sorted(k for k, _ in rows)
+    empty = _path(spark, "empty")
+    export_report(spark.createDataFrame([], "k int, v string"), empty)
+    assert read_back(spark, empty, schema="k int, v string").count() == 0
 
 
 def test_refresh_marts(spark):
