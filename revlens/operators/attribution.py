@@ -31,7 +31,9 @@ the prefix of its contact's touches up to the booking day, so:
 3. won sales join the state on ``(contact, booking day)`` (many-to-one; with
    a shuffle on both sides, which AQE splits where one key is hot);
 4. what rows of one order_id share (the linear divisor) is aggregated,
-   written, and joined back, so a repeated order_id is split as well.
+   written, and joined back, so a repeated order_id is split as well;
+5. ids and UTM text are fetched last, for touches at the picked instants
+   only (``touches_at``): no task sorts raw touches.
 
 Frames that several branches read are written once to the shared folder
 (``session.written``), at every size: there is one plan.
@@ -47,7 +49,8 @@ from revlens.operators.dedup import keep_one
 from revlens.session import written
 
 UNKNOWN = "Unknown"
-DETAIL_FIELDS = ["ts", "touch_type", "touch_id", "utm_source", "utm_medium", "utm_campaign"]
+INSTANT = ["contact_id", "ts", "touch_type"]
+DETAIL_FIELDS = ["touch_id", "utm_source", "utm_medium", "utm_campaign"]
 MONEY_SUM = "decimal(38,2)"
 # A touch's share of an order, and sums of shares, in the UTM reports.
 SHARE = "decimal(25,12)"
@@ -119,14 +122,23 @@ def days(channel_day: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.min(pick("lo")).alias("first_t"), F.max(pick("hi")).alias("last_t"))
 
 
-def detail_days(touches: DataFrame) -> DataFrame:
-    """``days`` with the picked touches' ids and UTM fields, for the detail tables.
+def value_days(touches: DataFrame, field: str) -> DataFrame:
+    """``channel_days`` for each value of ``field``: a hash aggregate as well."""
+    return _known(touches).groupBy("contact_id", day_ceiling("ts").alias("day"), F.col(field).alias("value"), "touch_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+
 
-    Text inside the picks makes this a sort-based aggregate over raw touches.
+def touches_at(touches: DataFrame, instants: DataFrame, pick) -> DataFrame:
+    """(contact_id, ts, touch_type, t): of the touches at each instant the first (``pick`` min) or last (max) by id and UTM text.
+
+    ``instants`` holds distinct (contact_id, ts, touch_type).  Touches meet
+    them in a hash join on all three, so none is sorted and a contact with
+    many touches is spread; only touches that are left meet the aggregate
+    over text.
     """
-    touch = F.struct(*[F.col(c) for c in DETAIL_FIELDS])
-    return _known(touches).groupBy("contact_id", day_ceiling("ts").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(touch).alias("first_t"), F.max(touch).alias("last_t"))
+    t, k = _known(touches).select(*INSTANT, *DETAIL_FIELDS), instants.hint("shuffle_hash")
+    same = (t["contact_id"] == k["contact_id"]) & (t["ts"] == k["ts"]) & t["touch_type"].eqNullSafe(k["touch_type"])
+    return t.join(k, same, "left_semi").groupBy(*INSTANT).agg(pick(F.struct(*DETAIL_FIELDS)).alias("t"))
 
 
 def booking_days(won: DataFrame) -> DataFrame:
@@ -166,9 +178,8 @@ def touched_rows(won: DataFrame, day_state: DataFrame) -> DataFrame:
 
 def _pick(touch: str) -> Column:
     """What the first (min) or last (max) touch of an order_id is picked by."""
-    fields = [F.col(f"{touch}.ts").alias("ts"), F.col(f"{touch}.touch_type").alias("touch_type"),
-              "sale_amount", "booked_at", "contact_id"]
-    return F.struct(*fields, F.col(touch).alias("t"))
+    return F.struct(F.col(f"{touch}.ts").alias("ts"), F.col(f"{touch}.touch_type").alias("touch_type"),
+                    "sale_amount", "booked_at", "contact_id")
 
 
 def order_touches(won: DataFrame, touches: DataFrame) -> DataFrame:
@@ -188,9 +199,21 @@ def order_touches(won: DataFrame, touches: DataFrame) -> DataFrame:
 _SALE = ["p.sale_amount", "p.booked_at", "p.contact_id"]
 
 
+def _with_fields(picked: DataFrame, touches: DataFrame, pick) -> DataFrame:
+    """``picked`` rows (with a pick ``p``) and ``t``, the ids and UTM fields of the picked touches.
+
+    The fields, a row per picked instant, are written: the join back has a
+    shuffle on both sides, so an instant that many orders share is split.
+    """
+    picked = written(picked, "picked-touches")     # the instants + join back
+    found = written(touches_at(touches, picked.select(*[f"p.{c}" for c in INSTANT]).distinct(), pick), "touch-fields")
+    p, f = picked.alias("p0"), found.alias("f")
+    same = (F.col("p.contact_id") == F.col("f.contact_id")) & (F.col("p.ts") == F.col("f.ts")) & F.col("p.touch_type").eqNullSafe(F.col("f.touch_type"))
+    return p.join(f, same).select("p0.*", "f.t")
+
+
 def _detail(g: DataFrame) -> DataFrame:
-    return g.select("order_id", *_SALE, F.col("p.ts").alias("touch_ts"), F.col("p.t.utm_source").alias("utm_source"),
-                    F.col("p.t.utm_medium").alias("utm_medium"), F.col("p.t.utm_campaign").alias("utm_campaign"),
+    return g.select("order_id", *_SALE, F.col("p.ts").alias("touch_ts"), "t.utm_source", "t.utm_medium", "t.utm_campaign",
                     "p.touch_type")
 
 
@@ -216,11 +239,11 @@ def _first_rows(won: DataFrame, day_state: DataFrame) -> DataFrame:
 
 def first_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
     """Earliest qualifying touch per order, with its UTM fields."""
-    return _detail(_first_rows(won, detail_days(touches)))
+    return _detail(_with_fields(_first_rows(won, days(channel_days(touches))), touches, F.min))
 
 
 def first_channel(won: DataFrame, touches: DataFrame) -> DataFrame:
-    """``first_touch`` without UTM fields, for the channel reports: raw touches meet a hash aggregate only."""
+    """``first_touch`` without UTM fields, for the channel reports."""
     return _channel_detail(_first_rows(won, days(channel_days(touches))))
 
 
@@ -231,7 +254,7 @@ def _last_rows(won: DataFrame, day_state: DataFrame) -> DataFrame:
 def last_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
     """Latest qualifying touch per order (an as-of lookup per booking day), with its UTM fields."""
     won = written(won, "won_sales")       # query points + join back
-    return _detail(_last_rows(won, detail_days(touches)))
+    return _detail(_with_fields(_last_rows(won, days(channel_days(touches))), touches, F.max))
 
 
 def last_channel(won: DataFrame, touches: DataFrame) -> DataFrame:
@@ -253,10 +276,14 @@ def linear_touch(won: DataFrame, touches: DataFrame) -> DataFrame:
     channel), touches_per_order, attributed_revenue
     = sale_amount * touches / touches_per_order, which equals the sum of
     the per-touch shares ``sale_amount / touches_per_order``.
+
+    A channel is counted at booking days from its first touch on, so there
+    are no more query points than rows of the result.
     """
     won = written(won, "won_sales")       # query points + join back, twice
     per_channel = written(channel_days(touches), "channel-days")
-    points = booking_days(won).join(per_channel.select("contact_id", "touch_type").distinct(), "contact_id")
+    since = per_channel.groupBy("contact_id", "touch_type").agg(F.min("day").alias("since"))
+    points = booking_days(won).join(since, "contact_id").where(F.col("since") <= F.col("day")).drop("since")
     # the channel is part of the window's key; a NULL channel is a group like any other
     state = as_of(points, per_channel, ["contact_id", "touch_type"], ["n"])
     rows = (_at_booking(won, state)
@@ -314,51 +341,36 @@ def linear_by_month(linear: DataFrame) -> DataFrame:
                   .orderBy("month_start", "channel"))
 
 
-def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
-    """All three models keyed by a touch field (utm_medium, utm_campaign, ...).
-
-    model, <field>, orders, revenue (rounded to cents; NULL field -> 'Unknown').
+def _linear_credit(rows: DataFrame, per_value: DataFrame) -> DataFrame:
+    """value, orders, revenue: linear credit of each touch value with a qualifying order.
 
-    First and last touch group their picked touches by the field.  Linear
-    credit needs no pairing of booking days and values: each touch on day d
-    earns, from every order its contact books on day D >= d, that order's
-    share (sale_amount / touches_per_order, 12 decimals).  So the shares are
-    summed per (contact, booking day), summed again over that and all later
-    booking days, and each (contact, day, value, n) row earns n times the sum
-    from its day on.  Orders touched by a value are counted the same way from
-    the value's first day; order_ids on several rows are counted apart, as
-    distinct (order_id, value).
+    ``rows``: touched sales with n, their touches; ``per_value``: (contact_id,
+    day, value, n), both written.  No booking day is paired with a value: each
+    touch on day d earns, from every order its contact books on day D >= d,
+    that order's share (sale_amount / touches_per_order, 12 decimals).  So the
+    shares are summed per (contact, booking day), summed again over that and
+    all later booking days, and each (contact, day, value, n) row earns n
+    times the sum from its day on.  Orders touched by a value are counted the
+    same way from the value's first day; order_ids on several rows are counted
+    apart, as distinct (order_id, value).
     """
-    won = written(won, "won_sales")       # query points + join back
-    touch = F.struct(*[F.col(c) for c in DETAIL_FIELDS])
-    # raw touches are read once; everything below starts from their (contact, day, value) rows
-    per_value = written(_known(touches).groupBy("contact_id", day_ceiling("ts").alias("day"), F.col(field).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(touch).alias("first_t"), F.max(touch).alias("last_t")), "touch-value-days")
-    per_day = per_value.groupBy("contact_id", "day").agg(
-        F.sum("n").alias("n"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
-    rows = written(touched_rows(won, per_day), "touched-orders")
-
-    picked = rows.groupBy("order_id").agg(F.min(_pick("first_t")).alias("first"), F.max(_pick("last_t")).alias("last"))
-    single = picked.select(F.stack(
-        F.lit(2), F.lit("first"), F.col(f"first.t.{field}"), F.col("first.sale_amount"),
-        F.lit("last"), F.col(f"last.t.{field}"), F.col("last.sale_amount")).alias("model", "value", "amount"))
-    single = single.groupBy("model", "value").agg(F.count(F.lit(1)).alias("orders"), F.sum("amount").cast(MONEY_SUM).alias("revenue"))
-
     per_order = _divisors(rows)
-    shared = rows.drop("first_t", "last_t").join(per_order, rows["order_id"].eqNullSafe(per_order["order"]))
+    shared = rows.join(per_order, rows["order_id"].eqNullSafe(per_order["order"]))
     shared = shared.withColumn("share", (F.col("sale_amount") / F.col("touches_per_order")).cast(SHARE))
+    shared = written(shared.select("order_id", "contact_id", "booked_at", "order_rows", "share"), "order-shares")     # read twice
     booked = shared.groupBy("contact_id", F.col("booked_at").alias("day")).agg(
         F.sum("share").cast(SHARE).alias("share"),
         F.count_if((F.col("order_rows") == 1) & F.col("order_id").isNotNull()).alias("orders"), F.lit(1).alias("books"))
     touch_day = per_value.select("contact_id", "day").distinct()
-    marks = booked.unionByName(touch_day.select("contact_id", "day", F.lit(0).cast(SHARE).alias("share"),
+    marks = booked.unionByName(touch_day.select("contact_id", "day", F.lit(None).cast(SHARE).alias("share"),
                                                 F.lit(0).cast("bigint").alias("orders"), F.lit(0).alias("books")))
     onward = Window.partitionBy("contact_id").orderBy(F.desc("day"), F.desc("books")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earns = marks.select("contact_id", "day", "books", F.sum("share").over(onward).cast(SHARE).alias("share"),
-                         F.sum("orders").over(onward).alias("orders")).where("books = 0").drop("books")
+                         F.sum("orders").over(onward).alias("orders"),
+                         F.sum("books").over(onward).alias("ahead")).where("books = 0 AND ahead > 0").drop("books", "ahead")
 
     # each day's touches earn shares; a value's first day also earns the orders from then on
-    since = per_value.groupBy("contact_id", "value").agg(F.min("day").alias("day"))
+    since = written(per_value.groupBy("contact_id", "value").agg(F.min("day").alias("day")), "value-first-days")       # read twice
     earning = per_value.select("contact_id", "day", "value", "n", F.lit(0).alias("opens")).unionByName(
         since.select("contact_id", "day", "value", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("opens")))
     earned = earning.join(earns, ["contact_id", "day"]).groupBy("value").agg(
@@ -366,9 +378,49 @@ def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
     several = shared.where((F.col("order_rows") > 1) & F.col("order_id").isNotNull()).groupBy("order_id", "contact_id").agg(F.max("booked_at").alias("until"))
     again = several.join(since, "contact_id").where(F.col("day") <= F.col("until")).select("order_id", "value").distinct()
     again = again.groupBy("value").agg(F.count(F.lit(1)).alias("orders"))
-    linear = (earned.unionByName(again, allowMissingColumns=True)
-              .groupBy("value").agg(F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("orders"), F.sum("credit").alias("revenue"))
-              .select(F.lit("linear").alias("model"), "value", "orders", "revenue"))
+    return (earned.unionByName(again, allowMissingColumns=True).groupBy("value")
+            .agg(F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("orders"), F.sum("credit").alias("revenue")))
+
+
+def linear_credit_by_channel(won: DataFrame, touches: DataFrame) -> DataFrame:
+    """``linear_by_channel`` of ``linear_touch`` without its rows per (order, channel).
+
+    channel, sales_touched, total_revenue_credit.  Shares have 12 decimals a
+    touch here and 9 an order and channel there; both are rounded to cents.
+    """
+    won = written(won, "won_sales")       # query points + join back
+    per_channel = written(channel_days(touches), "channel-days")
+    total = per_channel.groupBy("contact_id", "day").agg(F.sum("n").alias("n"))
+    state = as_of(booking_days(won), total, ["contact_id"], ["n"])
+    rows = written(_at_booking(won, state).select("w.*", "s.n"), "touched-orders")
+    channel_day = per_channel.select("contact_id", "day", _channel().alias("value"), "n")
+    return (_linear_credit(rows, channel_day)
+            .select(F.col("value").alias("channel"), F.col("orders").alias("sales_touched"),
+                    F.round("revenue", 2).cast("decimal(18,2)").alias("total_revenue_credit"))
+            .orderBy(F.desc_nulls_last("total_revenue_credit")))
+
+
+def attribution_by(won: DataFrame, touches: DataFrame, field: str) -> DataFrame:
+    """All three models keyed by a touch field (utm_medium, utm_campaign, ...).
+
+    model, <field>, orders, revenue (rounded to cents; NULL field -> 'Unknown').
+
+    First and last touch group their picked touches by the field, which is
+    fetched for these alone.  Linear credit: ``_linear_credit``.
+    """
+    won = written(won, "won_sales")       # query points + join back
+    per_value = written(value_days(touches, field), "touch-value-days")
+    rows = written(touched_rows(won, days(per_value)), "touched-orders")
+
+    single = None
+    for model, touch, pick in (("first", "first_t", F.min), ("last", "last_t", F.max)):
+        picked = _with_fields(rows.groupBy("order_id").agg(pick(_pick(touch)).alias("p")), touches, pick)
+        sums = picked.groupBy(F.col(f"t.{field}").alias("value")).agg(
+            F.count(F.lit(1)).alias("orders"), F.sum("p.sale_amount").cast(MONEY_SUM).alias("revenue")).withColumn("model", F.lit(model))
+        single = sums if single is None else single.unionByName(sums)
+
+    linear = (_linear_credit(rows.drop("first_t", "last_t"), per_value)
+              .select(F.lit("linear").alias("model"), "value", "orders", F.coalesce("revenue", F.lit(0)).alias("revenue")))
     every = single.unionByName(linear).groupBy("model", _channel("value").alias(field)).agg(
         F.sum("orders").alias("orders"), F.round(F.sum("revenue"), 2).cast(MONEY_SUM).alias("revenue"))
     return (every.where(F.col("orders") > 0).select("model", field, "orders", "revenue")

@@ -129,6 +129,13 @@ def q_linear_by_channel(spark, sf_dir):
     return A.linear_by_channel(A.linear_touch(won, t))
 
 
+@query("linear_credit_by_channel")
+def q_linear_credit_by_channel(spark, sf_dir):
+    """``linear_by_channel`` without a row per order and channel."""
+    _, won, t = _ctx(spark, sf_dir)
+    return A.linear_credit_by_channel(won, t)
+
+
 @query("first_touch_by_month")
 def q_first_by_month(spark, sf_dir):
     _, won, t = _ctx(spark, sf_dir)

@@ -73,6 +73,7 @@ def test_linear_split_over_three(edge):
     (lambda w, t: A.single_touch_by_channel(A.last_channel(w, t)), lambda h: brute.single(h, last=True)),
     (lambda w, t: A.single_touch_by_channel(A.last_touch(w, t)), lambda h: brute.single(h, last=True)),
     (lambda w, t: A.linear_by_channel(A.linear_touch(w, t)), brute.linear),
+    (A.linear_credit_by_channel, brute.linear),
     (lambda w, t: A.qa_untouched(w, t), brute.untouched),
 ])
 def test_reports_match_brute_force(edge, held, ours, twin):
@@ -160,6 +161,7 @@ def test_hot_contact_matches_brute_force_and_stays_bounded(spark):
     assert brute.rows(A.single_touch_by_channel(A.first_channel(won, t))) == brute.rows(brute.single(held, last=False))
     assert brute.rows(A.single_touch_by_channel(A.last_channel(won, t))) == brute.rows(brute.single(held, last=True))
     assert brute.rows(A.linear_by_channel(A.linear_touch(won, t))) == brute.rows(brute.linear(held))
+    assert brute.rows(A.linear_credit_by_channel(won, t)) == brute.rows(brute.linear(held))
     # the hot contact's largest window group is bounded by distinct days, not by its 4,800 touches
     assert A.channel_days(t).where("contact_id = '1'").count() <= (HOT_DAYS + 1) * 3
     assert A.days(A.channel_days(t)).where("contact_id = '1'").count() <= HOT_DAYS + 1
@@ -177,6 +179,40 @@ def test_many_campaigns_and_days_of_one_contact(spark):
     assert brute.rows(report) == brute.rows(utm_twin(held, "campaign"))
 
 
+def test_ten_thousand_channels_of_one_contact(spark):
+    """Linear credit of a contact with 10,000 channels: the report, made without
+    (day, channel) pairs, equals the detail's sums, and the detail's query
+    points are the pairs that its result has."""
+    tables = hot_tables(spark)
+    web = spark.range(10_000).select(
+        F.lit("1").alias("contact_id"), F.timestamp_add("MINUTE", F.col("id") * 8, F.lit(dt.datetime(2024, 1, 1))).cast("timestamp_ntz").alias("started_at"),
+        F.concat(F.lit("channel "), F.col("id").cast("string")).alias("channel"), F.lit("1").alias("campaign_id"), F.lit("g").alias("utm_source"),
+        F.lit("cpc").alias("utm_medium"), F.lit("c").alias("utm_campaign"), F.col("id").cast("string").alias("touch_id"))
+    tables = {**tables, "web_sessions_stg": web, "sales_stg": tables["sales_stg"].where("order_id < 40")}
+    won = A.won_sales(tables["sales_stg"], tables["opportunities_stg"], tables["leads_stg"])
+    t = touches_from(tables)
+    detail = A.linear_touch(won, t)
+    report = {r[0]: tuple(r) for r in A.linear_credit_by_channel(won, t).collect()}
+    summed = {r[0]: tuple(r) for r in A.linear_by_channel(detail).collect()}
+    assert len(report) > 9_000 and report == summed
+    assert detail.count() == sum(r[1] for r in report.values())
+
+
+def test_ties_at_one_instant_pick_the_same_touch(spark):
+    """Touches of one contact, instant and channel differ in id and UTM text only: first takes the least, last the greatest."""
+    tables = hot_tables(spark)
+    one = tables["web_sessions_stg"].where("touch_id < 6").withColumn("contact_id", F.lit("1")).withColumn("channel", F.lit(None).cast("string"))
+    one = one.withColumn("started_at", F.lit(dt.datetime(2023, 12, 1)).cast("timestamp_ntz"))
+    one = one.withColumn("utm_campaign", F.when(F.col("touch_id") != "3", F.concat(F.lit("u"), "touch_id")))
+    one = one.unionByName(one.where("touch_id = '0'").withColumn("touch_id", F.lit(None).cast("string")).withColumn("utm_campaign", F.lit("no id")))
+    tables = {**tables, "web_sessions_stg": one}
+    won = A.won_sales(tables["sales_stg"], tables["opportunities_stg"], tables["leads_stg"])
+    t = touches_from(tables)
+    assert {(r.touch_type, r.utm_campaign) for r in A.first_touch(won, t).collect()} == {(None, "no id")}
+    assert {(r.touch_type, r.utm_campaign) for r in A.last_touch(won, t).collect()} == {(None, "u5")}
+    assert A.first_touch(won, t).count() == won.where("contact_id = '1'").count()
+
+
 def test_repeated_order_ids_in_utm_reports(spark):
     """Order ids on several rows, contacts and days (and a NULL order id) count once per value."""
     tables = hot_tables(spark)

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from revlens.operators import attribution as A
@@ -52,9 +53,9 @@ def test_scans_are_pruned(spark):
     assert "PushedFilters: [In(event_type" in plan
 
 
-@pytest.mark.parametrize("reduce", [A.channel_days, lambda t: A.days(A.channel_days(t))])
+@pytest.mark.parametrize("reduce", [A.channel_days, lambda t: A.days(A.channel_days(t)), lambda t: A.value_days(t, "utm_campaign")])
 def test_raw_touches_meet_a_hash_aggregate(spark, reduce):
-    """What the channel reports do to raw touches first is hash-based: no task sorts its raw touches."""
+    """What the reports do to raw touches first is hash-based: no task sorts its raw touches."""
     plan = _plan(spark, reduce(touches_from(driver.load(spark, SF_SMALL))))
     tree = plan[:plan.index("\n\n")].split("\n")
     union = max(i for i, line in enumerate(tree) if "Union (" in line)  # the union of touch sources is the deepest
@@ -62,6 +63,17 @@ def test_raw_touches_meet_a_hash_aggregate(spark, reduce):
     assert "HashAggregate" in above, plan
 
 
+def test_picked_touches_are_fetched_without_sorting_raw_touches(spark):
+    """Raw touches meet the picked instants in hash joins; only above them is anything sorted, by the aggregate over text."""
+    touches = touches_from(driver.load(spark, SF_SMALL))
+    instants = written(touches.select(*A.INSTANT).where("contact_id = '1'").distinct(), "instants")
+    plan = _plan(spark, A.touches_at(touches, instants, F.min))
+    tree = plan[:plan.index("\n\n")].split("\n")
+    join = min(i for i, line in enumerate(tree) if "Join" in line)
+    assert "ShuffledHashJoin" in tree[join] and any("Aggregate" in line for line in tree[:join]), plan
+    assert not any("Sort" in line for line in tree[join:]), plan
+
+
 def test_one_plan_at_every_size(spark):
     """No code asks for a size before it picks a plan; a written frame is not written twice."""
     import pathlib

@@ -61,6 +61,7 @@ def test_pair_free_equals_pair_join(spark, webs, emails, acts, sales):
     assert brute.rows(A.single_touch_by_channel(A.first_channel(won, t))) == brute.rows(brute.single(held, last=False))
     assert brute.rows(A.single_touch_by_channel(A.last_channel(won, t))) == brute.rows(brute.single(held, last=True))
     assert brute.rows(A.linear_by_channel(A.linear_touch(won, t))) == brute.rows(brute.linear(held))
+    assert brute.rows(A.linear_credit_by_channel(won, t)) == brute.rows(brute.linear(held))
     assert brute.rows(A.qa_untouched(won, t)) == brute.rows(brute.untouched(held))
     assert brute.rows(INF.customer_influence(won, t)) == brute.rows(brute.customer_influence(held))
     by_campaign = [(m, *r) for m, rs in (("first", brute.single(held, False, "campaign")), ("last", brute.single(held, True, "campaign")),
