@@ -59,6 +59,12 @@ def test_edges(spark):
     assert shards.count() == 0 and ts.read_back(shards, ts.total_rows(shards)).count() == 0
 
 
+def test_more_shards_than_ranges(spark):
+    """Shards of two sequences, many more than shuffle partitions: each is written once, by one task, in slot order."""
+    docs = queries.table(spark, SF_SMALL, "documents")
+    check(spark, docs, [r["text"] for r in docs.collect()], 256, 2)
+
+
 def test_special_tokens_and_long_space_are_the_json_files_ids():
     from tokenizers import Tokenizer
 
