@@ -375,6 +375,8 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT count({k}) AS n FROM {t} GROUP BY {k}) WHERE n > 1""" for name, (t, k) in _RAW_KEYS.items()))
     o["dedup_preview"] = sql("raw_lead", f"""SELECT {_RAW_LEAD} FROM raw_lead EXCEPT ALL
         (SELECT DISTINCT ON (lead_id) {_RAW_LEAD} FROM raw_lead ORDER BY lead_id, first_response_at NULLS FIRST)""")
+    for key in ("dup_keys", "dup_key_checks", "dedup_preview"):
+        o[f"{key}_filtered"] = o[key]
     o["dedup_latest"] = sql("lead", "SELECT DISTINCT ON (contact_id) * FROM lead ORDER BY contact_id, created_at DESC NULLS LAST, lead_id DESC")
     o["dedup_earliest"] = sql("opp", """SELECT DISTINCT ON (lead_id) * FROM opp
         ORDER BY lead_id, created_at NULLS FIRST, opportunity_id, stage, amount, close_date NULLS FIRST, win_flag""")

@@ -19,6 +19,7 @@ from revlens.operators import funnel as FN
 from revlens.operators import influence as INF
 from revlens.operators import ltv as LTV
 from revlens.operators import quality as Q
+from revlens.operators import repeats as R
 from revlens.operators import staging as STG
 from revlens.operators.collated import group_collated
 from revlens.operators.dedup import keep_one
@@ -452,6 +453,23 @@ def q_dup_key_checks(spark, sf_dir):
     return Q.duplicate_keys({name: (cat[t], [key]) for name, (t, key) in DUPLICATE_CHECKS.items()})
 
 
+@query("dup_keys_filtered")
+def q_dup_keys_filtered(spark, sf_dir):
+    """Rows of repeated lead ids; a counting Bloom filter keeps unique ids out of the shuffles."""
+    return R.duplicate_rows(driver.load(spark, sf_dir)["leads"], ["lead_id"])
+
+
+@query("dup_key_checks_filtered")
+def q_dup_key_checks_filtered(spark, sf_dir):
+    cat = driver.load(spark, sf_dir)
+    return R.duplicate_keys({name: (cat[t], [key]) for name, (t, key) in DUPLICATE_CHECKS.items()})
+
+
+@query("dedup_preview_filtered")
+def q_dedup_preview_filtered(spark, sf_dir):
+    return R.dedup_preview(driver.load(spark, sf_dir)["leads"], ["lead_id"], "first_response_at", descending=False)
+
+
 @query("profile_table")
 def q_profile_table(spark, sf_dir):
     cat = driver.load(spark, sf_dir)
