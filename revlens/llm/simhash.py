@@ -8,17 +8,17 @@
    a fingerprint within tau bits is within t_i bits in some partition i
    (-1: not probed).  Each fingerprint gets its own thresholds: a dynamic
    programme minimises probes plus estimated candidates, from byte histograms
-   of all fingerprints and the counts of heavy partition values.
+   of all fingerprints and a Count-Min sketch of all partition values.
 5. Probe rows (all values within t_i bits) meet index rows by partition and
    value; a pair is verified by the bit count of its XOR.
 6. Links become components: smallest label over neighbours, then pointer
    jumping, until nothing changes.
 
 No step collects fingerprints or links to the driver: it sees the 64 x 64
-counts, 256 counts per byte of a partition, and at most ``HEAVY`` heavy values
-per partition (no more values can each hold 1/HEAVY of the rows).  A group of
-near copies crowds one value of a partition; there the heavy count makes the
-programme probe other partitions instead.
+counts, 256 counts per byte of a partition, and 2 * ``WIDTH`` counters per
+partition, whatever the table holds.  A group of near copies crowds one value of
+a partition; there the sketch's count makes the programme probe other partitions
+instead.
 
 Defined results: null and empty texts have no word, so their fingerprint is
 zero and they link like any other; rows with a null doc_id get a fingerprint
@@ -34,15 +34,16 @@ from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from xxhash import xxh64_intdigest
 
-from revlens.llm.arrow import batch_of, chunks
+from revlens.llm.arrow import HASH_BASE, batch_of, chunks, mixed
 from revlens.session import written
 
 BITS = 64
-#: Partition values with more than 1/HEAVY of all fingerprints are counted one by one.
-HEAVY = 4096
+#: Counters of each of a partition's two sketch rows (a power of two), and of a block in which they are sent.
+WIDTH, SKETCH_BLOCK = 1 << 18, 1 << 14
 #: Shingles hashed at once.
 BLOCK = 1 << 16
 
@@ -173,11 +174,65 @@ def value_counts(nodes: DataFrame, groups: list[list[int]]) -> dict[tuple[int, i
     return out
 
 
+def _counters(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A partition value's counter in either row."""
+    h = mixed(values + HASH_BASE)
+    return (h & np.uint64(WIDTH - 1)).astype(np.int64), (h >> np.uint64(BITS - WIDTH.bit_length() + 1)).astype(np.int64)
+
+
+def value_sketch(nodes: DataFrame, groups: list[list[int]]) -> np.ndarray:
+    """(partition, row, counter): a Count-Min sketch of all values of every partition, of the same size for any table.
+
+    Tasks send compressed blocks of counters, which are summed block by block;
+    2 * ``WIDTH`` counters a partition reach the driver.
+    """
+    m = len(groups)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros((m, 2, WIDTH), np.uint32)
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            for i, g in enumerate(groups):
+                for row, at in zip(sketch[i], _counters(extract(fps, g)), strict=True):
+                    np.add.at(row, at, np.uint32(1))
+        blocks = sketch.reshape(-1, SKETCH_BLOCK)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([int(b)], pa.int32()), "counts": pa.array([pack(blocks[b].tobytes())], pa.binary())})
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for b, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total[b] = total.get(b, 0) + np.frombuffer(unpack(counts), np.uint32).astype(np.uint64)
+        for b, counts in total.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    shape = "block int, counts binary"
+    out = np.zeros((2 * m * WIDTH // SKETCH_BLOCK, SKETCH_BLOCK))
+    for r in nodes.select("fp").mapInArrow(count, shape).repartition("block").mapInArrow(add, shape).collect():
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint64)
+    return out.reshape(m, 2, WIDTH)
+
+
+def sketched(sketch: np.ndarray, total: int, values: np.ndarray) -> np.ndarray:
+    """About how many fingerprints have each value of a partition: what its counters hold beyond the load that any has."""
+    a, b = _counters(values)
+    load = total / WIDTH
+    return np.maximum(np.minimum(sketch[0][a], sketch[1][b]) - load - 3 * load ** 0.5, 0)
+
+
 class Allocation:
-    """Estimated candidates and thresholds per fingerprint."""
+    """Estimated candidates and thresholds per fingerprint.
+
+    ``heavy``: (partition, value) -> its count, where known; ``sketch``: of all
+    values (``value_sketch``).
+    """
 
-    def __init__(self, total: int, groups: list[list[int]], counts: dict[tuple[int, int], np.ndarray], heavy: dict[tuple[int, int], int], tau: int):
-        self.total, self.groups, self.tau = total, groups, tau
+    def __init__(self, total: int, groups: list[list[int]], counts: dict[tuple[int, int], np.ndarray], heavy: dict[tuple[int, int], int], tau: int,
+                 sketch: np.ndarray | None = None):
+        self.total, self.groups, self.tau, self.sketch = total, groups, tau, sketch
         self.blocks = byte_groups(groups)
         v = np.arange(256, dtype=np.uint8)
         apart = np.unpackbits((v[:, None] ^ v[None, :])[..., None], axis=2).sum(axis=2)
@@ -202,6 +257,8 @@ class Allocation:
                 key = extract(fps, self.groups[i])
                 at = np.minimum(np.searchsorted(values, key), len(values) - 1)
                 least = np.where(values[at] == key, n[at], 0.0)
+            if self.sketch is not None:
+                least = np.maximum(least, sketched(self.sketch[i], self.total, extract(fps, self.groups[i])))
             for t in range(self.tau + 1):
                 out[:, i, t + 1] = ball(len(self.groups[i]), t) + np.maximum(self.total * share[:, : t + 1].sum(axis=1), least)
         return out
@@ -255,11 +312,10 @@ def links(nodes: DataFrame, tau: int = 2) -> DataFrame:
 
     shape = "part int, key bigint, fp bigint, rep bigint"
     index = nodes.select("fp", "rep").mapInArrow(keys, shape)
-    often = index.groupBy("part", "key").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") * HEAVY > total))
-    heavy = {(r["part"], r["key"] & (2 ** 64 - 1)): r["n"] for r in often.collect()}  # fewer than m * HEAVY rows
-    plan = Allocation(total, groups, counts, heavy, tau)
+    shared = nodes.sparkSession.sparkContext.broadcast(Allocation(total, groups, counts, {}, tau, value_sketch(nodes, groups)))
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
         flips = [[[sum(1 << b for b in c) for d in range(t + 1) for c in combinations(range(len(g)), d)] for t in range(tau + 1)] for g in groups]
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):

@@ -136,3 +136,33 @@ def test_unlinked_texts_of_one_id_stay(spark):
     assert found == {(1, 1), (2, 1), (3, 1), (4, 4)}
     split = spark.createDataFrame([(2, a), (2, b), (3, a), (5, b), (1, b)], "doc_id bigint, text string")  # id 2 links nothing
     assert {(r["doc_id"], r["component_id"]) for r in simhash.components(split).collect()} == {(2, 2), (2, 1), (3, 2), (5, 1), (1, 1)}
+
+
+def _crowded(spark, total, members):
+    """Random fingerprints and ``members`` that differ in the bits of the third partition alone."""
+    rng = np.random.default_rng(members)
+    groups = simhash.group_bits(0, np.zeros((64, 64)), 3)
+    base, free = rng.integers(0, 2 ** 64, dtype=np.uint64), groups[2]
+    values = rng.choice(1 << len(free), members, replace=False)
+    kept = base & ~np.uint64(sum(1 << b for b in free))
+    crowd = np.array([kept | np.uint64(sum(1 << b for j, b in enumerate(free) if int(v) >> j & 1)) for v in values], np.uint64)
+    noise = rng.integers(0, 2 ** 64, total, dtype=np.uint64)
+    nodes = spark.createDataFrame([(int(x),) for x in np.concatenate([noise, crowd]).view(np.int64)], "fp bigint").repartition(5)
+    return groups, noise, crowd, nodes
+
+
+def test_sketch_sees_small_groups_of_a_large_table(spark):
+    groups, noise, crowd, nodes = _crowded(spark, 60000, 12)  # 1 of 5,000 fingerprints
+    sketch = simhash.value_sketch(nodes, groups)
+    assert sketch.shape == (3, 2, simhash.WIDTH) and (sketch.sum(axis=2) == 60012).all()
+    for i in (0, 1):
+        assert 9 <= simhash.sketched(sketch[i], 60012, simhash.extract(crowd, groups[i])).min() <= 13
+        assert (simhash.sketched(sketch[i], 60012, simhash.extract(noise, groups[i])) < 2).mean() > 0.99
+    assert simhash.sketched(sketch[2], 60012, simhash.extract(crowd, groups[2])).max() < 4
+
+
+def test_crowded_value_of_the_sketch_moves_probes_elsewhere(spark):
+    groups, noise, crowd, nodes = _crowded(spark, 20000, 400)
+    plan = simhash.Allocation(20400, groups, simhash.value_counts(nodes, groups), {}, 2, simhash.value_sketch(nodes, groups))
+    assert (plan.thresholds(crowd) == [-1, -1, 2]).all()
+    assert (plan.thresholds(noise) == 0).all(axis=1).mean() > 0.99
