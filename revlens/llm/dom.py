@@ -4,7 +4,8 @@ Nodes are elements and text runs, in page order; a parent comes before its
 children.  A text run is the text between two block borders with its white
 space collapsed and character references decoded.  Unclosed paragraphs, list
 items, cells and options end where the next one starts; stray end tags are
-ignored; the content of scripts, styles and the like is no text.
+ignored; the content of scripts, styles and the like is no text, nor is what a
+``hidden`` attribute or ``display: none`` hides.
 """
 
 from __future__ import annotations
@@ -29,9 +30,20 @@ P_BORDERS = frozenset("article aside body div section main td th li table form h
 # Outside quotes a tag holds no "<", so a stray one costs no scan to the end of the page.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+HIDDEN = re.compile(r"""(?:^|[\s"/])hidden(?=[\s=/]|$)""", re.IGNORECASE)
+STYLE = re.compile(r"""(?<![\w-])style\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|"[^"]*"|'[^']*'""", re.IGNORECASE)
 MARK = re.compile(r"""\bdata-keep=([01])""")
 
 
+def hides(attrs: str) -> bool:
+    """Whether an element with these attributes is not shown: ``hidden``, or ``display: none`` in its style."""
+    low = attrs.lower()
+    if "hidden" in low and HIDDEN.search(QUOTED.sub('""', attrs)):
+        return True
+    return "none" in low and any("display:none" in "".join(html.unescape(m[1] or "").lower().split()) for m in STYLE.finditer(attrs))
+
+
 class Page:
     """Parallel lists over nodes: tag ('' for a text run), parent, attributes, text, link characters."""
 
@@ -47,6 +59,8 @@ class Page:
         self._run_link = 0
         self._links = 0
         self._silent = 0
+        self._hidden: set[int] = set()  # open blocks that are not shown
+        self._veil = ["", 0]  # an inline element that is not shown, and how many of its name are open within
         self._read(source)
 
     def _flush(self) -> None:
@@ -68,9 +82,11 @@ class Page:
     def _pop_to(self, depth: int) -> None:
         self._flush()
         while len(self._stack) > depth:
-            tag = self.tag[self._stack.pop()]
+            node = self._stack.pop()
+            tag = self.tag[node]
             self._opened[tag] -= 1
-            self._silent -= tag in SILENT
+            self._silent -= tag in SILENT or node in self._hidden
+            self._veil = ["", 0]
 
     def _end(self, names, borders) -> None:
         """Close the innermost open element of ``names`` that no border hides (all of them for cells in a row)."""
@@ -86,7 +102,7 @@ class Page:
                     return
 
     def _say(self, raw: str) -> None:
-        if not self._silent and raw:
+        if not self._silent and not self._veil[1] and raw:
             text = html.unescape(raw) if "&" in raw else raw
             self._run.append(text)
             if self._links:
@@ -124,6 +140,10 @@ class Page:
         if name not in BLOCK:
             if name == "br" or name in VOID:
                 self._run.append(" ") if not self._silent and self._run else None
+            elif self._veil[1]:
+                self._veil[1] += name == self._veil[0]
+            elif not attrs.endswith("/") and hides(attrs):
+                self._veil = [name, 1]
             return
         self._flush()
         if name in CLOSES_P:
@@ -134,12 +154,15 @@ class Page:
         if name not in VOID:
             self._stack.append(node)
             self._opened[name] += 1
-            self._silent += name in SILENT
+            if name not in ("html", "body") and hides(attrs):  # a script shows these later
+                self._hidden.add(node)
+            self._silent += name in SILENT or node in self._hidden
 
     def _close(self, name: str) -> None:
         if name == "a":
             self._links = 0
         if name not in BLOCK:
+            self._veil[1] -= bool(self._veil[1]) and name == self._veil[0]
             return
         for depth in range(len(self._stack) - 1, 0, -1) if self._opened[name] else ():
             if self.tag[self._stack[depth]] == name:

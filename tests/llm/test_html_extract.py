@@ -126,3 +126,21 @@ def test_boosting_fits_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
     m = boost.fit(x[:1500], y[:1500], np.ones(1500))
     assert ((m.margin(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+
+
+def test_hidden_text_is_no_text():
+    from revlens.llm.dom import Page, hides
+
+    shown = lambda source: [t for t in Page(source).text if t]
+    for attrs in (" hidden", ' hidden=""', " class=x hidden id=y", ' style="display:none"', " style='color: red; DISPLAY :\n none'", " style=display:none", ' id="a"hidden', " hidden/"):
+        assert hides(attrs), attrs
+        if not attrs.endswith("/"):
+            assert shown(f"<p>a</p><div{attrs}><p>b</p>c</div><p>d</p>") == ["a", "d"], attrs
+            assert shown(f"<p>a <span{attrs}>b <span>c</span> d</span> e</p>") == ["a e"], attrs
+    for attrs in ("", ' class="hidden"', ' aria-hidden="true"', " data-hidden", ' title="display:none"', ' style="display:block"', ' data-x="style=display:none"'):
+        assert not hides(attrs), attrs
+        assert shown(f"<div{attrs}>b</div>") == ["b"], attrs
+    assert shown("<body style='display:none'><p>a</p></body>") == ["a"]  # shown by a script
+    assert shown("<p>a<b hidden>b<p>c</p>d") == ["a", "c", "d"]  # ends with its block
+    assert shown("<div hidden><div>a</div>b</div></div>c") == ["c"]
+    assert shown("<ul><li hidden>a<li>b</ul>") == ["b"]
