@@ -175,7 +175,8 @@ def fit(docs: DataFrame, usable: Column, per_language: int = FIT_PER_LANGUAGE, i
     ids = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     sample = per_group(ids, "lang", per_language)
     texts = docs.filter(usable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), ["id", "lang"], "left_semi")  # at most per_language rows a language
+    rows = texts.join(F.broadcast(sample), ["id", "lang"], "left_semi").filter(F.col("text").rlike(r"\p{L}"))
+    rows = rows.groupBy("id", "lang").agg(F.min("text").alias("text"))  # at most per_language a language; of an id's texts the smallest
     schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = FIT_PER_LANGUAGE, i
                 packed = np.packbits(presence(part.column("text")), axis=1)
                 yield batch_of(schema, id=part.column("id"), lang=part.column("lang"), bits=[r.tobytes() for r in packed])
 
-    got = rows.select(F.col("id").cast("bigint").alias("id"), "lang", "text").mapInArrow(run, "id bigint, lang string, bits binary").dropDuplicates(["id", "lang"]).collect()
+    got = rows.select(F.col("id").cast("bigint").alias("id"), "lang", "text").mapInArrow(run, "id bigint, lang string, bits binary").collect()
     if not got:
         none, empty = np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32)
         return Model([], none, empty, none, empty, empty)
@@ -202,7 +203,7 @@ def pieces(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1, at most the evidence for the language) from the text alone."""
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1, at most the evidence for the language) from the text alone; columns of these names give way to them."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # 2 x BUCKETS x languages numbers
     fields = [f for f in docs.schema if f.name not in (lang_out, score_out)]
     out_schema = T.StructType([*fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])

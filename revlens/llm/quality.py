@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = FIT
     known = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label"))
     sample = per_group(known, "label", per_label)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # at most 2 x per_label rows of sample
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # at most 2 x per_label; of an id's texts the smallest
     schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("bag", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = FIT
                 bags = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield batch_of(schema, id=part.column("id"), label=part.column("label"), bag=bags)
 
-    got = sorted(rows.mapInArrow(run, "id bigint, label int, bag binary").dropDuplicates(["id", "label"]).collect(), key=lambda r: (r["id"], r["label"], bytes(r["bag"])))
+    got = sorted(rows.mapInArrow(run, "id bigint, label int, bag binary").collect(), key=lambda r: (r["id"], r["label"], bytes(r["bag"])))
     if not got:
         return None
     return train([np.frombuffer(bytes(r["bag"]), np.float16).reshape(-1, FEATURES) for r in got], np.array([r["label"] for r in got], float))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_out: str = "score") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) from the text alone."""
+    """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) from the text alone; a column of that name gives way to it."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     fields = [f for f in docs.schema if f.name != score_out]
     names = [f.name for f in fields]

@@ -132,3 +132,18 @@ def test_passages_cover_whole_texts():
     assert x.shape == (first[-1], quality.FEATURES) and np.isfinite(x).all()
     again, start = quality.passages(pa.array(["der " * 200, "one two three four five six seven"]))
     assert again[0, -quality.WORD_FEATURES] > 0.9 and again[start[1], -quality.WORD_FEATURES] == 0
+
+
+def test_fits_do_not_depend_on_the_order_of_rows_that_share_an_id(spark):
+    texts = ["the cat and the dog sit on the mat", "der Hund und die Katze sind nicht hier", "le chat et le chien ne sont pas la", "12 34", None]
+    data = [(i, texts[(i + k) % 5], texts[i % 3][:3]) for i in range(12) for k in range(3)]
+    models, nets = [], []
+    for order in (1, -1):
+        df = spark.createDataFrame(data[::order], "doc_id bigint, text string, lang string").repartition(2 + order)
+        models.append(language_id.fit(df, F.lit(True)))
+        labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+        nets.append(quality.fit(df, labels, F.lit(True)))
+    probe = spark.createDataFrame([(1, "the dog and the hund"), (2, None), (3, "x")], "doc_id bigint, text string")
+    for make, pair in ((language_id.predict, models), (quality.score, nets)):
+        one, two = (make(probe, m).orderBy("doc_id").collect() for m in pair)
+        assert one == two
