@@ -58,4 +58,4 @@ def test_stages_on_empty_and_awkward_rows(spark):
 def test_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "secret_scan", "pack"]
-    assert sorted(int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op") and k[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op") and k[2].isdigit()) == list(range(1, 14))
