@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), whole=True))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,11 +59,11 @@ class EntropyRule:
     ))
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the pattern matches; an assignment's span is its value."""
-    found = []
+def base_spans(text: str, whole: bool = False) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the pattern matches; an assignment's span is its value, or with ``whole`` the match."""
+    found, group = [], 0 if whole else 2
     if ":" in text or "=" in text:
-        found += [(m.start(2), 0, m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
+        found += [(m.start(group), 0, m.end(group)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -151,8 +151,8 @@ def entropy_windows(s: str, rule: EntropyRule, explained: list[tuple[int, int]]
 class Scanner:
     """Base and entropy spans of texts, with compiled parameters."""
 
-    def __init__(self, rule: EntropyRule):
-        self.rule = rule
+    def __init__(self, rule: EntropyRule, whole: bool = False):
+        self.rule, self.whole = rule, whole
         self.candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % rule.window)
         self.allow = re.compile(r"(?<![A-Za-z0-9])(?:%s)(?![A-Za-z0-9])" % "|".join(f"(?:{a})" for a in rule.allow)) if rule.allow else None
         self.digit = re.compile(r"[0-9]")
@@ -194,24 +194,26 @@ class Scanner:
                 yield start, end
 
     def spans(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-        base = base_spans(text or "")
+        base = base_spans(text or "", self.whole)
         return base, self.entropy_spans(text or "", base)
 
 
 _SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
-def scan(docs: DataFrame, rule: EntropyRule = EntropyRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id and ``spans``, an array of (kind, start, end, base).
+def scan(docs: DataFrame, rule: EntropyRule = EntropyRule(), id_col: str = "doc_id", text_col: str = "text",
+         whole: bool = False) -> DataFrame:
+    """One row per row of ``docs``: the id and ``spans``, an array of (kind, start, end).
 
     Positions are code points, the end exclusive; spans are ordered by start,
-    then kind (assign, access, hex, entropy).
+    then kind (assign, access, hex, entropy).  With ``whole`` an assignment's
+    span is the whole match, name and sign included, not its value alone.
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = pa.schema([("id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(rule)
+        scanner = Scanner(rule, whole)
         names = (*KINDS, "entropy")
         for batch in batches:
             for part in chunks(batch, "text"):
