@@ -21,7 +21,8 @@ union.  Linked sets miss at most e = n - ceil(85 n / 100) tokens of each other.
 3. Keys are counted, with the least and largest set size, and those of one set,
    or of two whose sizes lie too far apart, are left out; a second pass makes
    the postings of the other keys.  (A Bloom filter of these keys, of bounded
-   size, keeps others out; what it lets through is removed exactly.)
+   size, keeps others out; what it lets through is removed exactly.)  Of keys
+   that the very same sets have, one is kept: the others make no other pair.
 4. Candidates share a key, are near enough in size, and differ in few enough
    bits of their parity maps (each token flips one of at least n / 2 bits, so
    maps differ in at most as many bits as the sets in tokens; the longer map is
@@ -30,8 +31,9 @@ union.  Linked sets miss at most e = n - ceil(85 n / 100) tokens of each other.
 5. ``components`` needs no pair within a group that is linked already.  In
    ``STAR_ROUNDS`` rounds each node is compared with its likeliest pivot of
    another component (some nodes of each key are pivots: ``PIVOTS``, by round).  Then all candidates
-   of different components that are left are listed; in ``BEST_ROUNDS`` rounds
-   each node's likeliest is verified and pairs that have come to lie in one
+   of different components that are left are listed, a pair of nodes that have
+   one of their ``FIRST`` smallest keys in common under the smallest such key
+   alone; in ``BEST_ROUNDS`` rounds each node's likeliest is verified and pairs that have come to lie in one
    component are struck off; the rest is verified.  ``links`` verifies all
    candidates.
 
@@ -71,6 +73,8 @@ LEAST_EXCESS = 16
 PAIR_LEVEL, TRIPLE_LEVEL = 1, 6
 #: 64-bit words of the folded parity maps that are compared inside a join.
 FOLDED = 4
+#: Smallest keys of a node that tell whether a pair is made under another key.
+FIRST = 8
 #: Rounds of ``components``, and pivots of a key.
 STAR_ROUNDS, BEST_ROUNDS, PIVOTS = 3, 1, (2, 16, 16)
 #: Nodes that a task remembers, so as not to send one twice.
@@ -309,7 +313,7 @@ def _passed(docs: DataFrame, shingle: int, id_col: str, text_col: str, shape: st
 
 
 def shared_postings(docs: DataFrame, scanned: DataFrame, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """((key, node, size) of keys that sets of near enough sizes share, (node, map)), both written."""
+    """((key, node, size) of keys that sets of near enough sizes share, one key of those with the same sets, (node, map)), both written."""
     spark = docs.sparkSession
     level = spark.sparkContext.broadcast(levels(scanned))
 
@@ -336,7 +340,9 @@ def shared_postings(docs: DataFrame, scanned: DataFrame, shingle: int, id_col: s
     rows = written(_passed(docs, shingle, id_col, text_col, "node bigint, size bigint, map array<bigint>, keys array<bigint>", postings), "keyed-sets")
     flat = rows.select(F.explode("keys").alias("key"), "node", "size").groupBy("key", "node").agg(F.max("size").alias("size"))
     flat = written(flat, "postings")
-    shared = flat.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    both = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]  # 128 bits tell sets of nodes apart
+    sets = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *both).filter("low < high")
+    shared = sets.groupBy("n", "low", "high", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     return written(flat.join(shared, "key", "left_semi"), "shared-postings"), written(rows.select("node", "map").dropDuplicates(["node"]), "parity-maps")
 
 
@@ -431,11 +437,12 @@ def _held(postings: DataFrame, maps: DataFrame) -> DataFrame:
     return written(postings.join(main, "key").join(words, "node"), "open-postings")
 
 
-def _near(left: DataFrame, right: DataFrame, different) -> DataFrame:
-    """(a, b, most) of the postings of one key whose components are ``different`` and whose sizes and folded maps allow a link."""
+def _near(left: DataFrame, right: DataFrame, different, here: Column | None = None) -> DataFrame:
+    """(a, b, most) of the postings of one key whose components are ``different`` and whose sizes and folded maps allow a link, where ``here`` holds."""
     most = allowed(F.col("l.size"), F.col("r.size"))
     bits = [F.bit_count(F.col(f"l.m{i}").bitwiseXOR(F.col(f"r.m{i}"))) for i in range(FOLDED)]
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & different(F.col("l.label"), F.col("r.label")) & (sum(bits[1:], bits[0]) <= most))
+    near = different(F.col("l.label"), F.col("r.label")) & (sum(bits[1:], bits[0]) <= most)
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (near if here is None else near & here))
     return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), most.alias("most"))
 
 
@@ -452,9 +459,16 @@ def _rest(held: DataFrame, maps: DataFrame) -> DataFrame:
     """(a, b, bits), written: all candidates of different components.
 
     Of each key's postings those of its main component are on one side only, so
-    the pairs within that component, however many, are not looked at.
+    the pairs within that component, however many, are not looked at.  Every
+    key that two nodes of different components share is in ``held``; of two
+    nodes with a common one among the ``FIRST`` smallest keys of both, the
+    smallest of these is their smallest shared key, and makes the pair alone.
     """
-    return written(candidates(_near(held.filter("label > main"), held, lambda l, r: r < l), maps), "candidates")
+    first = held.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
+    held = written(held.join(first, "node"), "last-postings")
+    common = F.array_min(F.array_intersect("l.first", "r.first"))
+    here = F.coalesce(common >= F.col("l.key"), F.lit(True))
+    return written(candidates(_near(held.filter("label > main"), held, lambda l, r: r < l, here), maps), "candidates")
 
 
 class _Links:

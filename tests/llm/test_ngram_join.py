@@ -159,3 +159,41 @@ def test_long_text_in_blocks_is_the_whole_text(monkeypatch):
     parts = ngram_join.Sets(texts, 4)
     assert (whole.token == parts.token).all() and (whole.row == parts.row).all() and whole.size.tolist() == [len(shingles(t)) for t in texts.to_pylist()]
     assert len(set(whole.nodes()[[0, 1, 4, 5]].tolist())) == 4 and whole.nodes()[2] == 0
+
+
+def test_a_pair_is_listed_once_and_keys_of_the_same_sets_once(spark, monkeypatch):
+    """Near copies of one text share most of their keys, and pairs of texts all of them."""
+    low(monkeypatch)
+    rng = random.Random(6)
+    data = []
+    for i in range(40):  # two words next to each other changed: just too far from most others to link
+        words = [f"b{j}" for j in range(120)]
+        at = rng.randrange(3, 115)
+        words[at: at + 2] = [f"x{i}", f"y{i}"]
+        data.append((i, " ".join(words)))
+    for i in range(40, 80):  # two by two
+        data.append((i, " ".join(f"t{i // 2}_{j}" for j in range(60)) + f" end{i}"))
+    df = frame(spark, [(r + (None,) * 7) for r in data]).repartition(3)
+    made, kept = [], []
+    join, posted = ngram_join._near, ngram_join.shared_postings
+
+    def near(left, right, different, *here):
+        out = join(left, right, different, *here)
+        if here:
+            made.extend(tuple(sorted((r["a"], r["b"]))) for r in out.collect())
+        return out
+
+    def postings(*args):
+        out = posted(*args)
+        of = {}
+        for r in out[0].collect():
+            of.setdefault(r["key"], set()).add(r["node"])
+        kept.extend(of.values())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_near", near)
+    monkeypatch.setattr(ngram_join, "shared_postings", postings)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)  # nothing is linked before all candidates are listed
+    assert result(ngram_join.components(df)) == brute([r + (None,) * 7 for r in data])
+    assert len(kept) == len(set(map(frozenset, kept)))
+    assert len(set(made)) > 200 and len(made) < 1.1 * len(set(made))
