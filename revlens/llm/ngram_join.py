@@ -31,11 +31,11 @@ union.  Linked sets miss at most e = n - ceil(85 n / 100) tokens of each other.
 5. ``components`` needs no pair within a group that is linked already.  In
    ``STAR_ROUNDS`` rounds each node is compared with its likeliest pivot of
    another component (some nodes of each key are pivots: ``PIVOTS``, by round).  Then all candidates
-   of different components that are left are listed, a pair of nodes that have
-   one of their ``FIRST`` smallest keys in common under the smallest such key
-   alone; in ``BEST_ROUNDS`` rounds each node's likeliest is verified and pairs that have come to lie in one
+   of different components that are left are listed; in ``BEST_ROUNDS`` rounds
+   each node's likeliest is verified and pairs that have come to lie in one
    component are struck off; the rest is verified.  ``links`` verifies all
-   candidates.
+   candidates.  In ``components`` two nodes that have one of their ``FIRST``
+   smallest keys in common meet under the smallest such key alone.
 
 Hashes decide equality of shingles (64 bits) and sets (64 bits over all tokens
 and their number).
@@ -431,24 +431,33 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def _held(postings: DataFrame, maps: DataFrame) -> DataFrame:
-    """The postings of keys with several components, with the smallest of these (``main``) and folded maps, written."""
+    """The postings of keys with several components, with the smallest of these (``main``), folded maps and the node's ``FIRST`` smallest keys, written."""
     main = written(postings.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("top")).filter("main < top").drop("top"), "main-components")
     words = maps.select("node", *[folded(F.col("map"), F.lit(FOLDED))[i].alias(f"m{i}") for i in range(FOLDED)])
-    return written(postings.join(main, "key").join(words, "node"), "open-postings")
+    held = written(postings.join(main, "key"), "main-postings")
+    first = held.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
+    return written(held.join(words.join(first, "node"), "node"), "open-postings")
+
 
+def _near(left: DataFrame, right: DataFrame, different) -> DataFrame:
+    """(a, b, most) of the postings of one key whose components are ``different`` and whose sizes and folded maps allow a link.
 
-def _near(left: DataFrame, right: DataFrame, different, here: Column | None = None) -> DataFrame:
-    """(a, b, most) of the postings of one key whose components are ``different`` and whose sizes and folded maps allow a link, where ``here`` holds."""
+    Every key that two nodes of different components share is in the held
+    postings; of two nodes with a common one among the ``FIRST`` smallest keys
+    of both, the smallest of these is their smallest shared key, and makes the
+    pair alone.
+    """
     most = allowed(F.col("l.size"), F.col("r.size"))
     bits = [F.bit_count(F.col(f"l.m{i}").bitwiseXOR(F.col(f"r.m{i}"))) for i in range(FOLDED)]
     near = different(F.col("l.label"), F.col("r.label")) & (sum(bits[1:], bits[0]) <= most)
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (near if here is None else near & here))
+    here = F.coalesce(F.array_min(F.array_intersect("l.first", "r.first")) >= F.col("l.key"), F.lit(True))
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & near & here)
     return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), most.alias("most"))
 
 
 def _stars(held: DataFrame, maps: DataFrame, seed: int) -> DataFrame:
     """(a, b), written: nodes outside a key's main component, each with its likeliest pivot of another one; the first nodes of a key by hash are pivots."""
-    fields = ["node", "size", "label", *[f"m{i}" for i in range(FOLDED)]]
+    fields = ["node", "size", "label", "first", *[f"m{i}" for i in range(FOLDED)]]
     at = F.xxhash64("node", F.lit(seed))
     pivots = held.withColumn("at", at).groupBy("key", F.pmod("at", F.lit(PIVOTS[seed])).alias("part")).agg(F.min(F.struct("at", *fields)).alias("v"))
     pivots = written(pivots.select("key", *[f"v.{c}" for c in fields]), "pivots")
@@ -459,16 +468,9 @@ def _rest(held: DataFrame, maps: DataFrame) -> DataFrame:
     """(a, b, bits), written: all candidates of different components.
 
     Of each key's postings those of its main component are on one side only, so
-    the pairs within that component, however many, are not looked at.  Every
-    key that two nodes of different components share is in ``held``; of two
-    nodes with a common one among the ``FIRST`` smallest keys of both, the
-    smallest of these is their smallest shared key, and makes the pair alone.
+    the pairs within that component, however many, are not looked at.
     """
-    first = held.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
-    held = written(held.join(first, "node"), "last-postings")
-    common = F.array_min(F.array_intersect("l.first", "r.first"))
-    here = F.coalesce(common >= F.col("l.key"), F.lit(True))
-    return written(candidates(_near(held.filter("label > main"), held, lambda l, r: r < l, here), maps), "candidates")
+    return written(candidates(_near(held.filter("label > main"), held, lambda l, r: r < l), maps), "candidates")
 
 
 class _Links:
