@@ -30,7 +30,9 @@ union.  Linked sets miss at most e = n - ceil(85 n / 100) tokens of each other.
    for the nodes of candidates alone.
 5. ``components`` needs no pair within a group that is linked already.  In
    ``STAR_ROUNDS`` rounds each node is compared with its likeliest pivot of
-   another component (some nodes of each key are pivots: ``PIVOTS``, by round).  Then all candidates
+   another component (some nodes of each key are pivots: ``PIVOTS``, by round;
+   all rounds but the last take keys of many nodes alone: ``STAR_NODES``, as
+   few nodes make few pairs and most postings are theirs).  Then all candidates
    of different components that are left are listed; in ``BEST_ROUNDS`` rounds
    each node's likeliest is verified and pairs that have come to lie in one
    component are struck off; the rest is verified.  ``links`` verifies all
@@ -77,6 +79,8 @@ FOLDED = 4
 FIRST = 8
 #: Rounds of ``components``, and pivots of a key.
 STAR_ROUNDS, BEST_ROUNDS, PIVOTS = 3, 1, (2, 16, 16)
+#: Nodes of a key, at least, that takes part in each round with pivots: with fewer than 33, all its pairs are no more than those with 16 pivots.
+STAR_NODES = (33, 33, 2)
 #: Nodes that a task remembers, so as not to send one twice.
 SEEN = 1 << 20
 
@@ -313,7 +317,7 @@ def _passed(docs: DataFrame, shingle: int, id_col: str, text_col: str, shape: st
 
 
 def shared_postings(docs: DataFrame, scanned: DataFrame, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """((key, node, size) of keys that sets of near enough sizes share, one key of those with the same sets, (node, map)), both written."""
+    """((key, node, size) of keys that sets of near enough sizes share, one key of those with the same sets, (node, map)), both read from written tables."""
     spark = docs.sparkSession
     level = spark.sparkContext.broadcast(levels(scanned))
 
@@ -337,13 +341,13 @@ def shared_postings(docs: DataFrame, scanned: DataFrame, shingle: int, id_col: s
                 "node": pa.array(nodes[own].view(np.int64)), "size": pa.array(sets.size[own]), "map": pa.array(sets.only(own).maps(), pa.list_(pa.int64())),
                 "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))})
 
-    rows = written(_passed(docs, shingle, id_col, text_col, "node bigint, size bigint, map array<bigint>, keys array<bigint>", postings), "keyed-sets")
-    flat = rows.select(F.explode("keys").alias("key"), "node", "size").groupBy("key", "node").agg(F.max("size").alias("size"))
-    flat = written(flat, "postings")
+    rows = _passed(docs, shingle, id_col, text_col, "node bigint, size bigint, map array<bigint>, keys array<bigint>", postings)
+    rows = written(rows.dropDuplicates(["node"]), "keyed-sets")
+    flat = rows.select(F.explode("keys").alias("key"), "node", "size")
     both = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]  # 128 bits tell sets of nodes apart
-    sets = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *both).filter("low < high")
-    shared = sets.groupBy("n", "low", "high", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    return written(flat.join(shared, "key", "left_semi"), "shared-postings"), written(rows.select("node", "map").dropDuplicates(["node"]), "parity-maps")
+    sets = flat.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), *both).filter("low < high")
+    shared = sets.groupBy("x1", "x2").agg(F.min("key").alias("key")).select("key")
+    return written(flat.join(shared, "key", "left_semi"), "shared-postings"), rows.select("node", "map")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -430,13 +434,14 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
 
 
-def _held(postings: DataFrame, maps: DataFrame) -> DataFrame:
-    """The postings of keys with several components, with the smallest of these (``main``), folded maps and the node's ``FIRST`` smallest keys, written."""
-    main = written(postings.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("top")).filter("main < top").drop("top"), "main-components")
+def _held(postings: DataFrame, maps: DataFrame, least: int = 2) -> DataFrame:
+    """The postings of keys with several components and ``least`` nodes, with the smallest component (``main``), folded maps and the node's ``FIRST`` smallest keys, written."""
+    main = postings.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("top"), F.count(F.lit(1)).alias("n"))
+    main = written(main.filter((F.col("main") < F.col("top")) & (F.col("n") >= least)).select("key", "main"), "main-components")
     words = maps.select("node", *[folded(F.col("map"), F.lit(FOLDED))[i].alias(f"m{i}") for i in range(FOLDED)])
-    held = written(postings.join(main, "key"), "main-postings")
-    first = held.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
-    return written(held.join(words.join(first, "node"), "node"), "open-postings")
+    of = postings.join(main, "key").groupBy("node").agg(F.first("size").alias("size"), F.first("label").alias("label"), F.sort_array(F.collect_list(F.struct("key", "main"))).alias("keys"))
+    held = of.join(words, "node").withColumn("first", F.slice(F.col("keys.key"), 1, FIRST))
+    return written(held.select(F.explode("keys").alias("k"), "node", "size", "label", "first", *words.columns[1:]).select("k.*", "node", "size", "label", "first", *words.columns[1:]), "open-postings")
 
 
 def _near(left: DataFrame, right: DataFrame, different) -> DataFrame:
@@ -502,7 +507,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc
 
     found = _Links(docs.sparkSession)
     for k in range(STAR_ROUNDS):
-        pairs = _stars(_held(_labelled(postings, found.labels), maps), maps, k)
+        pairs = _stars(_held(_labelled(postings, found.labels), maps, STAR_NODES[k]), maps, k)
         found.add(pairs, sets_of(pairs))
     pairs = _rest(_held(_labelled(postings, found.labels), maps), maps)
     sets = sets_of(pairs)

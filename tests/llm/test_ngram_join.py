@@ -196,3 +196,31 @@ def test_a_pair_is_listed_once_and_keys_of_the_same_sets_once(spark, monkeypatch
     assert result(ngram_join.components(df)) == brute([r + (None,) * 7 for r in data])
     assert len(kept) == len(set(map(frozenset, kept)))
     assert len(set(made)) > 200 and len(made) < 1.1 * len(set(made))
+
+
+def test_rounds_with_pivots_hold_keys_of_many_nodes_alone(spark, monkeypatch):
+    """The first rounds leave out the nodes of small keys; the last one and the join that lists all candidates have them."""
+    rng = random.Random(8)
+    data = []
+    for i in range(60):  # one group, not all of whose texts are near each other
+        words = [f"b{j}" for j in range(120)]
+        for at in rng.sample(range(120), 2):
+            words[at] = f"x{i}_{at}"
+        data.append((i, " ".join(words)) + (None,) * 7)
+    for i in range(60, 120):  # two by two
+        data.append((i, " ".join(f"t{i // 2}_{j}" for j in range(60)) + f" end{i}") + (None,) * 7)
+    df = frame(spark, data).repartition(3)
+    held, write = [], ngram_join.written
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "open-postings":
+            held.append((out.groupBy("key").count().agg({"count": "min"}).first()[0], out.select("node").distinct().count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    assert result(ngram_join.components(df)) == brute(data)
+    *rounds, last, rest = held
+    assert len(rounds) == ngram_join.STAR_ROUNDS - 1 and rounds[0][0] > 32
+    assert all(fewest is None or (fewest > 32 and n <= 60) for fewest, n in rounds)
+    assert last[0] == 2 and last[1] >= 60 and rest[1] > 0
